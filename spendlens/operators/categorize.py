@@ -3,10 +3,10 @@
 Work is done on the **distinct** payee keys, never per transaction.
 
 * exact match: equi-join ``key = merchant_name``;
-* first substring in lookup order: each lookup name is found through its first trigram —
-  the payee key is exploded into all its trigrams (whole text), equi-joined on the
-  trigram, and every candidate is verified with ``instr``; names shorter than three
-  characters (a bounded set) are matched by a broadcast nested-loop join;
+* first substring in lookup order: each lookup name is found through its rarest trigram —
+  the payee keys are exploded into all their trigrams (whole text), equi-joined on the
+  name's rarest trigram, and every candidate is verified with ``instr``; names shorter
+  than three characters (a bounded set) are matched by a broadcast nested-loop join;
   ``min_by(category, pos)`` picks the first name in lookup order;
 * otherwise the keyword rules (PAR-09).
 """
@@ -21,27 +21,42 @@ from spendlens.functions.describe import keyword_category
 GRAM = 3
 
 
-def _substring_matches(keys: DataFrame, lookup: DataFrame, key_col: str) -> DataFrame:
-    """(key, pos, category) for every lookup name contained in the key."""
-    long_names = lookup.filter(F.length("merchant_name") >= GRAM).select(
-        F.substring("merchant_name", 1, GRAM).alias("__gram"), "merchant_name", "pos", "category"
-    )
-    # Every trigram of the key, over its whole length.
-    grams = keys.select(
-        key_col,
+def _grams(df: DataFrame, text_col: str) -> DataFrame:
+    """Distinct (text, trigram) pairs over the whole text."""
+    return df.select(
+        text_col,
         F.explode(
             F.transform(
-                F.sequence(F.lit(1), F.greatest(F.length(key_col) - GRAM + 1, F.lit(1))),
-                lambda i: F.substring(F.col(key_col), i, GRAM),
+                F.sequence(F.lit(1), F.greatest(F.length(text_col) - GRAM + 1, F.lit(1))),
+                lambda i: F.substring(F.col(text_col), i, GRAM),
             )
         ).alias("__gram"),
-    ).distinct()
+    ).filter(F.length("__gram") == GRAM).distinct()
+
+
+def _substring_matches(keys: DataFrame, lookup: DataFrame, key_col: str) -> DataFrame:
+    """(key, pos, category) for every lookup name contained in the key (exact).
+
+    Each lookup name is probed through its **rarest** trigram among the keys' trigrams: if
+    a name occurs in a key, every trigram of the name occurs there, so the rarest one
+    finds all its keys with the fewest candidates; each candidate is verified.
+    """
+    key_grams = _grams(keys.select(key_col), key_col)
+    gram_freq = key_grams.groupBy("__gram").agg(F.count(F.lit(1)).alias("__freq"))
+    long_names = lookup.filter(F.length("merchant_name") >= GRAM)
+    name_grams = _grams(long_names.select("merchant_name"), "merchant_name")
+    probe = (
+        name_grams.join(gram_freq, on="__gram", how="left")
+        .groupBy("merchant_name")
+        .agg(F.min_by("__gram", F.struct(F.coalesce(F.col("__freq"), F.lit(0)), F.col("__gram"))).alias("__gram"))
+        .join(long_names, on="merchant_name", how="inner")
+    )
     long_hits = (
-        grams.join(long_names, on="__gram", how="inner")
+        probe.join(key_grams, on="__gram", how="inner")
         .filter(F.instr(F.col(key_col), F.col("merchant_name")) > 0)
         .select(key_col, "pos", "category")
     )
-    # Names of 0-2 characters: at most a few thousand distinct strings, broadcast.
+    # Names of 0-2 characters: a bounded set of short strings, broadcast.
     short_names = lookup.filter(F.length("merchant_name") < GRAM)
     short_hits = (
         keys.join(F.broadcast(short_names), F.instr(F.col(key_col), F.col("merchant_name")) > 0, "inner")
@@ -50,6 +65,23 @@ def _substring_matches(keys: DataFrame, lookup: DataFrame, key_col: str) -> Data
     return long_hits.unionByName(short_hits)
 
 
+def first_substring_match(keys: DataFrame, lookup: DataFrame, key_col: str = "payee_key") -> DataFrame:
+    """PAR-08: (key, pos, category) of the first lookup name (in lookup order) inside the key."""
+    return (
+        _substring_matches(keys.select(key_col).distinct(), lookup, key_col)
+        .groupBy(key_col)
+        .agg(F.min_by(F.struct("pos", "category"), F.col("pos")).alias("__m"))
+        .select(key_col, "__m.pos", "__m.category")
+    )
+
+
+def exact_match(keys: DataFrame, lookup: DataFrame, key_col: str = "payee_key") -> DataFrame:
+    """PAR-07: (key, category) for keys equal to a lookup name."""
+    return keys.select(key_col).distinct().join(
+        lookup.select(F.col("merchant_name").alias(key_col), "category"), on=key_col, how="inner"
+    )
+
+
 def categorize_keys(keys: DataFrame, lookup: DataFrame, key_col: str = "payee_key") -> DataFrame:
     """Add ``category`` to a DataFrame of distinct, upper-cased payee keys."""
     exact = lookup.select(F.col("merchant_name").alias(key_col), F.col("category").alias("__exact"))
