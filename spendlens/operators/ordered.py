@@ -272,14 +272,14 @@ def curve_metrics(df: DataFrame, label_col: str, score_col: str, by: Sequence[st
         F.count(F.lit(1)).alias("__cnt"),
     )
     cum = running_sum(hist, [(score_col, False)], ["__pos", "__cnt"], unit_levels(score_col), by=by)
-    totals = hist.groupBy(*by).agg(F.sum("__pos").alias("__P"), (F.sum("__cnt") - F.sum("__pos")).alias("__N"))
+    totals = hist.groupBy(*by).agg(F.sum("__pos").alias("__npos_total"), (F.sum("__cnt") - F.sum("__pos")).alias("__nneg_total"))
     j = attach_group_totals(cum, totals, by)
     tp = F.col("__pos__cum")
     seen = F.col("__cnt__cum")
     pos = F.col("__pos")
     neg = F.col("__cnt") - F.col("__pos")
-    P = F.col("__P").cast("double")
-    N = F.col("__N").cast("double")
+    P = F.col("__npos_total").cast("double")
+    N = F.col("__nneg_total").cast("double")
     terms = j.select(
         *by,
         ((pos / P) * (tp / seen)).alias("__ap"),

@@ -412,3 +412,59 @@ SELECT (SELECT {pct('sum(potential_leakage)', 'count(*)')} FROM transactions) AS
     AS first_visit_rate_pct,
   (SELECT {pct('sum(potential_leakage)', 'count(*)')} FROM transactions WHERE direction = 'DEBIT' AND NOT is_first_transaction)
     AS repeat_visit_rate_pct"""))
+
+# ---------------------------------------------------------------------------
+# ML (SQL-checkable parts; model outputs are checked by invariants)
+# ---------------------------------------------------------------------------
+
+from spendlens.ml.matrix import FEATURE_COLS  # noqa: E402
+
+_BOOL_FEATURES = {
+    "is_small_transaction", "is_medium_transaction", "is_high_value_transaction", "is_weekend", "is_regular_entity",
+    "is_long_term_entity", "is_weekend_spending", "is_recurring_entity", "is_subscription", "is_first_transaction",
+    "is_recent_transaction",
+}
+
+
+def _mcol(c: str) -> str:
+    x = f"CAST({c} AS INTEGER)" if c in _BOOL_FEATURES else c
+    return f"coalesce(CAST({x} AS DOUBLE), 0.0) AS {c}"
+
+
+_MATRIX = "SELECT txn_no, " + ", ".join(_mcol(c) for c in FEATURE_COLS) + ", CAST(potential_leakage AS INTEGER) AS label FROM scored"
+O("ml_01", query(_MATRIX, "scored"))
+O("ml_02", query("""SELECT n_pos, n_neg, CAST(n_pos AS DOUBLE) / (n_pos + n_neg) AS positive_rate,
+  round_even(CAST(n_neg AS DOUBLE) / n_pos * 100.0, 0) / 100.0 AS scale_pos_weight
+FROM (SELECT count_if(potential_leakage = 1) AS n_pos, count_if(potential_leakage = 0) AS n_neg FROM scored)""", "scored"))
+O("ml_03", query("""SELECT txn_no, CAST(potential_leakage AS INTEGER) AS label,
+  CAST((row_number() OVER (PARTITION BY potential_leakage ORDER BY md5('42' || txn_no), txn_no) - 1) % 5 AS INTEGER) AS fold
+FROM scored""", "scored"))
+O("ml_04", query("""SELECT CAST(label AS INTEGER) AS label, n_rows, n_synthetic FROM (
+  SELECT 0 AS label, count_if(potential_leakage = 0) AS n_rows, CAST(0 AS BIGINT) AS n_synthetic FROM scored
+  UNION ALL SELECT 1, count_if(potential_leakage = 0), count_if(potential_leakage = 0) - count_if(potential_leakage = 1) FROM scored)""",
+                  "scored"))
+O("ml_05", query(
+    "SELECT unnest([" + ", ".join(f"'{c}'" for c in FEATURE_COLS) + "]) AS feature, "
+    "unnest([" + ", ".join(f"round_even(avg({c}) * 1000000.0, 0) / 1000000.0" for c in FEATURE_COLS) + "]) AS mean, "
+    "unnest([" + ", ".join(f"round_even(stddev_pop({c}) * 1000000.0, 0) / 1000000.0" for c in FEATURE_COLS) + "]) AS std "
+    "FROM (" + _MATRIX + ")", "scored"))
+
+_RULE = "SELECT txn_no, potential_leakage AS y, predicted_leakage AS p, CAST(predicted_proba AS DOUBLE) AS s FROM transactions"
+O("ml_10", query(f"""
+SELECT {heven('CASE WHEN tp + fp = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / (tp + fp) END', 4)} AS precision,
+  {heven('CASE WHEN tp + fn = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / (tp + fn) END', 4)} AS recall,
+  {heven('CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE CAST(2 * tp AS DOUBLE) / (2 * tp + fp + fn) END', 4)} AS f1_score,
+  tp, fp, tn, fn
+FROM (SELECT count_if(y = 1 AND p = 1) AS tp, count_if(y = 0 AND p = 1) AS fp, count_if(y = 0 AND p = 0) AS tn,
+             count_if(y = 1 AND p = 0) AS fn FROM ({_RULE}))"""))
+_CURVE = f"""
+(SELECT sum(CAST(pos AS DOUBLE) / P * tp / seen) AS ap, sum((neg * (tp - pos) + neg * pos / 2.0) / (P * N)) AS auc
+ FROM (SELECT pos, cnt - pos AS neg,
+         sum(pos) OVER (ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tp,
+         sum(cnt) OVER (ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS seen,
+         CAST(sum(pos) OVER () AS DOUBLE) AS P, CAST(sum(cnt) OVER () - sum(pos) OVER () AS DOUBLE) AS N
+       FROM (SELECT s, sum(y) AS pos, count(*) AS cnt FROM ({_RULE}) GROUP BY s)))"""
+O("ml_11", query(f"SELECT {heven('auc', 4)} AS roc_auc FROM {_CURVE}"))
+O("ml_12", query(f"SELECT {heven('ap', 4)} AS pr_auc FROM {_CURVE}"))
+O("ml_15", query("SELECT txn_no, potential_leakage, predicted_leakage, CAST(predicted_proba AS DOUBLE) AS predicted_proba, "
+                 "correctly_identified FROM transactions"))

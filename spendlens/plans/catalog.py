@@ -540,3 +540,142 @@ def rep_14(spark, sf):
 
 
 _ = materialize  # re-exported for callers that stage their own tables
+
+
+# ---------------------------------------------------------------------------
+# ML (MLlib jobs; model outputs are materialised once per application and input)
+# ---------------------------------------------------------------------------
+
+_ML_CACHE: dict[tuple, DataFrame] = {}
+
+
+def _matrix(spark, sf):
+    from spendlens.ml.matrix import feature_matrix
+
+    return feature_matrix(_s(spark, sf))
+
+
+def _feature_cols(spark, sf):
+    from spendlens.ml.matrix import FEATURE_COLS
+
+    return [c for c in FEATURE_COLS if c in _s(spark, sf).columns]
+
+
+def _oof(spark, sf, name):
+    from spendlens.ml.models import out_of_fold
+
+    k = (spark.sparkContext.applicationId, sf, name)
+    if k not in _ML_CACHE:
+        m = materialize(_matrix(spark, sf), "ml-matrix", sf)
+        _ML_CACHE[k] = materialize(out_of_fold(name, m, _feature_cols(spark, sf)), "oof-" + name.replace(" ", "-"), sf)
+    return _ML_CACHE[k]
+
+
+@key("ml_01")
+def ml_01(spark, sf):
+    return _matrix(spark, sf)
+
+
+@key("ml_02")
+def ml_02(spark, sf):
+    from spendlens.ml.matrix import class_stats
+
+    return class_stats(_matrix(spark, sf))
+
+
+@key("ml_03")
+def ml_03(spark, sf):
+    from spendlens.ml.folds import assign_folds
+
+    return assign_folds(_matrix(spark, sf)).select("txn_no", "label", "fold")
+
+
+@key("ml_04")
+def ml_04(spark, sf):
+    from spendlens.ml.oversample import smote
+
+    over = smote(_matrix(spark, sf), _feature_cols(spark, sf))
+    return over.groupBy("label").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if("synthetic").cast("long").alias("n_synthetic")
+    )
+
+
+@key("ml_05")
+def ml_05(spark, sf):
+    from spendlens.ml.models import scaling_stats
+
+    return scaling_stats(_matrix(spark, sf), _feature_cols(spark, sf))
+
+
+@key("ml_06")
+def ml_06(spark, sf):
+    return _oof(spark, sf, "Logistic Regression")
+
+
+@key("ml_07")
+def ml_07(spark, sf):
+    return _oof(spark, sf, "Random Forest")
+
+
+@key("ml_08")
+def ml_08(spark, sf):
+    return _oof(spark, sf, "Gradient Boosting")
+
+
+@key("ml_09")
+def ml_09(spark, sf):
+    from functools import reduce
+
+    from spendlens.ml.models import MODEL_NAMES
+
+    return reduce(DataFrame.unionByName, [_oof(spark, sf, n).withColumn("model", F.lit(n)) for n in MODEL_NAMES])
+
+
+def _rule_pred(spark, sf):
+    return _tx(spark, sf).select(
+        "txn_no", F.col("potential_leakage").alias("label"), "predicted_leakage",
+        F.col("predicted_proba").cast("double").alias("predicted_proba"),
+    )
+
+
+@key("ml_10")
+def ml_10(spark, sf):
+    from spendlens.ml.metrics import confusion
+
+    return confusion(_rule_pred(spark, sf))
+
+
+@key("ml_11")
+def ml_11(spark, sf):
+    from spendlens.ml.metrics import auc_metrics
+
+    return auc_metrics(_rule_pred(spark, sf)).select("roc_auc")
+
+
+@key("ml_12")
+def ml_12(spark, sf):
+    from spendlens.ml.metrics import auc_metrics
+
+    return auc_metrics(_rule_pred(spark, sf)).select("pr_auc")
+
+
+@key("ml_13")
+def ml_13(spark, sf):
+    from spendlens.ml.models import MODEL_NAMES, comparison, evaluate
+
+    return comparison([evaluate(n, _oof(spark, sf, n)) for n in MODEL_NAMES])
+
+
+@key("ml_14")
+def ml_14(spark, sf):
+    from spendlens.ml.models import feature_importance
+
+    return feature_importance(materialize(_matrix(spark, sf), "ml-matrix", sf), _feature_cols(spark, sf))
+
+
+@key("ml_15")
+def ml_15(spark, sf):
+    return _tx(spark, sf).select(
+        "txn_no", "potential_leakage", "predicted_leakage",
+        F.col("predicted_proba").cast("double").alias("predicted_proba"), "correctly_identified",
+    )
