@@ -14,10 +14,13 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def get_spark(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "spendlens") -> SparkSession:
+def get_spark(
+    master: str = "local[*]", shuffle_partitions: int = 8, app: str = "spendlens", driver_memory: str = "16g"
+) -> SparkSession:
     builder = (
         SparkSession.builder.master(master)
         .appName(app)
+        .config("spark.driver.memory", driver_memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
