@@ -13,6 +13,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from spendlens.functions.describe import entity_type_of, parse_struct, stripped_description
 from spendlens.operators.categorize import categorize_keys
 from spendlens.operators.ordered import date_id_levels, row_number_by
+from spendlens.session import materialize
 
 CLEAN_COLUMNS = [
     "txn_no",
@@ -51,6 +53,10 @@ def payee_tokens(parsed: DataFrame, lookup: DataFrame, by: Sequence[str] = ()) -
         .agg(F.min(F.struct("txn_date", "txn_no")).alias("__first"))
         .select(*by, "payee_key", F.col("__first.txn_date").alias("first_date"), F.col("__first.txn_no").alias("first_no"))
     )
+    # One row per distinct payee (far fewer than transactions); the categorisation joins and
+    # the numbering levels read it several times, so it is written once.
+    keys = materialize(keys, "payee-keys", uuid.uuid4().hex)
+    n_keys = keys.count()  # parquet footers: proves the size of the numbering input
     typed = categorize_keys(keys, lookup, "payee_key").withColumn("entity_type", entity_type_of(F.col("category")))
     numbered = row_number_by(
         typed,
@@ -58,6 +64,7 @@ def payee_tokens(parsed: DataFrame, lookup: DataFrame, by: Sequence[str] = ()) -
         date_id_levels("first_date", "first_no"),
         "token_no",
         by=[*by, "entity_type"],
+        row_bound=n_keys,
     )
     return numbered.withColumn("entity_id", F.format_string("%s_%03d", F.col("entity_type"), F.col("token_no")))
 

@@ -92,6 +92,18 @@ def running_sum(
     )
 
 
+# Inputs proven (by a count) to hold at most this many rows are ordered in one window: a
+# task sorts a few hundred MB at most.  Without a bound, every bucket level is used.
+SINGLE_TASK_ROWS = 2_000_000
+
+
+def bounded(levels: Sequence[Level], row_bound: int | None) -> list[Level]:
+    """``levels`` unless ``row_bound`` (an upper bound on the input rows) proves one task suffices."""
+    if row_bound is not None and row_bound <= SINGLE_TASK_ROWS:
+        return []
+    return list(levels)
+
+
 # ---------------------------------------------------------------------------
 # Level presets
 # ---------------------------------------------------------------------------
@@ -190,9 +202,12 @@ def attach_group_totals(df: DataFrame, totals: DataFrame, by: Sequence[str]) ->
 # ---------------------------------------------------------------------------
 
 
-def prefix_sums(df: DataFrame, date_col: str, id_col: str, values: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+def prefix_sums(
+    df: DataFrame, date_col: str, id_col: str, values: Sequence[str], by: Sequence[str] = (), row_bound: int | None = None
+) -> DataFrame:
     """Cumulative sums in (date, id) order (FEA-12, Q11) — adds ``<v>__cum``."""
-    return running_sum(df, [(date_col, True), (id_col, True)], values, date_id_levels(date_col, id_col), by=by)
+    levels = bounded(date_id_levels(date_col, id_col), row_bound)
+    return running_sum(df, [(date_col, True), (id_col, True)], values, levels, by=by)
 
 
 # ---------------------------------------------------------------------------
@@ -200,7 +215,9 @@ def prefix_sums(df: DataFrame, date_col: str, id_col: str, values: Sequence[str]
 # ---------------------------------------------------------------------------
 
 
-def pct_rank_table(df: DataFrame, value_col: str, out_col: str, by: Sequence[str] = ()) -> DataFrame:
+def pct_rank_table(
+    df: DataFrame, value_col: str, out_col: str, by: Sequence[str] = (), row_bound: int | None = None
+) -> DataFrame:
     """pandas ``rank(pct=True)`` (ties get their average rank) per distinct value.
 
     Returns ``(by…, value, out_col DOUBLE)``: histogram of distinct values → running
@@ -208,7 +225,7 @@ def pct_rank_table(df: DataFrame, value_col: str, out_col: str, by: Sequence[str
     """
     by = list(by)
     hist = df.groupBy(*by, value_col).agg(F.count(F.lit(1)).alias("__cnt"))
-    cum = running_sum(hist, [(value_col, True)], ["__cnt"], amount_levels(value_col), by=by)
+    cum = running_sum(hist, [(value_col, True)], ["__cnt"], bounded(amount_levels(value_col), row_bound), by=by)
     totals = hist.groupBy(*by).agg(F.sum("__cnt").alias("__n"))
     ranked = attach_group_totals(cum, totals, by).select(
         *by,
@@ -225,11 +242,14 @@ def pct_rank_table(df: DataFrame, value_col: str, out_col: str, by: Sequence[str
 # ---------------------------------------------------------------------------
 
 
-def ntile(df: DataFrame, k: int, order: Order, levels: Sequence[Level], out_col: str, by: Sequence[str] = ()) -> DataFrame:
+def ntile(
+    df: DataFrame, k: int, order: Order, levels: Sequence[Level], out_col: str, by: Sequence[str] = (),
+    row_bound: int | None = None,
+) -> DataFrame:
     """SQL ``NTILE(k) OVER (PARTITION BY by ORDER BY order)`` without one big partition."""
     by = list(by)
     ones = df.withColumn("__one", F.lit(1).cast("long"))
-    ranked = running_sum(ones, order, ["__one"], levels, by=by)
+    ranked = running_sum(ones, order, ["__one"], bounded(levels, row_bound), by=by)
     totals = ones.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
     r = F.col("__one__cum")
     n = F.col("__n")
@@ -249,10 +269,13 @@ def ntile(df: DataFrame, k: int, order: Order, levels: Sequence[Level], out_col:
 # ---------------------------------------------------------------------------
 
 
-def row_number_by(df: DataFrame, order: Order, levels: Sequence[Level], out_col: str, by: Sequence[str] = ()) -> DataFrame:
+def row_number_by(
+    df: DataFrame, order: Order, levels: Sequence[Level], out_col: str, by: Sequence[str] = (),
+    row_bound: int | None = None,
+) -> DataFrame:
     """1-based ``row_number() OVER (PARTITION BY by ORDER BY order)``, distributed."""
     ones = df.withColumn("__one", F.lit(1).cast("long"))
-    ranked = running_sum(ones, order, ["__one"], levels, by=by)
+    ranked = running_sum(ones, order, ["__one"], bounded(levels, row_bound), by=by)
     return ranked.withColumn(out_col, F.col("__one__cum")).drop("__one", "__one__cum")
 
 
@@ -261,7 +284,9 @@ def row_number_by(df: DataFrame, order: Order, levels: Sequence[Level], out_col:
 # ---------------------------------------------------------------------------
 
 
-def curve_metrics(df: DataFrame, label_col: str, score_col: str, by: Sequence[str] = ()) -> DataFrame:
+def curve_metrics(
+    df: DataFrame, label_col: str, score_col: str, by: Sequence[str] = (), row_bound: int | None = None
+) -> DataFrame:
     """ROC-AUC (trapezoid over distinct thresholds) and average precision Σ ΔR·P.
 
     One row per ``by`` group with columns ``roc_auc``, ``pr_auc`` (DOUBLE).
@@ -271,7 +296,7 @@ def curve_metrics(df: DataFrame, label_col: str, score_col: str, by: Sequence[st
         F.sum(F.col(label_col).cast("long")).alias("__pos"),
         F.count(F.lit(1)).alias("__cnt"),
     )
-    cum = running_sum(hist, [(score_col, False)], ["__pos", "__cnt"], unit_levels(score_col), by=by)
+    cum = running_sum(hist, [(score_col, False)], ["__pos", "__cnt"], bounded(unit_levels(score_col), row_bound), by=by)
     totals = hist.groupBy(*by).agg(F.sum("__pos").alias("__npos_total"), (F.sum("__cnt") - F.sum("__pos")).alias("__nneg_total"))
     j = attach_group_totals(cum, totals, by)
     tp = F.col("__pos__cum")

@@ -82,19 +82,19 @@ def risk_band(score: F.Column) -> F.Column:
     )
 
 
-def amount_factor(features: DataFrame, by=()) -> DataFrame:
+def amount_factor(features: DataFrame, by=(), row_bound: int | None = None) -> DataFrame:
     """SCO-02: ``rint(pct_rank * 20)`` among debits, 0 for every other row."""
     debit = F.col("direction") == "DEBIT"
     debits = features.filter(debit).select(*by, "dr_amount")
-    pct = pct_rank_table(debits, "dr_amount", "__pct", by=by)
+    pct = pct_rank_table(debits, "dr_amount", "__pct", by=by, row_bound=row_bound)
     j = features.join(pct, on=[*by, "dr_amount"], how="left")
     score = F.when(debit, F.rint(F.col("__pct") * 20.0).cast("int")).otherwise(F.lit(0))
     return j.withColumn("score_amount", score).drop("__pct")
 
 
-def score_transactions(features: DataFrame) -> DataFrame:
+def score_transactions(features: DataFrame, row_bound: int | None = None) -> DataFrame:
     """SCO-01…07: the 63-column scored table."""
-    df = amount_factor(features)
+    df = amount_factor(features, row_bound=row_bound)
     df = df.select(
         *features.columns,
         score_category(F.col("category")).alias("score_category"),

@@ -459,7 +459,7 @@ def snk_06(spark, sf):
 
 for _n in range(1, 18):
     def _mkq(name):
-        return lambda spark, sf: reports.run_query(spark, _tx(spark, sf), name)
+        return lambda spark, sf: reports.run_query(spark, _tx(spark, sf), name, _t(spark, sf).n_rows)
 
     QUERIES[f"q{_n:02d}"] = _mkq(f"q{_n:02d}")
 
@@ -536,7 +536,7 @@ def rep_13(spark, sf):
 
 @key("rep_14")
 def rep_14(spark, sf):
-    return reports.findings(spark, _tx(spark, sf))
+    return reports.findings(spark, _tx(spark, sf), _t(spark, sf).n_rows)
 
 
 _ = materialize  # re-exported for callers that stage their own tables

@@ -1,8 +1,9 @@
 """The product chain: statement → clean → features → scored → predictions → load table.
 
 Each arrow is a ``DataFrame → DataFrame`` function, so Catalyst sees the whole chain.
-Two boundaries are materialised to the shared checkpoint folder because many products
-read them: the clean table and the scored/predicted table.  Materialisation happens once
+Three boundaries are materialised to the shared checkpoint folder because several
+products (or several branches of one plan) read them: the clean table, the feature table
+and the scored/predicted table.  Materialisation happens once
 per (application, input folder).
 """
 
@@ -11,7 +12,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from spendlens.operators.anonymize import clean_transactions
 from spendlens.operators.features import build_features
@@ -32,6 +32,7 @@ class Tables:
     scored: DataFrame
     predictions: DataFrame
     transactions: DataFrame
+    n_rows: int | None = None
 
 
 _CACHE: dict[tuple[str, str], Tables] = {}
@@ -45,10 +46,16 @@ def build(spark: SparkSession, sf_dir: str, materialized: bool = True) -> Tables
     processed = processed_from_orders(spark, sf_dir)
     lookup = normalize_lookup(raw_lookup(spark))
     clean = clean_transactions(processed, lookup)
+    n_rows = None
     if materialized:
         clean = materialize(clean, "clean", sf_dir)
-    features = build_features(clean)
-    scored = score_transactions(features)
+        n_rows = clean.count()  # parquet footers: an exact bound for the ordered operators
+    features = build_features(clean, row_bound=n_rows)
+    if materialized:
+        # scoring reads the feature table several times (percentile histogram, join back):
+        # a written table keeps those plans small and the work from being recomputed
+        features = materialize(features, "features", sf_dir)
+    scored = score_transactions(features, row_bound=n_rows)
     predictions = rule_predictions(scored)
     if materialized:
         predictions = materialize(predictions, "predictions", sf_dir)
@@ -58,7 +65,7 @@ def build(spark: SparkSession, sf_dir: str, materialized: bool = True) -> Tables
             "leakage_score", "risk_band",
         )
     transactions = conform(predictions)
-    tables = Tables(processed, lookup, clean, features, scored, predictions, transactions)
+    tables = Tables(processed, lookup, clean, features, scored, predictions, transactions, n_rows)
     if materialized:
         _CACHE[key] = tables
     return tables
@@ -74,5 +81,3 @@ def register_views(spark: SparkSession, sf_dir: str) -> None:
     t.transactions.createOrReplaceTempView("transactions")
     t.scored.createOrReplaceTempView("scored")
 
-
-_ = F  # noqa: F401

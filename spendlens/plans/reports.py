@@ -20,6 +20,7 @@ from spendlens.functions.rounding import round_half_even
 from spendlens.operators.ordered import (
     amount_levels,
     attach_group_totals,
+    bounded,
     ntile,
     running_sum,
     score_id_levels,
@@ -40,15 +41,20 @@ def sql_text(name: str, **params) -> str:
 # ---------------------------------------------------------------------------
 
 
-def debit_deciles(transactions: DataFrame) -> DataFrame:
+def debit_deciles(transactions: DataFrame, row_bound: int | None = None) -> DataFrame:
     """Debits with ``score_decile`` = NTILE(10) OVER (ORDER BY leakage_score DESC, txn_no)."""
     debits = transactions.filter(F.col("direction") == "DEBIT").select(
         "txn_no", "month_name", "month", "dr_amount", F.col("leakage_score").cast("int").alias("score")
     )
-    return ntile(debits, 10, [("score", False), ("txn_no", True)], score_id_levels("score", "txn_no"), "score_decile")
+    return ntile(
+        debits, 10, [("score", False), ("txn_no", True)], score_id_levels("score", "txn_no"), "score_decile",
+        row_bound=row_bound,
+    )
 
 
-def percentile_cont(df: DataFrame, value_col: str, fractions: dict[str, float]) -> DataFrame:
+def percentile_cont(
+    df: DataFrame, value_col: str, fractions: dict[str, float], row_bound: int | None = None
+) -> DataFrame:
     """Exact ``PERCENTILE_CONT(f) WITHIN GROUP (ORDER BY value)`` for each named fraction.
 
     Histogram of distinct values (partial aggregation) → running count by value
@@ -56,7 +62,7 @@ def percentile_cont(df: DataFrame, value_col: str, fractions: dict[str, float])
     output row; no task ever holds the values of the group.
     """
     hist = df.groupBy(value_col).agg(F.count(F.lit(1)).alias("__cnt"))
-    cum = running_sum(hist, [(value_col, True)], ["__cnt"], amount_levels(value_col))
+    cum = running_sum(hist, [(value_col, True)], ["__cnt"], bounded(amount_levels(value_col), row_bound))
     totals = hist.agg(F.sum("__cnt").alias("__n"))
     j = attach_group_totals(cum, totals, [])
     before = F.col("__cnt__cum") - F.col("__cnt")  # rows strictly below this value
@@ -78,20 +84,20 @@ def percentile_cont(df: DataFrame, value_col: str, fractions: dict[str, float])
     )
 
 
-def debit_percentiles(transactions: DataFrame) -> DataFrame:
+def debit_percentiles(transactions: DataFrame, row_bound: int | None = None) -> DataFrame:
     positive = transactions.filter((F.col("direction") == "DEBIT") & (F.col("dr_amount") > 0)).select("dr_amount")
-    return percentile_cont(positive, "dr_amount", {"p75": 0.75, "p90": 0.90})
+    return percentile_cont(positive, "dr_amount", {"p75": 0.75, "p90": 0.90}, row_bound=row_bound)
 
 
-def register_helper_views(spark: SparkSession, transactions: DataFrame) -> None:
+def register_helper_views(spark: SparkSession, transactions: DataFrame, row_bound: int | None = None) -> None:
     transactions.createOrReplaceTempView("transactions")
-    debit_deciles(transactions).createOrReplaceTempView("debit_deciles")
-    debit_percentiles(transactions).createOrReplaceTempView("debit_percentiles")
+    debit_deciles(transactions, row_bound).createOrReplaceTempView("debit_deciles")
+    debit_percentiles(transactions, row_bound).createOrReplaceTempView("debit_percentiles")
 
 
-def run_query(spark: SparkSession, transactions: DataFrame, name: str, **params) -> DataFrame:
-    """Q01…Q17 through ``spark.sql`` over the views."""
-    register_helper_views(spark, transactions)
+def run_query(spark: SparkSession, transactions: DataFrame, name: str, row_bound: int | None = None, **params) -> DataFrame:
+    """Q01…Q17 through ``spark.sql`` over the views (``row_bound``: proven row count bound)."""
+    register_helper_views(spark, transactions, row_bound)
     if name == "q17":
         params.setdefault("month", 3)
     return spark.sql(sql_text(name, **params))
@@ -192,12 +198,12 @@ def high_risk_table(t: DataFrame) -> DataFrame:
     )
 
 
-def findings(spark: SparkSession, t: DataFrame) -> DataFrame:
+def findings(spark: SparkSession, t: DataFrame, row_bound: int | None = None) -> DataFrame:
     """REP-14: headline findings composed from Q04, Q05, Q14 and Q16 (one row)."""
-    q04 = run_query(spark, t, "q04")
-    q05 = run_query(spark, t, "q05")
-    q14 = run_query(spark, t, "q14")
-    q16 = run_query(spark, t, "q16")
+    q04 = run_query(spark, t, "q04", row_bound)
+    q05 = run_query(spark, t, "q05", row_bound)
+    q14 = run_query(spark, t, "q14", row_bound)
+    q16 = run_query(spark, t, "q16", row_bound)
     rate = t.agg(F.round(F.sum("potential_leakage") * F.lit(100.0).cast("decimal(4,1)") / F.count(F.lit(1)), 2).cast("double").alias("leakage_rate_pct"))
     month = q04.agg(F.min_by("month_name", F.struct(-F.col("leakage_rate_pct"), F.col("month"))).alias("highest_risk_month"))
     day = q14.agg(F.min_by("weekday", F.struct(-F.col("avg_risk_score"), F.col("weekday"))).alias("riskiest_day"))
