@@ -69,12 +69,23 @@ def payee_tokens(parsed: DataFrame, lookup: DataFrame, by: Sequence[str] = ()) -
     return numbered.withColumn("entity_id", F.format_string("%s_%03d", F.col("entity_type"), F.col("token_no")))
 
 
-def clean_transactions(processed: DataFrame, lookup: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """ANO-03/04: the 10-column clean table (raw description, balance, branch, cheque dropped)."""
-    by = list(by)
-    parsed = parse_channels(processed).select(
+def parsed_rows(processed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The parse result per row: ids, amounts, the ``__p`` struct and ``payee_key``."""
+    return parse_channels(processed).select(
         *by, "txn_no", "txn_date", "dr_amount", "cr_amount", "__p", F.col("__p.payee_key").alias("payee_key")
     )
+
+
+def clean_transactions(
+    processed: DataFrame, lookup: DataFrame, by: Sequence[str] = (), parsed: DataFrame | None = None
+) -> DataFrame:
+    """ANO-03/04: the 10-column clean table (raw description, balance, branch, cheque dropped).
+
+    ``parsed`` may be a stored ``parsed_rows`` table (the parse is then not repeated).
+    """
+    by = list(by)
+    if parsed is None:
+        parsed = parsed_rows(processed, by)
     tokens = payee_tokens(parsed, lookup, by).select(
         *by, "payee_key", F.col("category").alias("__cat"), F.col("entity_type").alias("__etype"), F.col("entity_id").alias("__eid")
     )

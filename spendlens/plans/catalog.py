@@ -59,9 +59,17 @@ def statement_lines(spark: SparkSession, sf: str) -> DataFrame:
     return statement.statement_lines_from_processed(_t(spark, sf).processed)
 
 
+_STAGE: dict[tuple, DataFrame] = {}
+
+
 def _after_header_rows(spark, sf) -> DataFrame:
-    lines = statement_lines(spark, sf)
-    return statement.id_filter(statement.repair_ragged(statement.after_header(statement.with_cells(lines))))
+    """Split, header-located, repaired and id-checked lines — a stage table, written once."""
+    k = (spark.sparkContext.applicationId, sf, "statement-rows")
+    if k not in _STAGE:
+        lines = statement_lines(spark, sf)
+        rows = statement.id_filter(statement.repair_ragged(statement.after_header(statement.with_cells(lines))))
+        _STAGE[k] = materialize(rows, "statement-rows", sf)
+    return _STAGE[k]
 
 
 def customer_lookup_raw(spark: SparkSession, sf: str) -> DataFrame:
@@ -92,8 +100,8 @@ def customer_lookup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def payee_keys(spark: SparkSession, sf: str) -> DataFrame:
-    p = parse_channels(_t(spark, sf).processed)
-    return p.select(F.col("__p.payee_key").alias("payee_key")).filter(F.col("payee_key").isNotNull()).distinct()
+    p = _t(spark, sf).parsed
+    return p.select("payee_key").filter(F.col("payee_key").isNotNull()).distinct()
 
 
 # ---------------------------------------------------------------------------
@@ -113,8 +121,7 @@ def ing_02(spark, sf):
 
 @key("ing_03")
 def ing_03(spark, sf):
-    rows = statement.repair_ragged(statement.after_header(statement.with_cells(statement_lines(spark, sf))))
-    return rows.select("file_path", "pos", "n_cells", "popped", "kept")
+    return _after_header_rows(spark, sf).select("file_path", "pos", "n_cells", "popped", "kept")
 
 
 @key("ing_04")
@@ -177,7 +184,7 @@ def ing_12(spark, sf):
 
 
 def _parsed(spark, sf) -> DataFrame:
-    return parse_channels(_t(spark, sf).processed)
+    return _t(spark, sf).parsed
 
 
 def _p(f):
@@ -212,7 +219,9 @@ def par_04(spark, sf):
 
 
 def _upi(spark, sf):
-    return _parsed(spark, sf).filter(F.col("__p.kind") == "UPI").withColumn(
+    # the raw payee field needs the original description: join the UPI ids back to it
+    upi = _parsed(spark, sf).filter(F.col("__p.kind") == "UPI").select("txn_no", "__p")
+    return upi.join(_t(spark, sf).processed.select("txn_no", "description"), on="txn_no", how="inner").withColumn(
         "__ds", D.stripped_description(F.col("description"))
     )
 
@@ -247,9 +256,7 @@ def par_09(spark, sf):
 @key("par_10")
 def par_10(spark, sf):
     t = _t(spark, sf)
-    return payee_tokens(parse_channels(t.processed).withColumn("payee_key", F.col("__p.payee_key")), t.lookup).select(
-        "payee_key", "category", "entity_type"
-    )
+    return payee_tokens(t.parsed, t.lookup).select("payee_key", "category", "entity_type")
 
 
 @key("ano_01")
@@ -261,9 +268,7 @@ def ano_01(spark, sf):
 @key("ano_02")
 def ano_02(spark, sf):
     t = _t(spark, sf)
-    return payee_tokens(parse_channels(t.processed).withColumn("payee_key", F.col("__p.payee_key")), t.lookup).select(
-        "payee_key", "entity_type", "entity_id", "first_date", "first_no"
-    )
+    return payee_tokens(t.parsed, t.lookup).select("payee_key", "entity_type", "entity_id", "first_date", "first_no")
 
 
 @key("ano_03")

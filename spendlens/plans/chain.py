@@ -1,9 +1,9 @@
 """The product chain: statement → clean → features → scored → predictions → load table.
 
 Each arrow is a ``DataFrame → DataFrame`` function, so Catalyst sees the whole chain.
-Three boundaries are materialised to the shared checkpoint folder because several
-products (or several branches of one plan) read them: the clean table, the feature table
-and the scored/predicted table.  Materialisation happens once
+Four boundaries are materialised to the shared checkpoint folder because several
+products (or several branches of one plan) read them: the parsed rows, the clean table,
+the feature table and the scored/predicted table.  Materialisation happens once
 per (application, input folder).
 """
 
@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spendlens.operators.anonymize import clean_transactions
+from spendlens.operators.anonymize import clean_transactions, parsed_rows
 from spendlens.operators.features import build_features
 from spendlens.operators.load import conform
 from spendlens.operators.predict import rule_predictions
@@ -26,6 +26,7 @@ from spendlens.sources.lookup import normalize_lookup
 @dataclass
 class Tables:
     processed: DataFrame
+    parsed: DataFrame
     lookup: DataFrame
     clean: DataFrame
     features: DataFrame
@@ -45,7 +46,12 @@ def build(spark: SparkSession, sf_dir: str, materialized: bool = True) -> Tables
         return _CACHE[key]
     processed = processed_from_orders(spark, sf_dir)
     lookup = normalize_lookup(raw_lookup(spark))
-    clean = clean_transactions(processed, lookup)
+    parsed = parsed_rows(processed)
+    if materialized:
+        # the description parse is read by the payee table and by the row join (and by the
+        # PAR/ANO products): parse once, store the stage
+        parsed = materialize(parsed, "parsed", sf_dir)
+    clean = clean_transactions(processed, lookup, parsed=parsed)
     n_rows = None
     if materialized:
         clean = materialize(clean, "clean", sf_dir)
@@ -65,7 +71,7 @@ def build(spark: SparkSession, sf_dir: str, materialized: bool = True) -> Tables
             "leakage_score", "risk_band",
         )
     transactions = conform(predictions)
-    tables = Tables(processed, lookup, clean, features, scored, predictions, transactions, n_rows)
+    tables = Tables(processed, parsed, lookup, clean, features, scored, predictions, transactions, n_rows)
     if materialized:
         _CACHE[key] = tables
     return tables
