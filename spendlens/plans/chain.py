@@ -64,7 +64,11 @@ def build(spark: SparkSession, sf_dir: str, materialized: bool = True) -> Tables
     scored = score_transactions(features, row_bound=n_rows)
     predictions = rule_predictions(scored)
     if materialized:
-        predictions = materialize(predictions, "predictions", sf_dir)
+        # the table every report reads: partitioned by (year, month) so month filters prune
+        cols = predictions.columns
+        predictions = materialize(
+            predictions, "predictions", sf_dir, partition_by=["year", "month"], cluster_key=["txn_no"]
+        ).select(*cols)
         scored = predictions.drop("predicted_leakage", "predicted_proba", "correctly_identified")
         features = scored.drop(
             "score_category", "score_amount", "score_frequency", "score_timing", "score_recency",

@@ -63,7 +63,9 @@ def table_path(spark: SparkSession, name: str, *parts: str) -> str:
     return f"{checkpoint_root(spark)}/spendlens/{spark.sparkContext.applicationId}/{name}-{key}"
 
 
-def materialize(df: DataFrame, name: str, *parts: str, partition_by: list[str] | None = None) -> DataFrame:
+def materialize(
+    df: DataFrame, name: str, *parts: str, partition_by: list[str] | None = None, cluster_key: list[str] | None = None
+) -> DataFrame:
     """Write ``df`` once to the shared folder and return a scan of it (cuts lineage).
 
     Re-running a task after an executor loss rewrites only that task's file; the
@@ -71,6 +73,11 @@ def materialize(df: DataFrame, name: str, *parts: str, partition_by: list[str] |
     """
     spark = df.sparkSession
     path = table_path(spark, name, *parts)
+    if partition_by:
+        # range-cluster on the partition columns plus a unique key: equal-sized tasks even
+        # under a skewed partition value, and each task writes one or two folders
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        df = df.repartitionByRange(n, *partition_by, *(cluster_key or []))
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
