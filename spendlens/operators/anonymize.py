@@ -89,7 +89,17 @@ def clean_transactions(
     tokens = payee_tokens(parsed, lookup, by).select(
         *by, "payee_key", F.col("category").alias("__cat"), F.col("entity_type").alias("__etype"), F.col("entity_id").alias("__eid")
     )
-    j = parsed.join(tokens, on=[*by, "payee_key"], how="left")
+    # Only UPI rows carry a payee key: they alone are joined.  The other rows (NULL key)
+    # bypass the shuffle — NULL keys would all hash to one reducer.
+    has_key = F.col("payee_key").isNotNull()
+    j = parsed.filter(has_key).join(tokens, on=[*by, "payee_key"], how="left").unionByName(
+        parsed.filter(~has_key).select(
+            "*",
+            F.lit(None).cast("string").alias("__cat"),
+            F.lit(None).cast("string").alias("__etype"),
+            F.lit(None).cast("string").alias("__eid"),
+        )
+    )
     p = lambda f: F.col(f"__p.{f}")
     clean_desc = F.coalesce(
         p("clean_description"),

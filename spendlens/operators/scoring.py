@@ -85,11 +85,15 @@ def risk_band(score: F.Column) -> F.Column:
 def amount_factor(features: DataFrame, by=(), row_bound: int | None = None) -> DataFrame:
     """SCO-02: ``rint(pct_rank * 20)`` among debits, 0 for every other row."""
     debit = F.col("direction") == "DEBIT"
-    debits = features.filter(debit).select(*by, "dr_amount")
-    pct = pct_rank_table(debits, "dr_amount", "__pct", by=by, row_bound=row_bound)
-    j = features.join(pct, on=[*by, "dr_amount"], how="left")
-    score = F.when(debit, F.rint(F.col("__pct") * 20.0).cast("int")).otherwise(F.lit(0))
-    return j.withColumn("score_amount", score).drop("__pct")
+    debits = features.filter(debit)
+    pct = pct_rank_table(debits.select(*by, "dr_amount"), "dr_amount", "__pct", by=by, row_bound=row_bound)
+    # only debits are joined with the per-amount table; every other row scores 0 without a
+    # shuffle (credits all have dr_amount = 0 and would land on one reducer)
+    scored = debits.join(pct, on=[*by, "dr_amount"], how="left").select(
+        *features.columns, F.rint(F.col("__pct") * 20.0).cast("int").alias("score_amount")
+    )
+    others = features.filter(~debit | F.col("direction").isNull()).withColumn("score_amount", F.lit(0))
+    return scored.unionByName(others)
 
 
 def score_transactions(features: DataFrame, row_bound: int | None = None) -> DataFrame:
