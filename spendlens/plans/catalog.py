@@ -544,8 +544,6 @@ def rep_14(spark, sf):
     return reports.findings(spark, _tx(spark, sf), _t(spark, sf).n_rows)
 
 
-_ = materialize  # re-exported for callers that stage their own tables
-
 
 # ---------------------------------------------------------------------------
 # ML (MLlib jobs; model outputs are materialised once per application and input)

@@ -107,9 +107,6 @@ def run_query(spark: SparkSession, transactions: DataFrame, name: str, row_bound
 # REP: profiling and dashboard datasets
 # ---------------------------------------------------------------------------
 
-_STATS = ["count", "mean", "std", "min", "p25", "p50", "p75", "max"]
-
-
 def _describe_aggs(col: str) -> list:
     x = F.col(col).cast("double")
     q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))

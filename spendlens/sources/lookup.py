@@ -26,8 +26,6 @@ def read_lookup_csv(spark: SparkSession, path: str) -> DataFrame:
 
     A missing file gives an empty lookup (the reference only warns).
     """
-    from py4j.protocol import Py4JJavaError  # noqa: F401  (kept for callers' except)
-
     try:
         raw = (
             spark.read.option("header", True)
