@@ -9,14 +9,25 @@ created when the setting is unset (local tests).
 from __future__ import annotations
 
 import hashlib
+import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def _default_driver_memory() -> str:
+    """Local mode runs every task in the driver JVM: give it 60 % of RAM, at most 16 GB."""
+    try:
+        total = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+    except (ValueError, OSError, AttributeError):
+        return "4g"
+    return f"{max(1, min(16, int(total * 0.6) >> 30))}g"
+
+
 def get_spark(
-    master: str = "local[*]", shuffle_partitions: int = 8, app: str = "spendlens", driver_memory: str = "16g"
+    master: str = "local[*]", shuffle_partitions: int = 8, app: str = "spendlens", driver_memory: str | None = None
 ) -> SparkSession:
+    driver_memory = driver_memory or os.environ.get("SPENDLENS_DRIVER_MEMORY") or _default_driver_memory()
     builder = (
         SparkSession.builder.master(master)
         .appName(app)
