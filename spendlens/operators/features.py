@@ -16,6 +16,8 @@ Plan shape (row-level shuffles in brackets):
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,9 +107,10 @@ def refined_category(category: F.Column, direction: F.Column, count: F.Column, d
     )
 
 
-def entity_day_table(df: DataFrame) -> DataFrame:
+def entity_day_table(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Per (entity, active date): partial sums, the first txn_no, entity aggregates, lag."""
-    day = df.groupBy("entity_id", "txn_date").agg(
+    by = list(by)
+    day = df.groupBy(*by, "entity_id", "txn_date").agg(
         F.count(F.lit(1)).alias("__n"),
         F.sum("dr_amount").alias("__dr"),
         F.sum("cr_amount").alias("__cr"),
@@ -115,7 +118,7 @@ def entity_day_table(df: DataFrame) -> DataFrame:
         F.count_if(F.col("direction") == "CREDIT").alias("__ncredit"),
         F.min("txn_no").alias("__first_no"),
     )
-    ent = day.groupBy("entity_id").agg(
+    ent = day.groupBy(*by, "entity_id").agg(
         F.sum("__n").alias("entity_transaction_count"),
         F.sum("__dr").alias("entity_total_amount"),
         F.sum("__cr").alias("__cr_total"),
@@ -128,6 +131,7 @@ def entity_day_table(df: DataFrame) -> DataFrame:
     avg_dr = round_half_even(F.col("entity_total_amount").cast("double") / n, 2)
     days_active = F.datediff("entity_last_seen", "entity_first_seen") + 1
     ent = ent.select(
+        *by,
         "entity_id",
         "entity_transaction_count",
         "entity_total_amount",
@@ -142,20 +146,23 @@ def entity_day_table(df: DataFrame) -> DataFrame:
         round_half_even(n / days_active, 3).alias("entity_transactions_per_day"),
         frequency_label(n).alias("entity_frequency"),
     )
-    prev_day = F.lag("txn_date").over(Window.partitionBy("entity_id").orderBy("txn_date"))
-    day = day.select("entity_id", "txn_date", "__first_no", prev_day.alias("__prev_day"))
-    return day.join(ent, on="entity_id", how="inner")
+    prev_day = F.lag("txn_date").over(Window.partitionBy(*by, "entity_id").orderBy("txn_date"))
+    day = day.select(*by, "entity_id", "txn_date", "__first_no", prev_day.alias("__prev_day"))
+    return day.join(ent, on=[*by, "entity_id"], how="inner")
 
 
-def build_features(clean: DataFrame, row_bound: int | None = None) -> DataFrame:
-    """FEA-01…13 in the reference's step order; returns the 56 columns.
+def build_features(clean: DataFrame, row_bound: int | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """FEA-01…13 in the reference's step order; returns the 56 columns (after ``by``).
 
     ``row_bound`` (an upper bound on the rows, e.g. a count of the clean table) lets the
-    running totals use one ordered window when that is provably small.
+    running totals use one ordered window when that is provably small.  ``by`` (e.g.
+    ``["account_id"]``) makes every aggregate, lag, running total and monthly total per
+    group; empty reproduces the single-statement reference.
     """
+    by = list(by)
     base = amount_features(time_features(clean))
-    days = entity_day_table(base)
-    rows = base.join(days, on=["entity_id", "txn_date"], how="inner")
+    days = entity_day_table(base, by)
+    rows = base.join(days, on=[*by, "entity_id", "txn_date"], how="inner")
 
     # FEA-02 needs the entity count; the refined category feeds FEA-09/10.
     rows = rows.withColumn(
@@ -165,8 +172,8 @@ def build_features(clean: DataFrame, row_bound: int | None = None) -> DataFrame:
 
     # FEA-07/08 recency.
     prev = F.when(F.col("txn_no") == F.col("__first_no"), F.col("__prev_day")).otherwise(F.col("txn_date"))
-    max_date = days.agg(F.max("entity_last_seen").alias("__max_date"))
-    rows = attach_group_totals(rows.withColumn("previous_transaction_date", prev), max_date, [])
+    max_date = days.groupBy(*by).agg(F.max("entity_last_seen").alias("__max_date"))
+    rows = attach_group_totals(rows.withColumn("previous_transaction_date", prev), max_date, by)
     days_since = F.coalesce(F.datediff("txn_date", "previous_transaction_date"), F.lit(-1))
     rows = rows.select(
         "*",
@@ -194,7 +201,7 @@ def build_features(clean: DataFrame, row_bound: int | None = None) -> DataFrame:
     )
 
     # FEA-12 running totals in (txn_date, txn_no) order.
-    rows = prefix_sums(rows, "txn_date", "txn_no", ["cr_amount", "dr_amount"], row_bound=row_bound)
+    rows = prefix_sums(rows, "txn_date", "txn_no", ["cr_amount", "dr_amount"], by=by, row_bound=row_bound)
     rows = rows.select(
         "*",
         F.col("cr_amount__cum").alias("running_income"),
@@ -203,12 +210,14 @@ def build_features(clean: DataFrame, row_bound: int | None = None) -> DataFrame:
     )
 
     # FEA-13 monthly aggregates: ≤ 12 rows per year, broadcast.
-    monthly = base.groupBy("year", "month").agg(
+    monthly = base.groupBy(*by, "year", "month").agg(
         F.sum("dr_amount").alias("monthly_spend"), F.sum("cr_amount").alias("monthly_income")
     )
     monthly = monthly.withColumn("monthly_savings", F.col("monthly_income") - F.col("monthly_spend"))
-    rows = rows.join(F.broadcast(monthly), on=["year", "month"], how="left")
-    return rows.select(*FEATURE_COLUMNS)
+    # without groups the table has ≤ 12 rows per year: broadcast; per account it grows with
+    # the accounts, so the join strategy is left to AQE
+    rows = rows.join(F.broadcast(monthly) if not by else monthly, on=[*by, "year", "month"], how="left")
+    return rows.select(*by, *FEATURE_COLUMNS)
 
 
 def leakage_rate(features: DataFrame) -> DataFrame:

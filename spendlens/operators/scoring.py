@@ -96,9 +96,9 @@ def amount_factor(features: DataFrame, by=(), row_bound: int | None = None) -> D
     return scored.unionByName(others)
 
 
-def score_transactions(features: DataFrame, row_bound: int | None = None) -> DataFrame:
-    """SCO-01…07: the 63-column scored table."""
-    df = amount_factor(features, row_bound=row_bound)
+def score_transactions(features: DataFrame, row_bound: int | None = None, by=()) -> DataFrame:
+    """SCO-01…07: the 63-column scored table (the amount rank is per ``by`` group)."""
+    df = amount_factor(features, by=list(by), row_bound=row_bound)
     df = df.select(
         *features.columns,
         score_category(F.col("category")).alias("score_category"),
