@@ -4,9 +4,8 @@ Every source gets a target number of words: weights 5, 2, 1 repeat over the sour
 order (null last), targets share ``share`` times all words and stop at ``limit`` times a source's
 own words; what a full source leaves is shared again by weight.  Targets become whole blocks of
 ``block`` words in two apportionments by highest quotients ``v / (2 s + 1)``: all blocks over the
-sources, then a source's blocks over its shards.  Neither lists the blocks: with the mean quotient
-as a divisor every party's seats are known up to rounding, and only the few seats around the
-rounding are decided by comparing quotients.
+sources, then a source's blocks over its shards.  Neither lists the blocks: two divisors bracket
+every party's seats, and only the few seats between them are decided by comparing quotients.
 
 A shard holds about ``shard_rows`` documents of one source, dealt by a seeded hash, so a source
 with a third of all rows is many shards and one window never holds more than a shard.  Inside a
@@ -64,31 +63,27 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, limi
     return level.select("source", "source_size", "weight", target.alias("target"))
 
 
-def sainte_lague(parties: DataFrame, value: str, seats: str, most: str, by: list[str], key: list[str], out: str) -> DataFrame:
+def sainte_lague(parties: DataFrame, value: str, seats: str, most: str, by: list[str], key: str, out: str) -> DataFrame:
     """Seats by highest quotients ``value / (2 s + 1)`` inside each ``by`` group, at most ``most`` each.
 
-    ``seats`` is the group's number of seats.  Rounding ``value / divisor`` at the mean quotient
-    misses the total by at most half a seat per party; the seats over or short are given or taken
-    one at a time to distinct parties by the next (or last) quotient.  Equal quotients go by ``key``.
+    ``seats`` is the group's number of seats, n its number of parties.  Rounding ``value / divisor``
+    misses the total by at most n / 2, so the divisors for n seats less and 2 n seats more bracket the
+    result: below the first a seat is certain, above the second none is given, and only the at most
+    few n seats between them are ranked by quotient.  Equal quotients go by ``key``.
     """
     group = Window.partitionBy(*by)
-    share = F.col(value) * F.col(seats) / F.sum(value).over(group)
-    base = F.least(F.col(most), F.floor(F.coalesce(share, F.lit(0.0)) + 0.5)).cast("long")
-    df = parties.withColumn("__s", base)
-    for _ in range(2):  # the second pass hands on what parties at their limit could not take
-        df = df.withColumn("__miss", F.col(seats) - F.sum("__s").over(group))
-        up = F.when(F.col("__s") < F.col(most), F.col(value) / (2 * F.col("__s") + 1))
-        down = F.when(F.col("__s") > 0, F.col(value) / (2 * F.col("__s") - 1))
-        rank_up = F.row_number().over(group.orderBy(up.desc_nulls_last(), *key))
-        rank_down = F.row_number().over(group.orderBy(down.asc_nulls_last(), *key))
-        df = df.withColumn(
-            "__s",
-            F.col("__s")
-            + F.when((F.col("__miss") > 0) & up.isNotNull() & (rank_up <= F.col("__miss")), 1)
-            .when((F.col("__miss") < 0) & down.isNotNull() & (rank_down <= -F.col("__miss")), -1)
-            .otherwise(0),
-        )
-    return df.withColumn(out, F.col("__s")).drop("__s", "__miss")
+    share = lambda number: F.floor(F.coalesce(F.col(value) * number / F.nullif(F.sum(value).over(group), F.lit(0)), F.lit(0.0)) + 0.5)
+    n = F.count(F.lit(1)).over(group)
+    known = parties.withColumns({
+        "__low": F.least(F.col(most), F.greatest(F.lit(0), share(F.col(seats) - n))).cast("long"),
+        "__high": F.least(F.col(most), share(F.col(seats) + 2 * n)).cast("long"),
+    }).withColumn("__open", F.col(seats) - F.sum("__low").over(group))
+    between = F.when(F.col("__high") > F.col("__low"), F.sequence("__low", F.col("__high") - 1))
+    ranked = known.withColumn("__seat", F.explode_outer(between)).withColumn("__quotient", F.col(value) / (2 * F.col("__seat") + 1))
+    order = group.orderBy(F.col("__quotient").desc_nulls_last(), F.col(key).asc_nulls_last())
+    won = ranked.withColumn("__won", (F.col("__seat").isNotNull() & (F.row_number().over(order) <= F.col("__open"))).cast("long"))
+    carried = [F.first(c).alias(c) for c in parties.columns if c not in (*by, key)]
+    return won.groupBy(*by, key).agg(*carried, (F.first("__low") + F.sum("__won")).alias(out))
 
 
 def mix(
@@ -103,16 +98,17 @@ def mix(
     )
     targets = targets.drop("__source").withColumn("seats", F.sum(F.round(F.col("target") / block)).over(Window.partitionBy()).cast("long"))
     targets = targets.withColumn("most", F.floor(F.col("source_size") * limit / block)).withColumn("__all", F.lit(0))
-    quotas = sainte_lague(targets, "target", "seats", "most", ["__all"], ["source"], "quota").drop("__all", "seats", "most", "weight")
+    quotas = sainte_lague(targets, "target", "seats", "most", ["__all"], "source", "quota").drop("__all", "seats", "most", "weight")
 
-    order = F.xxhash64(F.col("doc_id"), F.lit(seed))
+    digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")))
+    order = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
     dealt = sized.join(quotas.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
     dealt = dealt.withColumn("__h", order).withColumn(
         "shard", F.pmod(F.shiftright("__h", 20), F.ceil(F.col("rows") / shard_rows))
     )
     shards = dealt.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("quota").alias("quota"))
     shards = shards.withColumn("most", F.floor(F.col("shard_size") * limit / block))
-    shards = sainte_lague(shards, "shard_size", "quota", "most", ["source"], ["shard"], "shard_quota")
+    shards = sainte_lague(shards, "shard_size", "quota", "most", ["source"], "shard", "shard_quota")
     shards = shards.select(F.col("source").alias("__source"), F.col("shard").alias("__shard"), "shard_size", "shard_quota")
     placed = dealt.join(shards, F.col("source").eqNullSafe(F.col("__source")) & (F.col("shard") == F.col("__shard")))
     seeded = Window.partitionBy("source", "shard").orderBy("__h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
