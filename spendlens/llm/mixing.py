@@ -51,14 +51,14 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, limi
     most = F.col("source_size") * F.lit(float(limit))
     level = known.select(
         "*",
+        F.row_number().over(fullness).alias("place"),
         most.alias("most"),
         (F.sum("source_size").over(everything) * F.lit(share) - F.coalesce(F.sum(most).over(before), F.lit(0.0))).alias("left"),
         (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))).alias("weight_left"),
     ).withColumn("full", F.col("most") * F.col("weight_left") <= F.col("left") * F.col("weight"))
     # the first source that is not full fixes the level for it and all after it
-    level = level.withColumn(
-        "level", F.min(F.when(~F.col("full"), F.struct(F.col("source_size") / F.col("weight"), F.col("left") / F.col("weight_left")))).over(everything).getField("col2")
-    )
+    first_open = F.min_by(F.col("left") / F.col("weight_left"), F.when(~F.col("full"), F.col("place")))
+    level = level.withColumn("level", first_open.over(everything))
     target = F.when(F.col("full"), F.col("most")).otherwise(F.col("weight") * F.col("level"))
     return level.select("source", "source_size", "weight", target.alias("target"))
 
@@ -69,7 +69,9 @@ def sainte_lague(parties: DataFrame, value: str, seats: str, most: str, by: list
     ``seats`` is the group's number of seats, n its number of parties.  Rounding ``value / divisor``
     misses the total by at most n / 2, so the divisors for n seats less and 2 n seats more bracket the
     result: below the first a seat is certain, above the second none is given, and only the at most
-    few n seats between them are ranked by quotient.  Equal quotients go by ``key``.
+    few n seats between them are ranked by quotient.  Equal quotients go by ``key``.  A limit below a
+    party's rounded share is no seat lost for others only within the bracket; the callers' limits
+    cut off less than a seat.
     """
     group = Window.partitionBy(*by)
     share = lambda number: F.floor(F.coalesce(F.col(value) * number / F.nullif(F.sum(value).over(group), F.lit(0)), F.lit(0.0)) + 0.5)
@@ -96,8 +98,8 @@ def mix(
     targets = source_targets(per_source.select("source", "source_size"), weights, share, limit).join(
         per_source.select(F.col("source").alias("__source"), "rows"), F.col("source").eqNullSafe(F.col("__source"))
     )
-    targets = targets.drop("__source").withColumn("seats", F.sum(F.round(F.col("target") / block)).over(Window.partitionBy()).cast("long"))
-    targets = targets.withColumn("most", F.floor(F.col("source_size") * limit / block)).withColumn("__all", F.lit(0))
+    targets = targets.drop("__source").withColumn("most", F.floor(F.col("source_size") * limit / block))
+    targets = targets.withColumn("seats", F.sum(F.least("most", F.round(F.col("target") / block))).over(Window.partitionBy()).cast("long")).withColumn("__all", F.lit(0))
     quotas = sainte_lague(targets, "target", "seats", "most", ["__all"], "source", "quota").drop("__all", "seats", "most", "weight")
 
     digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")))

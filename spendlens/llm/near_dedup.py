@@ -8,7 +8,8 @@ that set.  Two documents link when 100 * |A & B| >= percent * |A | B|, decided o
    their ``k`` values (``SURE`` standard deviations below the mean; sets of at most k shingles are
    their own sketch and the bound is exact), so ordering each sketch from the rarest value up, its
    first ``size - need + 1`` values must meet the other's: only those make lists.  Values that many
-   documents share stand last and are mostly not listed.
+   documents share stand last and are mostly not listed; members of lists that are long all the same
+   are listed by their full sets, where the bound is exact and such values hardly ever come up.
 3. A list is not multiplied out.  Each member is paired with the list's first member (linear).
    Pairs pass a union-sketch estimate, then exact Jaccard on full sets, and links are grouped into
    components.  Only then are pairs across components made, for lists that still hold several: a
@@ -39,6 +40,7 @@ from spendlens.llm.common import SPACE_WORDS, chunks, hash_runs, hash_words, mix
 
 K = 64
 SURE = 6.0
+CROWD = 64  # longer lists are replaced by exact ones
 VERIFY_MEMBERS = 256  # members checked against one set in one group; larger lists are split
 
 
@@ -88,20 +90,17 @@ def sketches(docs: DataFrame, n: int, k: int) -> DataFrame:
     return on_workers(docs).select("doc_id", "text").mapInArrow(run, schema)
 
 
-def postings(classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """(value, digest, n) of the listed values: each sketch's rarest ones, as many as the bound asks.
+def rarest(each: DataFrame, need) -> DataFrame:
+    """(value, digest, n) of the listed values: each class's rarest ones, ``size - need + 1`` of them.
 
-    Rarity is counted over all classes.  Values of one class only meet nobody and are left out
-    after they have taken their place in the order.
+    ``each``: (digest, n, size, value), all values of every class.  Two classes that share ``need`` of
+    their values have a common one among those.  Rarity is counted over all rows of ``each``; values of
+    one class only meet nobody and are left out after they have taken their place in the order.
     """
-    each = classes.select("digest", F.col("n_shingles").alias("n"), F.size("sketch").alias("size"), F.explode("sketch").alias("value"))
     often = each.groupBy("value").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
-    full = shared_values(k, percent)
-    # whole sets (at most k shingles): |A & B| >= percent/100 |A|; else the sketch bound
-    need = F.when(F.col("n") <= F.lit(k), F.least(F.lit(full), F.ceil(F.col("n") * percent / 100.0))).otherwise(F.lit(full))
     ranked = each.join(often, "value").groupBy("digest").agg(
         F.first("n").alias("n"), F.first("size").alias("size"),
-        F.sort_array(F.collect_list(F.struct("often", "value"))).alias("values"),  # at most k per class
+        F.sort_array(F.collect_list(F.struct("often", "value"))).alias("values"),  # of one document
     )
     room = F.col("size") - need + 1 - (F.col("size") - F.size("values"))  # places left after the lone values
     listed = ranked.withColumn("room", room.cast("int")).where("room > 0")
@@ -110,6 +109,71 @@ def postings(classes: DataFrame, k: int, percent: int) -> DataFrame:
     )
 
 
+def whole_sets(percent: int):
+    """Values that a set of n shares with any set it links with."""
+    return F.ceil(F.col("n") * percent / 100.0)
+
+
+def postings(classes: DataFrame, docs: DataFrame, rows: DataFrame, shingle: int, k: int, percent: int) -> DataFrame:
+    """Inverted lists (value, digest, n) that hold a common value of any two classes that may link.
+
+    The lists come from the sketches.  A sketch bound is loose (it allows for chance), so classes made
+    mostly of common values, such as a passage in many documents, would fill long lists with pairs that
+    never link.  Members of lists longer than ``CROWD`` are therefore listed by their full sets instead,
+    where the bound is exact; two linked classes that only meet in a long list are both listed so.
+    """
+    each = classes.select("digest", F.col("n_shingles").alias("n"), F.size("sketch").alias("size"), F.explode("sketch").alias("value"))
+    full = shared_values(k, percent)
+    # a set of at most k shingles is its own sketch
+    need = F.when(F.col("n") <= F.lit(k), F.least(F.lit(full), whole_sets(percent))).otherwise(F.lit(full))
+    listed = stage(rarest(each, need), "sketch-lists")
+    members = listed.groupBy("value").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    sized = stage(listed.join(members, "value"), "sized-lists")
+    crowded = stage(sized.where(F.col("members") > CROWD).select("digest").distinct(), "crowded")
+    sets = full_sets(docs, rows, crowded, shingle, "crowded-sets").join(crowded, "digest", "left_semi")
+    exact = rarest(shingles_of(sets), whole_sets(percent))
+    return sized.where(F.col("members") <= CROWD).select("value", "digest", "n").unionByName(exact)
+
+
+def full_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, n: int, name: str) -> DataFrame:
+    """(digest, members) of the wanted classes: the packed shingle hashes, from one document of each class.
+
+    ``rows``: (doc_id, digest).  A repeated doc_id brings texts of other classes along; the digest is
+    computed again, and one row per digest is kept.
+    """
+    sample = rows.join(wanted, "digest", "left_semi").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
+    texts = docs.select("doc_id", "text").join(sample.select("doc_id"), "doc_id", "left_semi")
+
+    def sets(batches):
+        for batch in batches:
+            for _, some in chunks(utf8(batch.column(1))):
+                found = [s for s in shingle_sets(some, n) if len(s)]
+                yield pa.record_batch(
+                    [
+                        pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in found], pa.binary()),
+                        pa.array([s.tobytes() for s in found], pa.binary()),
+                    ],
+                    names=["digest", "members"],
+                )
+
+    return stage(on_workers(texts).mapInArrow(sets, "digest binary, members binary").dropDuplicates(["digest"]), name)
+
+
+def shingles_of(sets: DataFrame) -> DataFrame:
+    """(digest, n, size, value): one row per member of full sets."""
+
+    def run(batches):
+        for batch in batches:
+            for low in range(0, batch.num_rows, 256):
+                found = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1).slice(low, 256)]
+                sizes = np.array([len(x) for x in found], np.int64)
+                digests = batch.column(0).slice(low, 256).take(pa.array(np.repeat(np.arange(len(found)), sizes)))
+                each = pa.array(np.repeat(sizes, sizes))
+                yield pa.record_batch([digests, each, each, pa.array(np.concatenate(found))], names=["digest", "n", "size", "value"])
+
+    return on_workers(sets).mapInArrow(run, "digest binary, n long, size long, value long")
+
+
 def _may_link(percent: int):
     """Sizes alone allow the similarity."""
     return (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
@@ -179,23 +243,7 @@ def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, n: int, percent
     dealt = pairs.join(fan, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("fan") / VERIFY_MEMBERS)).cast("int"))
     dealt = stage(dealt.select("a", "b", "salt"), "pairs")
     wanted = dealt.select(F.col("a").alias("digest")).unionAll(dealt.select("b")).distinct()
-    sample = rows.join(wanted, "digest", "left_semi").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    texts = docs.select("doc_id", "text").join(sample.select("doc_id"), "doc_id", "left_semi")
-
-    def sets(batches):
-        for batch in batches:
-            for _, some in chunks(utf8(batch.column(1))):
-                found = [s for s in shingle_sets(some, n) if len(s)]
-                yield pa.record_batch(
-                    [
-                        pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in found], pa.binary()),
-                        pa.array([s.tobytes() for s in found], pa.binary()),
-                    ],
-                    names=["digest", "members"],
-                )
-
-    full = on_workers(texts).mapInArrow(sets, "digest binary, members binary").dropDuplicates(["digest"])
-    full = stage(full, "sets")
+    full = full_sets(docs, rows, wanted, n, "sets")
     hubs = dealt.select("a", "salt").distinct().join(full.withColumnRenamed("digest", "a"), "a")
     partners = dealt.join(full.withColumnRenamed("digest", "b"), "b")
     together = hubs.select("a", "salt", F.lit(None).cast("binary").alias("b"), "members").unionAll(partners.select("a", "salt", "b", "members"))
@@ -245,7 +293,8 @@ def near_duplicates(docs: DataFrame, shingle: int, percent: int, k: int = K) ->
     named = rows.where("doc_id is not null and digest is not null")
     # the class's name is its smallest doc_id
     classes = stage(named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "classes")
-    listed = stage(postings(classes, k, percent), "postings")
+    ids = named.select("doc_id", "digest")
+    listed = stage(postings(classes, docs, ids, shingle, k, percent), "postings")
     of = classes.select("digest", "rep")
 
     # a repeated doc_id can stand in several classes: they are one node
@@ -257,7 +306,7 @@ def near_duplicates(docs: DataFrame, shingle: int, percent: int, k: int = K) ->
         ).select("u", "v")
 
     def links_of(pairs: DataFrame, name: str) -> DataFrame:
-        return stage(verified(stage(estimated(pairs, classes, k, percent), name), docs, named.select("doc_id", "digest"), shingle, percent), f"{name}-links")
+        return stage(verified(stage(estimated(pairs, classes, k, percent), name), docs, ids, shingle, percent), f"{name}-links")
 
     first = stage(to_nodes(links_of(star_pairs(listed, percent), "star-pairs")).unionAll(same), "first-links")
     comp = stage(components(first), "first-components")

@@ -86,7 +86,7 @@ seats as (
 ), won as (
     select source, count(*) as quota
     from (select source, row_number() over (order by quotient desc, source nulls last) as place from seats)
-    where place <= (select sum(round(target / 32))::bigint from targets) group by source
+    where place <= (select sum(least(round(target / 32), source_size * 2 // 32))::bigint from targets) group by source
 ), dealt as (
     select doc_id, sized.source, size, h, source_size, target, coalesce(quota, 0) as quota,
            (h >> 20) % ceil(n_rows / 2000.0)::bigint as shard

@@ -35,7 +35,7 @@ from spendlens.llm.common import on_workers, stage, stage_path, text_of
 
 SEQ_LEN = 2048
 ROWS_PER_BATCH = 256
-CACHE_PIECES = 600_000
+CACHE_PIECES = 1_000_000
 PIECES_PER_CALL = 400
 END_ID = 0
 
@@ -56,7 +56,7 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # a control string inside a text is plain text
-        self.ids: dict[str, bytes] = {}
+        self.ids: dict[str, bytes] = {}  # of words, by what follows a space
         size = self.library.get_vocab_size()
         self.kind = np.uint16 if size <= 1 << 16 else np.uint32
         self.byte_length = np.zeros(size, np.int64)
@@ -64,47 +64,61 @@ class Encoder:
             self.byte_length[i] = len(token)  # one letter of the byte alphabet per byte
 
     @staticmethod
-    def pieces(text: str) -> list[str]:
-        """Parts of the text, each but the first led by its white space; joined, they are the text."""
-        if text[:1] in ("", " ", "\n") or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text or _ODD.search(text):
-            return _PIECES.findall(text)
-        first, *rest = text.split(" ")
-        return [first, *map(" ".__add__, rest)]
+    def plain(text: str) -> bool:
+        """Single spaces and newlines are the text's only white space, and it neither starts nor ends with one."""
+        return not (
+            text[:1] in ("", " ", "\n") or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text or _ODD.search(text)
+        )
 
     def learn(self, pieces: list[str]) -> dict[str, bytes]:
-        """Encode pieces that are not yet known; returns them."""
-        plain = [p for p in pieces if p[0] in " \n"]  # may follow any text without joining it
-        groups = [plain[i : i + PIECES_PER_CALL] for i in range(0, len(plain), PIECES_PER_CALL)]
-        groups += [[p] for p in pieces if p[0] not in " \n"]
+        """Ids of pieces; a piece led by a space or newline may follow any text without joining it."""
+        led = [p for p in pieces if p[0] in " \n" and not p.isspace()]
+        groups = [led[i : i + PIECES_PER_CALL] for i in range(0, len(led), PIECES_PER_CALL)]
+        groups += [[p] for p in pieces if p[0] not in " \n" or p.isspace()]
         found = {}
         encoded = self.library.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)
         for group, e in zip(groups, encoded, strict=True):
             ids = np.array(e.ids, dtype=self.kind)
-            if len(group) == 1:
-                found[group[0]] = ids.tobytes()
-                continue
+            raw, width = ids.tobytes(), ids.itemsize
             at = np.cumsum(self.byte_length[ids])
             ends = np.cumsum([len(p.encode()) for p in group])
-            cut = np.searchsorted(at, ends, side="left") + 1
-            raw, width = ids.tobytes(), ids.itemsize
             low = 0
-            for p, high in zip(group, (cut * width).tolist(), strict=True):
+            for p, high in zip(group, ((np.searchsorted(at, ends, side="left") + 1) * width).tolist(), strict=True):
                 found[p] = raw[low:high]
                 low = high
-        if len(self.ids) + len(found) <= CACHE_PIECES:
-            self.ids.update(found)
         return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as packed integers of ``kind``."""
-        cut = [self.pieces(t) for t in texts]
-        known = self.ids
-        missing = {p for ps in cut for p in ps if p not in known}
-        if missing:
-            found = self.learn(sorted(missing))
-            if len(known) + len(found) > CACHE_PIECES:
-                known = {**found, **{p: known[p] for ps in cut for p in ps if p not in found}}
-        return [b"".join([known[p] for p in ps]) for ps in cut]
+        """Each text's ids as packed integers of ``kind``.
+
+        ``self.ids`` knows words by what follows a single space; other pieces (a text's first word,
+        pieces with other white space) are encoded by their whole text.
+        """
+        get = self.ids.get
+        held, unknown, whole = [], set(), set()
+        for t in texts:
+            if self.plain(t):
+                first, *words = t.split(" ")
+                ids = list(map(get, words))
+                if None in ids:
+                    unknown.update(w for w, i in zip(words, ids, strict=True) if i is None)
+                held.append(([first], words, ids))
+                whole.add(first)
+            else:
+                pieces = _PIECES.findall(t)
+                held.append((pieces, [], []))
+                whole.update(pieces)
+        led = self.learn([" " + w for w in unknown])
+        new = {w: led[" " + w] for w in unknown}
+        if len(self.ids) + len(new) <= CACHE_PIECES:
+            self.ids.update(new)
+        other = self.learn(list(whole))
+        out = []
+        for pieces, words, ids in held:
+            if None in ids:
+                ids = [new[w] if i is None else i for w, i in zip(words, ids, strict=True)]
+            out.append(b"".join([*(other[p] for p in pieces), *ids]))
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -227,16 +241,22 @@ class SequenceReader:
         self.source = pa.memory_map(f"{path}/{name}") if local else store.open_input_file(f"{path}/{name}")
         self.file = pa.ipc.open_file(self.source)
         meta = self.file.schema.metadata
+        self.at, self.ids, self.mask = -1, None, None  # the batch read last
         self.per_batch = int(meta[b"rows_per_batch"]) * int(meta[b"seq_len"])
 
-    def parts(self, start: int, count: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def _batch(self, k: int) -> tuple[np.ndarray, pa.Array]:
+        if self.at != k:
+            batch = self.file.get_batch(k)
+            self.at, self.ids, self.mask = k, batch.column(0).flatten().to_numpy(), batch.column(1).flatten()
+        return self.ids, self.mask
+
+    def parts(self, start: int, count: int) -> Iterator[tuple[np.ndarray, pa.Array]]:
         """(ids, mask) slices that make up ``count`` ids from ``start`` on."""
         while count > 0:
             k, low = divmod(start, self.per_batch)
             take = min(count, self.per_batch - low)
-            batch = self.file.get_batch(k)
-            ids, mask = (batch.column(c).flatten().slice(low, take) for c in (0, 1))
-            yield ids.to_numpy(), mask.to_numpy(zero_copy_only=False)
+            ids, mask = self._batch(k)
+            yield ids[low : low + take], mask.slice(low, take)
             start, count = start + take, count - take
 
     def close(self) -> None:
@@ -261,7 +281,7 @@ def read_documents(manifest: DataFrame, folder: str) -> DataFrame:
                 crc, real, last = 0, 0, -1
                 for ids, mask in reader.parts(start, n):
                     crc = zlib.crc32(ids.astype("<u4"), crc)
-                    real += int(mask.sum())
+                    real += mask.true_count
                     last = int(ids[-1])
                 counts.append(real)
                 sums.append(crc)

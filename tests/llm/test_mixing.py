@@ -12,8 +12,10 @@ from tests.llm.common import documents, empty, prose
 @pytest.mark.parametrize("seed", range(4))
 def test_sainte_lague_equals_all_quotients(spark, seed):
     r = random.Random(seed)
-    rows = [("g", 0, f"p{i}", float(r.choice([0, 1, 3, 40, 900]) * r.random()), r.choice([3, 400]), r.choice([0, 7, 100, 333])) for i in range(40)]
-    rows = [(g, z, k, v, m, rows[0][5]) for g, z, k, v, m, _ in rows]
+    values, seats_in_all = [float(r.choice([0, 1, 3, 40, 900]) * r.random()) for _ in range(40)], r.choice([0, 7, 100, 333, 2000])
+    # limits cut off less than a seat, as the mix's do
+    limits = [r.choice([int(v * seats_in_all / sum(values)) + 1, 4000]) for v in values]
+    rows = [("g", 0, f"p{i}", v, m, seats_in_all) for i, (v, m) in enumerate(zip(values, limits, strict=True))]
     df = spark.createDataFrame(rows, "g string, z int, k string, v double, m long, s long")
     got = {x.k: x.seats for x in mixing.sainte_lague(df, "v", "s", "m", ["g"], "k", "seats").collect()}
     seats = sorted(((-v / (2 * s + 1), k) for _, _, k, v, m, _ in rows for s in range(m) if v > 0))[: rows[0][5]]
