@@ -39,9 +39,6 @@ PERSON_CATEGORIES = ("Transfer", "Bank Transfer", "Income")
 PHONE_RE = "(?U)\\b\\d{10}\\b"
 UPI_HANDLE_RE = "(?U)[\\w.\\-]+@\\w+"
 
-FIELDS = ("payment_mode", "direction", "category", "entity_type", "entity_id", "clean_description")
-
-
 def _any_contains(c: Column, needles) -> Column:
     cond = F.lit(False)
     for n in needles:
@@ -54,21 +51,6 @@ def stripped_description(desc: Column) -> Column:
     return py_strip(F.coalesce(desc, F.lit("")))
 
 
-def channel_kind(ds: Column) -> Column:
-    """PAR-01: which rule fires, in the reference's precedence order (``ds`` stripped)."""
-    d = F.upper(ds)
-    return (
-        F.when(d.startswith("SMS CHRG") | d.contains("SMS CHARGE"), F.lit("SMS"))
-        .when(d.contains("INT.PD") | d.contains("INTEREST PAID"), F.lit("INTEREST"))
-        .when(d.contains("ATM"), F.lit("ATM"))
-        .when(d.startswith("NEFT"), F.lit("NEFT"))
-        .when(d.startswith("IMPS"), F.lit("IMPS"))
-        .when(d.startswith("UPI"), F.lit("UPI"))
-        .when(d.contains("POS"), F.lit("CARD"))
-        .otherwise(F.lit("OTHER"))
-    )
-
-
 def neft_direction(ds: Column) -> Column:
     """PAR-04: NEFT is a credit iff the text carries ``/IN/`` or ``-IN-``."""
     d = F.upper(ds)
@@ -116,7 +98,7 @@ def entity_type_of(category: Column) -> Column:
 
 def parse_struct(ds: Column) -> Column:
     """PAR-01…06 in one CASE: a struct (kind, payment_mode, direction, category,
-    entity_type, entity_id, clean_description, payee_key) for the stripped text ``ds``.
+    entity_type, entity_id, clean_description, payee_key, payee_raw, n_parts) for the text ``ds``.
 
     Each rule condition is written once; UPI rows carry the payee key and leave the
     category/entity fields NULL (they come from the payee table).
@@ -133,6 +115,8 @@ def parse_struct(ds: Column) -> Column:
             F.lit(values[4]).alias("entity_id"),
             F.lit(values[5]).alias("clean_description"),
             F.lit(None).cast("string").alias("payee_key"),
+            F.lit(None).cast("string").alias("payee_raw"),
+            F.lit(None).cast("int").alias("n_parts"),
         )
 
     upi = F.struct(
@@ -144,6 +128,8 @@ def parse_struct(ds: Column) -> Column:
         F.lit(None).cast("string").alias("entity_id"),
         F.lit(None).cast("string").alias("clean_description"),
         payee_key(ds).alias("payee_key"),
+        upi_payee_raw(ds).alias("payee_raw"),
+        n_parts(ds, "/").cast("int").alias("n_parts"),
     )
     return (
         F.when(d.startswith("SMS CHRG") | d.contains("SMS CHARGE"), fixed("SMS", SMS_CHARGE))
@@ -155,13 +141,3 @@ def parse_struct(ds: Column) -> Column:
         .when(d.contains("POS"), fixed("CARD", CARD))
         .otherwise(fixed("OTHER", OTHER))
     )
-
-
-def fixed_rule(kind: Column, field: str, ds: Column) -> Column:
-    """PAR-02/03/04: the value of ``field`` for the fixed (non-UPI) channels."""
-    i = FIELDS.index(field)
-    expr = F.when(kind == "SMS", F.lit(SMS_CHARGE[i])).when(kind == "INTEREST", F.lit(INTEREST[i]))
-    expr = expr.when(kind == "ATM", F.lit(ATM[i]))
-    expr = expr.when(kind == "NEFT", neft_direction(ds) if NEFT[i] is None else F.lit(NEFT[i]))
-    expr = expr.when(kind == "IMPS", F.lit(IMPS[i])).when(kind == "CARD", F.lit(CARD[i]))
-    return expr.otherwise(F.lit(OTHER[i]))

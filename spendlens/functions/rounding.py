@@ -46,21 +46,6 @@ def div_round_half_up(num: Column, den: Column, digits: int = 2) -> Column:
     return (signed.cast("double") / F.lit(float(scale))).cast("double")
 
 
-def money_mean_half_up(sum_money: Column, n: Column) -> Column:
-    """ROUND(AVG(money), 2) half away from zero, from an exact money sum and a count."""
-    return div_round_half_up(cents(sum_money), n, 0) / F.lit(100.0)
-
-
-def money_half_up(x_cents: Column, scale_num: int, scale_den: int = 1) -> Column:
-    """ROUND(cents * num / den / 100, 2) exactly (e.g. ``SUM(dr) * 0.5``)."""
-    return div_round_half_up(x_cents * scale_num, F.lit(scale_den), 0) / F.lit(100.0)
-
-
-def pct_half_up(part: Column, whole: Column, digits: int = 2) -> Column:
-    """ROUND(part * 100.0 / whole, digits) for integer part/whole (NULL if whole = 0)."""
-    return div_round_half_up(part.cast("long") * 100, whole, digits)
-
-
 def money(x: Column | str) -> Column:
     """Money output type for reports: DOUBLE converted from the exact decimal."""
     return _c(x).cast("double")

@@ -8,12 +8,11 @@
 3. keys are categorised (lookup joins + keyword rules) and numbered per entity type in
    first-appearance order with the distributed row number (R4), giving
    ``PERSON_001``… / ``MERCHANT_001``… (``%03d`` widens past 999);
-4. one join of the rows with the key table.
+4. one join of the rows with the key table, frequent payees apart.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -21,8 +20,7 @@ from pyspark.sql import functions as F
 
 from spendlens.functions.describe import entity_type_of, parse_struct, stripped_description
 from spendlens.operators.categorize import categorize_keys
-from spendlens.operators.ordered import date_id_levels, row_number_by
-from spendlens.session import materialize
+from spendlens.operators.ordered import join_heavy_keys, row_number_by
 
 CLEAN_COLUMNS = [
     "txn_no",
@@ -43,32 +41,49 @@ def parse_channels(processed: DataFrame) -> DataFrame:
     return processed.withColumn("__p", parse_struct(stripped_description(F.col("description"))))
 
 
-def payee_tokens(parsed: DataFrame, lookup: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """ANO-02 key table: (payee_key, category, entity_type, entity_id, first_date, first_no)."""
+def payee_table(parsed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The distinct payee keys: first appearance and number of rows (a partial aggregation)."""
     by = list(by)
-    keys = (
+    return (
         parsed.select(*by, F.col("__p.payee_key").alias("payee_key"), "txn_date", "txn_no")
         .filter(F.col("payee_key").isNotNull())
         .groupBy(*by, "payee_key")
-        .agg(F.min(F.struct("txn_date", "txn_no")).alias("__first"))
-        .select(*by, "payee_key", F.col("__first.txn_date").alias("first_date"), F.col("__first.txn_no").alias("first_no"))
+        .agg(F.min(F.struct("txn_date", "txn_no")).alias("__first"), F.count(F.lit(1)).alias("n_rows"))
+        .select(*by, "payee_key", F.col("__first.txn_date").alias("first_date"), F.col("__first.txn_no").alias("first_no"), "n_rows")
     )
-    # One row per distinct payee (far fewer than transactions); the categorisation joins and
-    # the numbering levels read it several times, so it is written once.
-    keys = materialize(keys, "payee-keys", uuid.uuid4().hex)
-    n_keys = keys.count()  # parquet footers: proves the size of the numbering input
-    typed = categorize_keys(keys, lookup, "payee_key").withColumn("entity_type", entity_type_of(F.col("category")))
+
+
+def typed_payees(keys: DataFrame, lookup: DataFrame) -> DataFrame:
+    """PAR-10: category and entity type of distinct payee keys."""
+    return categorize_keys(keys, lookup, "payee_key").withColumn("entity_type", entity_type_of(F.col("category")))
+
+
+def payee_tokens(parsed: DataFrame, lookup: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """ANO-02 key table: (payee_key, category, entity_type, entity_id, first_date, first_no, n_rows).
+
+    The numbering stores its input by ranges of first appearance, so the categorisation runs once.
+    """
+    by = list(by)
     numbered = row_number_by(
-        typed,
+        typed_payees(payee_table(parsed, by), lookup),
         [("first_date", True), ("first_no", True)],
-        date_id_levels("first_date", "first_no"),
         "token_no",
         by=[*by, "entity_type"],
-        row_bound=n_keys,
     )
     return numbered.withColumn("entity_id", F.format_string("%s_%03d", F.col("entity_type"), F.col("token_no")))
 
 
+def hashed_tokens(parsed: DataFrame, lookup: DataFrame, salt: str, by: Sequence[str] = ()) -> DataFrame:
+    """ANO-02, second mode: tokens from a salted hash of the payee key.
+
+    No counter, so no order: the same payee has the same token in every load, also across
+    statements that are processed apart.
+    """
+    typed = typed_payees(payee_table(parsed, by), lookup)
+    digest = F.substring(F.sha2(F.concat(F.lit(salt), F.lit("|"), F.col("payee_key")), 256), 1, 12)
+    return typed.withColumn("entity_id", F.concat_ws("_", F.col("entity_type"), digest))
+
+
 def parsed_rows(processed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """The parse result per row: ids, amounts, the ``__p`` struct and ``payee_key``."""
     return parse_channels(processed).select(
@@ -77,22 +92,27 @@ def parsed_rows(processed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def clean_transactions(
-    processed: DataFrame, lookup: DataFrame, by: Sequence[str] = (), parsed: DataFrame | None = None
+    processed: DataFrame, lookup: DataFrame, by: Sequence[str] = (), parsed: DataFrame | None = None,
+    tokens: DataFrame | None = None,
 ) -> DataFrame:
     """ANO-03/04: the 10-column clean table (raw description, balance, branch, cheque dropped).
 
-    ``parsed`` may be a stored ``parsed_rows`` table (the parse is then not repeated).
+    ``parsed`` may be a stored ``parsed_rows`` table and ``tokens`` a stored ``payee_tokens`` table
+    (their work is then not repeated).
     """
     by = list(by)
     if parsed is None:
         parsed = parsed_rows(processed, by)
-    tokens = payee_tokens(parsed, lookup, by).select(
-        *by, "payee_key", F.col("category").alias("__cat"), F.col("entity_type").alias("__etype"), F.col("entity_id").alias("__eid")
+    if tokens is None:
+        tokens = payee_tokens(parsed, lookup, by)
+    tokens = tokens.select(
+        *by, "payee_key", F.col("category").alias("__cat"), F.col("entity_type").alias("__etype"), F.col("entity_id").alias("__eid"), "n_rows"
     )
     # Only UPI rows carry a payee key: they alone are joined.  The other rows (NULL key)
     # bypass the shuffle — NULL keys would all hash to one reducer.
     has_key = F.col("payee_key").isNotNull()
-    j = parsed.filter(has_key).join(tokens, on=[*by, "payee_key"], how="left").unionByName(
+    # Frequent payees are joined apart.
+    j = join_heavy_keys(parsed.filter(has_key), tokens, [*by, "payee_key"], "n_rows").unionByName(
         parsed.filter(~has_key).select(
             "*",
             F.lit(None).cast("string").alias("__cat"),

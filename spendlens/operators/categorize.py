@@ -5,8 +5,8 @@ Work is done on the **distinct** payee keys, never per transaction.
 * exact match: equi-join ``key = merchant_name``;
 * first substring in lookup order: each lookup name is found through its rarest trigram —
   the payee keys are exploded into all their trigrams (whole text), equi-joined on the
-  name's rarest trigram, and every candidate is verified with ``instr``; names shorter
-  than three characters (a bounded set) are matched by a broadcast nested-loop join;
+  name's rarest trigram, and every candidate is verified with ``instr``; names of one or two
+  characters are equi-joined with the keys' substrings of that length, an empty name matches all;
   ``min_by(category, pos)`` picks the first name in lookup order;
 * otherwise the keyword rules (PAR-09).
 """
@@ -17,21 +17,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendlens.functions.describe import keyword_category
+from spendlens.operators.ordered import attach_group_totals
 
 GRAM = 3
 
 
-def _grams(df: DataFrame, text_col: str) -> DataFrame:
-    """Distinct (text, trigram) pairs over the whole text."""
+def _grams(df: DataFrame, text_col: str, size: int = GRAM) -> DataFrame:
+    """Distinct (text, substring of ``size`` characters) pairs over the whole text."""
     return df.select(
         text_col,
         F.explode(
             F.transform(
-                F.sequence(F.lit(1), F.greatest(F.length(text_col) - GRAM + 1, F.lit(1))),
-                lambda i: F.substring(F.col(text_col), i, GRAM),
+                F.sequence(F.lit(1), F.greatest(F.length(text_col) - size + 1, F.lit(1))),
+                lambda i: F.substring(F.col(text_col), i, size),
             )
         ).alias("__gram"),
-    ).filter(F.length("__gram") == GRAM).distinct()
+    ).filter(F.length("__gram") == size).distinct()
 
 
 def _substring_matches(keys: DataFrame, lookup: DataFrame, key_col: str) -> DataFrame:
@@ -56,13 +57,14 @@ def _substring_matches(keys: DataFrame, lookup: DataFrame, key_col: str) -> Data
         .filter(F.instr(F.col(key_col), F.col("merchant_name")) > 0)
         .select(key_col, "pos", "category")
     )
-    # Names of 0-2 characters: a bounded set of short strings, broadcast.
-    short_names = lookup.filter(F.length("merchant_name") < GRAM)
-    short_hits = (
-        keys.join(F.broadcast(short_names), F.instr(F.col(key_col), F.col("merchant_name")) > 0, "inner")
-        .select(key_col, "pos", "category")
-    )
-    return long_hits.unionByName(short_hits)
+    hits = long_hits
+    for size in range(1, GRAM):
+        names = lookup.filter(F.length("merchant_name") == size).withColumnRenamed("merchant_name", "__gram")
+        hits = hits.unionByName(_grams(keys.select(key_col), key_col, size).join(names, on="__gram").select(key_col, "pos", "category"))
+    # an empty name is in every key; normalised names are distinct, so there is at most one
+    empty = lookup.filter(F.length("merchant_name") == 0).agg(F.min("pos").alias("pos"), F.min_by("category", "pos").alias("category"))
+    everywhere = attach_group_totals(keys.select(key_col), empty, []).filter(F.col("pos").isNotNull())
+    return hits.unionByName(everywhere.select(key_col, "pos", "category"))
 
 
 def first_substring_match(keys: DataFrame, lookup: DataFrame, key_col: str = "payee_key") -> DataFrame:

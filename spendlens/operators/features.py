@@ -8,9 +8,10 @@ Plan shape (row-level shuffles in brackets):
   ``day`` again, and the previous active date of an entity (FEA-07, recipe R5) is a
   ``lag`` over ``day`` partitioned by entity (at most one row per active date, so a
   skewed entity such as ``BANK_TRANSFER`` or ``UNKNOWN`` stays small);
-* rows join the enriched ``day`` table once [shuffle 1]; the first row of a day takes the
-  previous active date, the others the same date;
-* running totals (FEA-12) are the distributed prefix sum R1 [shuffle 2];
+* running totals (FEA-12) are the distributed prefix sum R1 over the stored, range-partitioned clean
+  table [shuffle 1];
+* rows join the enriched ``day`` table once [shuffle 2], days that hold very many rows apart; the
+  first row of a day takes the previous active date, the others the same date;
 * monthly aggregates (FEA-13) are at most 12 rows per year: broadcast.
 """
 
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendlens.functions.rounding import round_half_even
-from spendlens.operators.ordered import attach_group_totals, prefix_sums
+from spendlens.operators.ordered import PART, attach_group_totals, join_heavy_keys, null_safe_join, prefix_sums, range_parts
 
 # Thresholds of the feature definitions.
 MICRO_LEAKAGE_MAX = 500
@@ -32,6 +33,7 @@ RECURRING_MIN_COUNT = 3
 REGULAR_MIN_COUNT = 5
 LONG_TERM_DAYS = 30
 RECENT_DAYS = 30
+TOTAL = "decimal(38,2)"  # totals grow with the data
 LEAKAGE_CATEGORIES = ("Food", "Shopping", "Entertainment", "Subscription")
 
 FEATURE_COLUMNS = [
@@ -107,10 +109,9 @@ def refined_category(category: F.Column, direction: F.Column, count: F.Column, d
     )
 
 
-def entity_day_table(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Per (entity, active date): partial sums, the first txn_no, entity aggregates, lag."""
-    by = list(by)
-    day = df.groupBy(*by, "entity_id", "txn_date").agg(
+def _day_sums(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Per (entity, active date): partial sums and the first txn_no."""
+    return df.groupBy(*by, "entity_id", "txn_date").agg(
         F.count(F.lit(1)).alias("__n"),
         F.sum("dr_amount").alias("__dr"),
         F.sum("cr_amount").alias("__cr"),
@@ -118,9 +119,14 @@ def entity_day_table(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.count_if(F.col("direction") == "CREDIT").alias("__ncredit"),
         F.min("txn_no").alias("__first_no"),
     )
+
+
+def entity_table(day: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """FEA-04/05/06 per entity, aggregated from the per-day sums."""
+    by = list(by)
     ent = day.groupBy(*by, "entity_id").agg(
         F.sum("__n").alias("entity_transaction_count"),
-        F.sum("__dr").alias("entity_total_amount"),
+        F.sum("__dr").cast(TOTAL).alias("entity_total_amount"),
         F.sum("__cr").alias("__cr_total"),
         F.min("txn_date").alias("entity_first_seen"),
         F.max("txn_date").alias("entity_last_seen"),
@@ -130,7 +136,7 @@ def entity_day_table(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     n = F.col("entity_transaction_count")
     avg_dr = round_half_even(F.col("entity_total_amount").cast("double") / n, 2)
     days_active = F.datediff("entity_last_seen", "entity_first_seen") + 1
-    ent = ent.select(
+    return ent.select(
         *by,
         "entity_id",
         "entity_transaction_count",
@@ -146,23 +152,51 @@ def entity_day_table(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         round_half_even(n / days_active, 3).alias("entity_transactions_per_day"),
         frequency_label(n).alias("entity_frequency"),
     )
+
+
+def entity_totals(clean: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """FEA-04/05/06: one row per entity."""
+    return entity_table(_day_sums(clean, by), by)
+
+
+def entity_day_table(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Per (entity, active date): the number of rows, the first txn_no, entity aggregates, lag."""
+    by = list(by)
+    day = _day_sums(df, by)
     prev_day = F.lag("txn_date").over(Window.partitionBy(*by, "entity_id").orderBy("txn_date"))
-    day = day.select(*by, "entity_id", "txn_date", "__first_no", prev_day.alias("__prev_day"))
-    return day.join(ent, on=[*by, "entity_id"], how="inner")
+    dated = day.select(*by, "entity_id", "txn_date", "__n", "__first_no", prev_day.alias("__prev_day"))
+    return dated.join(entity_table(day, by), on=[*by, "entity_id"], how="inner")
+
+
+def monthly_totals(clean: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """FEA-13: spend, income and savings per (year, month)."""
+    d = F.col("txn_date")
+    monthly = clean.groupBy(*by, F.year(d).alias("year"), F.month(d).alias("month")).agg(
+        F.sum("dr_amount").cast(TOTAL).alias("monthly_spend"), F.sum("cr_amount").cast(TOTAL).alias("monthly_income")
+    )
+    return monthly.withColumn("monthly_savings", (F.col("monthly_income") - F.col("monthly_spend")).cast(TOTAL))
 
 
-def build_features(clean: DataFrame, row_bound: int | None = None, by: Sequence[str] = ()) -> DataFrame:
+def build_features(clean: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """FEA-01…13 in the reference's step order; returns the 56 columns (after ``by``).
 
-    ``row_bound`` (an upper bound on the rows, e.g. a count of the clean table) lets the
-    running totals use one ordered window when that is provably small.  ``by`` (e.g.
-    ``["account_id"]``) makes every aggregate, lag, running total and monthly total per
-    group; empty reproduces the single-statement reference.
+    ``clean`` is best stored by ``range_parts`` in (txn_date, txn_no) order (the chain does so);
+    otherwise it is stored here.  ``by`` (e.g. ``["account_id"]``) makes every aggregate, lag, running
+    total and monthly total per group; empty reproduces the single-statement reference.
     """
     by = list(by)
-    base = amount_features(time_features(clean))
-    days = entity_day_table(base, by)
-    rows = base.join(days, on=[*by, "entity_id", "txn_date"], how="inner")
+    stored = clean if PART in clean.columns else range_parts(clean, [("txn_date", True), ("txn_no", True)], by, "clean-ordered")
+    plain = stored.drop(PART)
+    days = entity_day_table(plain, by)
+
+    # FEA-12 running totals in (txn_date, txn_no) order.
+    running = prefix_sums(stored, "txn_date", "txn_no", ["cr_amount", "dr_amount"], by=by)
+    income, expense = F.col("cr_amount__cum").cast(TOTAL), F.col("dr_amount__cum").cast(TOTAL)
+    running = running.select(
+        *plain.columns, income.alias("running_income"), expense.alias("running_expense"), (income - expense).cast(TOTAL).alias("net_cash_flow")
+    )
+    base = amount_features(time_features(running))
+    rows = join_heavy_keys(base, days, [*by, "entity_id", "txn_date"], "__n")
 
     # FEA-02 needs the entity count; the refined category feeds FEA-09/10.
     rows = rows.withColumn(
@@ -200,23 +234,13 @@ def build_features(clean: DataFrame, row_bound: int | None = None, by: Sequence[
         (debit & in_leak).cast("int").alias("potential_leakage"),
     )
 
-    # FEA-12 running totals in (txn_date, txn_no) order.
-    rows = prefix_sums(rows, "txn_date", "txn_no", ["cr_amount", "dr_amount"], by=by, row_bound=row_bound)
-    rows = rows.select(
-        "*",
-        F.col("cr_amount__cum").alias("running_income"),
-        F.col("dr_amount__cum").alias("running_expense"),
-        (F.col("cr_amount__cum") - F.col("dr_amount__cum")).alias("net_cash_flow"),
-    )
-
-    # FEA-13 monthly aggregates: ≤ 12 rows per year, broadcast.
-    monthly = base.groupBy(*by, "year", "month").agg(
-        F.sum("dr_amount").alias("monthly_spend"), F.sum("cr_amount").alias("monthly_income")
-    )
-    monthly = monthly.withColumn("monthly_savings", F.col("monthly_income") - F.col("monthly_spend"))
-    # without groups the table has ≤ 12 rows per year: broadcast; per account it grows with
-    # the accounts, so the join strategy is left to AQE
-    rows = rows.join(F.broadcast(monthly) if not by else monthly, on=[*by, "year", "month"], how="left")
+    # FEA-13 monthly aggregates.  Without groups the table has ≤ 12 rows per year: broadcast; per
+    # account it grows with the accounts, so the join strategy is left to AQE.
+    monthly = monthly_totals(plain, by)
+    if by:
+        rows = null_safe_join(rows, monthly, [*by, "year", "month"])
+    else:
+        rows = rows.join(F.broadcast(monthly), on=["year", "month"], how="left")
     return rows.select(*by, *FEATURE_COLUMNS)
 
 

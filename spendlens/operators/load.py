@@ -46,13 +46,25 @@ LOAD_SCHEMA = [
 ]
 LOAD_COLUMNS = [c for c, _ in LOAD_SCHEMA]
 
+# Totals and counts grow with the data: the table holds them wider than the reference's types, so
+# they are exact at any size.  Everything else must fit the reference's type (see ``rejects``).
+TOTALS = {
+    "entity_total_amount", "running_income", "running_expense", "net_cash_flow",
+    "monthly_spend", "monthly_income", "monthly_savings",
+}
+COUNTS = {"entity_transaction_count", "entity_debit_count", "entity_credit_count"}
+RATES = {"entity_transactions_per_day"}
 
-def _spark_type(sql_type: str) -> str:
+
+def _spark_type(name: str, sql_type: str) -> str:
     t = sql_type.upper()
     if t.startswith("VARCHAR") or t == "TEXT":
         return "string"
     if t.startswith("NUMERIC"):
-        return "decimal" + t[len("NUMERIC"):]
+        p, s = _numeric_bound(t)
+        return f"decimal({38 if name in TOTALS else max(p, 18)},{s})"
+    if name in COUNTS:
+        return "bigint"
     return {"INT": "int", "DATE": "date", "BOOLEAN": "boolean"}[t]
 
 
@@ -78,28 +90,33 @@ def conform(df: DataFrame) -> DataFrame:
     """SNK-01/02: project to the 64 target columns with the target types.
 
     Missing columns become typed NULLs; numerics are rounded to the column scale
-    (half away from zero, like a NUMERIC insert); ``try_cast`` leaves overflow NULL so
-    that ``rejects`` can report it instead of failing mid-write.
+    (half away from zero, like a NUMERIC insert).  No value is lost: a number beyond even the
+    stored type is an error, never a NULL.
     """
     cols = []
     for name, sql_type in LOAD_SCHEMA:
-        t = _spark_type(sql_type)
+        t = _spark_type(name, sql_type)
         if name not in df.columns:
             cols.append(F.lit(None).cast(t).alias(name))
             continue
         src = F.col(name)
         nb = _numeric_bound(sql_type)
         if nb is not None:
-            src = F.round(src.cast("decimal(38,10)"), nb[1])
-        cols.append(src.try_cast(t).alias(name))
+            exact = F.round(src, nb[1])
+            kept = exact.try_cast(t)
+            message = F.concat(F.lit(f"{name} beyond {t}: "), src.cast("string"))
+            cols.append(F.when(src.isNotNull() & kept.isNull(), F.raise_error(message).cast(t)).otherwise(kept).alias(name))
+            continue
+        cols.append(src.cast(t).alias(name))
     return df.select(*cols)
 
 
-def rejects(source: DataFrame, conformed_cols: list[str] | None = None) -> DataFrame:
+def rejects(source: DataFrame) -> DataFrame:
     """SNK-02/05: rows that the table constraints would reject, with the reason.
 
-    Checks VARCHAR lengths, NUMERIC overflow, ``txn_date NOT NULL`` and ``txn_no`` not
-    null.  Duplicate keys are not rejected (the insert keeps the first).
+    Checks VARCHAR lengths, NUMERIC overflow (totals and rates aside, which the table holds
+    wider), ``txn_date NOT NULL`` and ``txn_no`` not null.  Duplicate keys are not rejected (the
+    insert keeps the first).
     """
     reasons = []
     for name, sql_type in LOAD_SCHEMA:
@@ -109,12 +126,10 @@ def rejects(source: DataFrame, conformed_cols: list[str] | None = None) -> DataF
         if n is not None:
             reasons.append(F.when(F.length(F.col(name).cast("string")) > n, F.lit(f"{name}: longer than {n}")))
         nb = _numeric_bound(sql_type)
-        if nb is not None:
+        if nb is not None and name not in TOTALS | RATES:
             p, s = nb
             limit = 10 ** (p - s)
-            reasons.append(
-                F.when(F.abs(F.round(F.col(name).cast("decimal(38,10)"), s)) >= F.lit(limit), F.lit(f"{name}: overflows NUMERIC({p},{s})"))
-            )
+            reasons.append(F.when(F.abs(F.round(F.col(name), s)) >= F.lit(limit), F.lit(f"{name}: overflows NUMERIC({p},{s})")))
     reasons.append(F.when(F.col("txn_date").isNull(), F.lit("txn_date: NOT NULL")))
     reasons.append(F.when(F.col("txn_no").isNull(), F.lit("txn_no: PRIMARY KEY is NULL")))
     arr = F.filter(F.array(*reasons), lambda x: x.isNotNull())
@@ -156,6 +171,26 @@ def insert_new(target: DataFrame | None, incoming: DataFrame, seq_cols: list[str
     return batch.join(target.select("txn_no"), on="txn_no", how="left_anti")
 
 
+class LoadError(ValueError):
+    """A load that the table constraints refuse; nothing was written."""
+
+
+def load_table(source: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """SNK-02…05: check, conform and write ``source``; raises ``LoadError`` before writing anything.
+
+    A source without one of the target columns loads NULLs there and is reported by a warning, like
+    the reference's.
+    """
+    if absent := missing_columns(source):
+        import logging
+
+        logging.getLogger(__name__).warning("columns left NULL: %s", ", ".join(absent))
+    bad = rejects(source).limit(5).collect()
+    if bad:
+        raise LoadError("; ".join(f"{r.txn_no}: {', '.join(r.reasons)}" for r in bad))
+    write_table(conform(source), path, mode)
+
+
 def write_table(df: DataFrame, path: str, mode: str = "overwrite", max_records_per_file: int = 5_000_000) -> None:
     """SNK-03: full refresh (``overwrite``) or append, partitioned by year and month.
 

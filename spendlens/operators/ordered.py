@@ -2,184 +2,75 @@
 
 The reference sorts the whole table and walks it (cumulative sums, ranks, NTILE,
 first-appearance numbering).  A plain ``Window.orderBy`` with no partition puts every row
-in one task.  Here every such operator is a *running sum* over a total order, computed
-level by level:
-
-* rows are grouped into small, order-contiguous buckets (for example
-  ``(txn_date, first 7 characters of txn_no)``), and the buckets are aggregated;
-* the running sum of the bucket table gives each bucket its offset — recursively, with
-  coarser buckets, until the table left is tiny (months, scores, hash prefixes);
-* each row adds its offset to a window *partitioned by its bucket*.
-
-Bucket functions must be monotone (non-decreasing) in the order, so a bucket is a
-contiguous run of the order.  Each level maps the previous level's values (same column
-names), so levels compose.  A bucket is bounded by construction (for example 1,000
-consecutive ids of one day), so no task holds a skewed key's whole group.
+in one task.  Here every such operator is a *running sum* over a total order:
+
+1. rows are range-partitioned on the order keys (sampled boundaries, so parts are of like size
+   whatever the keys look like) and written once to the shared folder with their part's number;
+2. sums per stored part, and a running sum over the parts (one row per part and group), give each
+   part its offset;
+3. each row adds its part's offset to a window partitioned by part.
+
+That is one range shuffle, at every size; nothing depends on the format of ids.  Order keys should
+be unique per row (equal keys share a part).  NULL keys sort first in ascending and last in
+descending order; group columns may be NULL.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendlens.functions.rounding import idiv
+from spendlens.session import materialize
 
-Level = dict[str, Callable[[Column], Column]]
 Order = Sequence[tuple[str, bool]]  # (column, ascending)
 
+PART = "__part"
+
 
 def _sort(order: Order) -> list[Column]:
     return [F.col(c).asc() if asc else F.col(c).desc() for c, asc in order]
 
 
-def _rows_to_current(partition: Sequence[str], order: Order):
-    return (
-        Window.partitionBy(*partition)
-        .orderBy(*_sort(order))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+def range_parts(df: DataFrame, order: Order, by: Sequence[str] = (), name: str = "ordered") -> DataFrame:
+    """``df`` stored by ranges of (by, order), with the range's number in ``__part``."""
+    dealt = df.drop(PART).repartitionByRange(*[F.col(c).asc() for c in by], *_sort(order))
+    return materialize(dealt.withColumn(PART, F.spark_partition_id()), name, uuid.uuid4().hex)
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
+    """Equi-join that matches NULL keys; the keys appear once (the left side's)."""
+    renamed = right.select(*[F.col(c).alias(f"__r_{c}") if c in on else F.col(c) for c in right.columns])
+    cond = F.lit(True)
+    for c in on:
+        cond = cond & F.col(c).eqNullSafe(F.col(f"__r_{c}"))
+    return left.join(renamed, cond, how).drop(*[f"__r_{c}" for c in on])
 
 
 def running_sum(
-    df: DataFrame,
-    order: Order,
-    values: Sequence[str],
-    levels: Sequence[Level],
-    by: Sequence[str] = (),
-    suffix: str = "__cum",
+    df: DataFrame, order: Order, values: Sequence[str], by: Sequence[str] = (), suffix: str = "__cum"
 ) -> DataFrame:
     """Inclusive running sums of ``values`` in ``order`` (per ``by`` group).
 
-    Adds ``<value><suffix>`` columns.  ``levels`` go from fine to coarse; the last
-    level's table must be small (it is ordered in one window per ``by`` group).  Order
-    keys must be non-null and, for row-exact results, unique within ``by``.
+    Adds ``<value><suffix>`` columns.  A table that ``range_parts`` stored in this very order is
+    used as it is; any other is stored first.
     """
-    order = list(order)
-    by = list(by)
-    out_cols = df.columns
-    if not levels:
-        w = _rows_to_current(by, order)
-        return df.select(*out_cols, *[F.sum(v).over(w).alias(v + suffix) for v in values])
-
-    level = levels[0]
-    gcols = [f"__g{i}_{c}" for i, (c, _) in enumerate(order)]
-    keyed = df.select(
-        *out_cols,
-        *[(level[c](F.col(c)) if c in level else F.col(c)).alias(g) for (c, _), g in zip(order, gcols)],
-    )
-    # One row-level shuffle per level: rows are hash-partitioned by bucket, the running
-    # sum inside the bucket is computed there, and both the bucket totals (a group-by on
-    # the same partitioning, no new exchange) and the final join reuse that exchange.
-    w = _rows_to_current([*by, *gcols], order)
-    inside = keyed.select("*", *[F.sum(v).over(w).alias(v + "__in") for v in values])
-    buckets = (
-        inside.groupBy(*by, *gcols)
-        .agg(*[F.sum(v).alias(v) for v in values])
-        .select(*by, *[F.col(g).alias(c) for (c, _), g in zip(order, gcols)], *values)
-    )
-    bucket_cum = running_sum(buckets, order, values, levels[1:], by=by, suffix=suffix)
-    offsets = bucket_cum.select(
-        *by,
-        *[F.col(c).alias(g) for (c, _), g in zip(order, gcols)],
-        *[(F.col(v + suffix) - F.col(v)).alias(v + "__off") for v in values],
-    )
-    joined = inside.join(offsets, on=[*by, *gcols], how="inner")
+    order, by = list(order), list(by)
+    out_cols = [c for c in df.columns if c != PART]
+    stored = df if PART in df.columns else range_parts(df, order, by)
+    sums = stored.groupBy(*by, PART).agg(*[F.sum(v).alias(v) for v in values])
+    before = Window.partitionBy(*by).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*by, PART, *[F.sum(v).over(before).alias(v + "__off") for v in values])
+    joined = null_safe_join(stored, offsets, by + [PART], "inner") if by else stored.join(offsets, PART, "inner")
+    inside = Window.partitionBy(*by, PART).orderBy(*_sort(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return joined.select(
-        *out_cols,
-        *[(F.col(v + "__off") + F.col(v + "__in")).alias(v + suffix) for v in values],
+        *out_cols, *[(F.coalesce(F.col(v + "__off"), F.lit(0)) + F.sum(v).over(inside)).alias(v + suffix) for v in values]
     )
 
 
-# Inputs proven (by a count) to hold at most this many rows are ordered in one window: a
-# task sorts a few hundred MB at most.  Without a bound, every bucket level is used.
-SINGLE_TASK_ROWS = 2_000_000
-
-
-def bounded(levels: Sequence[Level], row_bound: int | None) -> list[Level]:
-    """``levels`` unless ``row_bound`` (an upper bound on the input rows) proves one task suffices."""
-    if row_bound is not None and row_bound <= SINGLE_TASK_ROWS:
-        return []
-    return list(levels)
-
-
-# ---------------------------------------------------------------------------
-# Level presets
-# ---------------------------------------------------------------------------
-
-
-def prefix(n: int) -> Callable[[Column], Column]:
-    """Fixed-length string prefix: monotone in byte-wise string order."""
-    return lambda c: F.substring(c, 1, n)
-
-
-def const(value) -> Callable[[Column], Column]:
-    return lambda c: F.lit(value).cast("string") if isinstance(value, str) else F.lit(value)
-
-
-def identity(c: Column) -> Column:
-    return c
-
-
-def month_start(c: Column) -> Column:
-    return F.trunc(c, "month")
-
-
-def year_start(c: Column) -> Column:
-    return F.trunc(c, "year")
-
-
-def floor_div(step: int) -> Callable[[Column], Column]:
-    """Numeric bucket ``floor(x / step) * step``: monotone, relative to the previous level."""
-    return lambda c: F.floor(c / F.lit(step)) * F.lit(step)
-
-
-def date_id_levels(date_col: str, id_col: str) -> list[Level]:
-    """Order (date, id): ≤1,000 ids per bucket, then ≤10^6, then days (the last table)."""
-    return [
-        {date_col: identity, id_col: prefix(7)},
-        {date_col: identity, id_col: prefix(4)},
-        {date_col: identity, id_col: const("")},
-    ]
-
-
-def score_id_levels(score_col: str, id_col: str) -> list[Level]:
-    """Order (score 0–100, id): the last table has at most 101 rows."""
-    return [
-        {score_col: identity, id_col: prefix(7)},
-        {score_col: identity, id_col: prefix(4)},
-        {score_col: identity, id_col: const("")},
-    ]
-
-
-def amount_levels(amount_col: str) -> list[Level]:
-    """Order by money amount: buckets of 1, 100, 10^4 units."""
-    return [
-        {amount_col: floor_div(1)},
-        {amount_col: floor_div(100)},
-        {amount_col: floor_div(10_000)},
-    ]
-
-
-def hash_levels(hash_col: str, id_col: str) -> list[Level]:
-    """Order (hex hash, id): 16^5, 16^3, 16 buckets."""
-    return [
-        {hash_col: prefix(5), id_col: const("")},
-        {hash_col: prefix(3), id_col: const("")},
-        {hash_col: prefix(1), id_col: const("")},
-    ]
-
-
-def unit_levels(prob_col: str) -> list[Level]:
-    """Order by a probability in [0, 1]: 10^-4, 10^-2, 10^-1 buckets."""
-    return [
-        {prob_col: lambda c: F.floor(c * 10_000) / 10_000},
-        {prob_col: lambda c: F.floor(c * 100) / 100},
-        {prob_col: lambda c: F.floor(c * 10) / 10},
-    ]
-
-
 # ---------------------------------------------------------------------------
 # Scalars per group without a cross join
 # ---------------------------------------------------------------------------
@@ -189,7 +80,7 @@ def attach_group_totals(df: DataFrame, totals: DataFrame, by: Sequence[str]) ->
     """Equi-join per-group aggregates back; with no group it is one broadcast row."""
     by = list(by)
     if by:
-        return df.join(totals, on=by, how="left")
+        return null_safe_join(df, totals, by)
     return (
         df.withColumn("__one", F.lit(1))
         .join(F.broadcast(totals.withColumn("__one", F.lit(1))), on="__one", how="left")
@@ -197,17 +88,38 @@ def attach_group_totals(df: DataFrame, totals: DataFrame, by: Sequence[str]) ->
     )
 
 
+# ---------------------------------------------------------------------------
+# Joins with frequent keys
+# ---------------------------------------------------------------------------
+
+MAX_HEAVY = 1000
+
+
+def join_heavy_keys(rows: DataFrame, side: DataFrame, on: Sequence[str], weight: str, how: str = "inner") -> DataFrame:
+    """Equi-join ``rows`` with ``side`` (one row per key), frequent keys apart.
+
+    ``weight`` is a column of ``side``: how many rows its key has.  Keys with more than one
+    in ``MAX_HEAVY`` of all rows are fewer than ``MAX_HEAVY`` by counting; they are broadcast, so a
+    key that holds half of the rows never meets in one task.  All other keys are shuffled.
+    """
+    on = list(on)
+    total = side.agg(F.sum(weight)).first()[0] or 0
+    heavy = side.where(F.col(weight) * MAX_HEAVY > F.lit(total)).drop(weight)
+    light = side.where(F.col(weight) * MAX_HEAVY <= F.lit(total)).drop(weight)
+    frequent = F.broadcast(heavy)
+    apart = rows.join(frequent, on=on, how="inner")
+    rest = rows.join(F.broadcast(heavy.select(*on)), on=on, how="left_anti").join(light, on=on, how=how)
+    return apart.unionByName(rest)
+
+
 # ---------------------------------------------------------------------------
 # R1 prefix sums over (date, id)
 # ---------------------------------------------------------------------------
 
 
-def prefix_sums(
-    df: DataFrame, date_col: str, id_col: str, values: Sequence[str], by: Sequence[str] = (), row_bound: int | None = None
-) -> DataFrame:
+def prefix_sums(df: DataFrame, date_col: str, id_col: str, values: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Cumulative sums in (date, id) order (FEA-12, Q11) — adds ``<v>__cum``."""
-    levels = bounded(date_id_levels(date_col, id_col), row_bound)
-    return running_sum(df, [(date_col, True), (id_col, True)], values, levels, by=by)
+    return running_sum(df, [(date_col, True), (id_col, True)], values, by=by)
 
 
 # ---------------------------------------------------------------------------
@@ -215,26 +127,25 @@ def prefix_sums(
 # ---------------------------------------------------------------------------
 
 
-def pct_rank_table(
-    df: DataFrame, value_col: str, out_col: str, by: Sequence[str] = (), row_bound: int | None = None
-) -> DataFrame:
+def pct_rank_table(df: DataFrame, value_col: str, out_col: str, by: Sequence[str] = ()) -> DataFrame:
     """pandas ``rank(pct=True)`` (ties get their average rank) per distinct value.
 
-    Returns ``(by…, value, out_col DOUBLE)``: histogram of distinct values → running
-    count by value.  Callers join it back on the value.
+    Returns ``(by…, value, __cnt, out_col DOUBLE)``: histogram of distinct values → running
+    count by value.  Callers join it back on the value.  NULL values have no rank and do not count.
     """
     by = list(by)
-    hist = df.groupBy(*by, value_col).agg(F.count(F.lit(1)).alias("__cnt"))
-    cum = running_sum(hist, [(value_col, True)], ["__cnt"], bounded(amount_levels(value_col), row_bound), by=by)
-    totals = hist.groupBy(*by).agg(F.sum("__cnt").alias("__n"))
-    ranked = attach_group_totals(cum, totals, by).select(
+    hist = df.where(F.col(value_col).isNotNull()).groupBy(*by, value_col).agg(F.count(F.lit(1)).alias("__cnt"))
+    stored = range_parts(hist, [(value_col, True)], by)
+    cum = running_sum(stored, [(value_col, True)], ["__cnt"], by=by)
+    totals = stored.groupBy(*by).agg(F.sum("__cnt").alias("__n"))
+    return attach_group_totals(cum, totals, by).select(
         *by,
         value_col,
+        "__cnt",
         (
             (F.col("__cnt__cum") - F.col("__cnt") + (F.col("__cnt") + 1) / F.lit(2.0)) / F.col("__n")
         ).alias(out_col),
     )
-    return ranked
 
 
 # ---------------------------------------------------------------------------
@@ -242,26 +153,19 @@ def pct_rank_table(
 # ---------------------------------------------------------------------------
 
 
-def ntile(
-    df: DataFrame, k: int, order: Order, levels: Sequence[Level], out_col: str, by: Sequence[str] = (),
-    row_bound: int | None = None,
-) -> DataFrame:
+def ntile(df: DataFrame, k: int, order: Order, out_col: str, by: Sequence[str] = ()) -> DataFrame:
     """SQL ``NTILE(k) OVER (PARTITION BY by ORDER BY order)`` without one big partition."""
     by = list(by)
-    ones = df.withColumn("__one", F.lit(1).cast("long"))
-    ranked = running_sum(ones, order, ["__one"], bounded(levels, row_bound), by=by)
-    totals = ones.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
-    r = F.col("__one__cum")
+    stored = range_parts(df, order, by)
+    ranked = row_number_by(stored, order, "__rank", by=by)
+    totals = stored.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
+    r = F.col("__rank")
     n = F.col("__n")
     q = idiv(n, F.lit(k))
     m = n - q * k
     big = m * (q + 1)
     bucket = F.when(r <= big, idiv(r + q, q + 1)).otherwise(m + idiv(r - big + q - 1, q))
-    return (
-        attach_group_totals(ranked, totals, by)
-        .withColumn(out_col, bucket.cast("int"))
-        .drop("__one", "__one__cum", "__n")
-    )
+    return attach_group_totals(ranked, totals, by).withColumn(out_col, bucket.cast("int")).drop("__rank", "__n")
 
 
 # ---------------------------------------------------------------------------
@@ -269,14 +173,10 @@ def ntile(
 # ---------------------------------------------------------------------------
 
 
-def row_number_by(
-    df: DataFrame, order: Order, levels: Sequence[Level], out_col: str, by: Sequence[str] = (),
-    row_bound: int | None = None,
-) -> DataFrame:
+def row_number_by(df: DataFrame, order: Order, out_col: str, by: Sequence[str] = ()) -> DataFrame:
     """1-based ``row_number() OVER (PARTITION BY by ORDER BY order)``, distributed."""
-    ones = df.withColumn("__one", F.lit(1).cast("long"))
-    ranked = running_sum(ones, order, ["__one"], bounded(levels, row_bound), by=by)
-    return ranked.withColumn(out_col, F.col("__one__cum")).drop("__one", "__one__cum")
+    ranked = running_sum(df.withColumn("__one", F.lit(1).cast("long")), order, ["__one"], by=by)
+    return ranked.withColumnRenamed("__one__cum", out_col).drop("__one")
 
 
 # ---------------------------------------------------------------------------
@@ -284,9 +184,7 @@ def row_number_by(
 # ---------------------------------------------------------------------------
 
 
-def curve_metrics(
-    df: DataFrame, label_col: str, score_col: str, by: Sequence[str] = (), row_bound: int | None = None
-) -> DataFrame:
+def curve_metrics(df: DataFrame, label_col: str, score_col: str, by: Sequence[str] = ()) -> DataFrame:
     """ROC-AUC (trapezoid over distinct thresholds) and average precision Σ ΔR·P.
 
     One row per ``by`` group with columns ``roc_auc``, ``pr_auc`` (DOUBLE).
@@ -296,8 +194,9 @@ def curve_metrics(
         F.sum(F.col(label_col).cast("long")).alias("__pos"),
         F.count(F.lit(1)).alias("__cnt"),
     )
-    cum = running_sum(hist, [(score_col, False)], ["__pos", "__cnt"], bounded(unit_levels(score_col), row_bound), by=by)
-    totals = hist.groupBy(*by).agg(F.sum("__pos").alias("__npos_total"), (F.sum("__cnt") - F.sum("__pos")).alias("__nneg_total"))
+    stored = range_parts(hist, [(score_col, False)], by)
+    cum = running_sum(stored, [(score_col, False)], ["__pos", "__cnt"], by=by)
+    totals = stored.groupBy(*by).agg(F.sum("__pos").alias("__npos_total"), (F.sum("__cnt") - F.sum("__pos")).alias("__nneg_total"))
     j = attach_group_totals(cum, totals, by)
     tp = F.col("__pos__cum")
     seen = F.col("__cnt__cum")

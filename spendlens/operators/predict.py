@@ -1,6 +1,6 @@
-"""ML-15 prediction columns and the deterministic (model-free) predictor.
+"""ML-15 prediction columns, from a model or from the deterministic (model-free) predictor.
 
-``with_predictions`` attaches any model's label/probability; ``rule_predictions`` is the
+``model_predictions`` joins a model's out-of-fold label and probability; ``rule_predictions`` is the
 score-threshold predictor used when no model output is given (and by the SQL oracle):
 ``predicted_leakage = leakage_score > 50``, ``predicted_proba = leakage_score / 100``.
 """
@@ -26,6 +26,13 @@ def finish_predictions(df: DataFrame, label: F.Column, proba: F.Column) -> DataF
     )
 
 
+def model_predictions(scored: DataFrame, predicted: DataFrame) -> DataFrame:
+    """``scored`` with a model's (txn_no, predicted_leakage, predicted_proba); rows it did not see get NULL."""
+    own = predicted.select("txn_no", F.col("predicted_leakage").alias("__label"), F.col("predicted_proba").alias("__proba"))
+    joined = scored.join(own, on="txn_no", how="left")
+    return finish_predictions(joined, F.col("__label"), F.col("__proba")).drop("__label", "__proba")
+
+
 def rule_predictions(scored: DataFrame) -> DataFrame:
     return finish_predictions(
         scored,

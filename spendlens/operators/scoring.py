@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendlens.functions.rounding import round_half_even
-from spendlens.operators.ordered import pct_rank_table
+from spendlens.operators.ordered import join_heavy_keys, pct_rank_table
 
 # Category risk points (unknown categories score 5).
 CATEGORY_RISK = {
@@ -82,23 +82,23 @@ def risk_band(score: F.Column) -> F.Column:
     )
 
 
-def amount_factor(features: DataFrame, by=(), row_bound: int | None = None) -> DataFrame:
-    """SCO-02: ``rint(pct_rank * 20)`` among debits, 0 for every other row."""
-    debit = F.col("direction") == "DEBIT"
-    debits = features.filter(debit)
-    pct = pct_rank_table(debits.select(*by, "dr_amount"), "dr_amount", "__pct", by=by, row_bound=row_bound)
+def amount_factor(features: DataFrame, by=()) -> DataFrame:
+    """SCO-02: ``rint(pct_rank * 20)`` among debits, 0 for every other row and for missing amounts."""
+    ranked = (F.col("direction") == "DEBIT") & F.col("dr_amount").isNotNull()
+    debits = features.filter(ranked)
+    pct = pct_rank_table(debits.select(*by, "dr_amount"), "dr_amount", "__pct", by=by)
     # only debits are joined with the per-amount table; every other row scores 0 without a
-    # shuffle (credits all have dr_amount = 0 and would land on one reducer)
-    scored = debits.join(pct, on=[*by, "dr_amount"], how="left").select(
+    # shuffle (credits all have dr_amount = 0 and would land on one reducer); frequent prices apart
+    scored = join_heavy_keys(debits, pct, [*by, "dr_amount"], "__cnt").select(
         *features.columns, F.rint(F.col("__pct") * 20.0).cast("int").alias("score_amount")
     )
-    others = features.filter(~debit | F.col("direction").isNull()).withColumn("score_amount", F.lit(0))
+    others = features.filter(~F.coalesce(ranked, F.lit(False))).withColumn("score_amount", F.lit(0))
     return scored.unionByName(others)
 
 
-def score_transactions(features: DataFrame, row_bound: int | None = None, by=()) -> DataFrame:
+def score_transactions(features: DataFrame, by=()) -> DataFrame:
     """SCO-01…07: the 63-column scored table (the amount rank is per ``by`` group)."""
-    df = amount_factor(features, by=list(by), row_bound=row_bound)
+    df = amount_factor(features, by=list(by))
     df = df.select(
         *features.columns,
         score_category(F.col("category")).alias("score_category"),

@@ -7,7 +7,7 @@ not depend on how DuckDB rounds a DOUBLE.
 
 from __future__ import annotations
 
-from spendlens.operators.load import LOAD_SCHEMA
+from spendlens.operators.load import LOAD_SCHEMA, RATES, TOTALS
 from spendlens.oracle.chain import query
 
 ORACLE: dict[str, str] = {}
@@ -236,14 +236,21 @@ def _reject_sql() -> str:
         if u.startswith("VARCHAR(") and name != "day_type":
             n = int(u[8:-1])
             parts.append(f"CASE WHEN length(CAST({name} AS VARCHAR)) > {n} THEN '{name}: longer than {n}' END")
+        if u.startswith("NUMERIC(") and name not in TOTALS | RATES:
+            p, d = (int(x) for x in u[8:-1].split(","))
+            parts.append(f"CASE WHEN abs(round(CAST({name} AS DECIMAL(38, 10)), {d})) >= {10 ** (p - d)} THEN '{name}: overflows NUMERIC({p},{d})' END")
     parts.append("CASE WHEN txn_date IS NULL THEN 'txn_date: NOT NULL' END")
     parts.append("CASE WHEN txn_no IS NULL THEN 'txn_no: PRIMARY KEY is NULL' END")
     arr = "list_filter([" + ", ".join(parts) + "], lambda x: x IS NOT NULL)"
-    return f"SELECT txn_no, array_to_string(r, '; ') AS reasons FROM (SELECT txn_no, {arr} AS r FROM predictions) WHERE len(r) > 0"
+    spoilt = (
+        f"SELECT * REPLACE (CASE WHEN {K} % 97 = 0 THEN dr_amount + 10000000000 ELSE dr_amount END AS dr_amount, "
+        f"CASE WHEN {K} % 91 = 0 THEN repeat('x', 60) ELSE category END AS category) FROM predictions"
+    )
+    return f"SELECT txn_no, array_to_string(r, '; ') AS reasons FROM (SELECT txn_no, {arr} AS r FROM ({spoilt})) WHERE len(r) > 0"
 
 
 O("snk_02", query(_reject_sql(), "predictions"))
-O("snk_04", query("SELECT txn_no, description, CAST(dr_amount AS DOUBLE) AS dr_amount FROM transactions"))
+O("snk_04", query(f"SELECT txn_no, description, CAST(dr_amount AS DOUBLE) AS dr_amount FROM transactions WHERE {K} % 3 <> 0"))
 O("snk_05", query("""SELECT count(*) AS total_rows, count_if(txn_date IS NULL) AS null_dates,
   count(*) - count(DISTINCT txn_no) - count_if(txn_no IS NULL) AS duplicate_keys, count_if(txn_no IS NULL) AS null_keys FROM transactions"""))
 O("snk_06", query("SELECT count(*) AS total_transactions, count_if(potential_leakage = 1) AS leakage_flagged, "

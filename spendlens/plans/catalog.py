@@ -15,7 +15,6 @@ from pyspark.sql import types as T
 
 from spendlens.functions import describe as D
 from spendlens.operators import anonymize, categorize, features, load, scoring
-from spendlens.operators.anonymize import parse_channels, payee_tokens
 from spendlens.plans import reports
 from spendlens.plans.chain import build
 from spendlens.session import materialize, table_path
@@ -219,23 +218,17 @@ def par_04(spark, sf):
 
 
 def _upi(spark, sf):
-    # the raw payee field needs the original description: join the UPI ids back to it
-    upi = _parsed(spark, sf).filter(F.col("__p.kind") == "UPI").select("txn_no", "__p")
-    return upi.join(_t(spark, sf).processed.select("txn_no", "description"), on="txn_no", how="inner").withColumn(
-        "__ds", D.stripped_description(F.col("description"))
-    )
+    return _parsed(spark, sf).filter(F.col("__p.kind") == "UPI")
 
 
 @key("par_05")
 def par_05(spark, sf):
-    from spendlens.functions.text import n_parts
-
-    return _upi(spark, sf).select("txn_no", _p("direction"), n_parts(F.col("__ds"), "/").alias("n_parts"))
+    return _upi(spark, sf).select("txn_no", _p("direction"), _p("n_parts"))
 
 
 @key("par_06")
 def par_06(spark, sf):
-    return _upi(spark, sf).select("txn_no", D.upi_payee_raw(F.col("__ds")).alias("payee_raw"))
+    return _upi(spark, sf).select("txn_no", _p("payee_raw"))
 
 
 @key("par_07")
@@ -255,20 +248,18 @@ def par_09(spark, sf):
 
 @key("par_10")
 def par_10(spark, sf):
-    t = _t(spark, sf)
-    return payee_tokens(t.parsed, t.lookup).select("payee_key", "category", "entity_type")
+    return anonymize.typed_payees(payee_keys(spark, sf), _t(spark, sf).lookup).select("payee_key", "category", "entity_type")
 
 
 @key("ano_01")
 def ano_01(spark, sf):
-    raw = D.upi_payee_raw(F.col("__ds"))
+    raw = F.col("__p.payee_raw")
     return _upi(spark, sf).select("txn_no", raw.alias("payee_raw"), D.scrub_pii(raw).alias("payee_name"))
 
 
 @key("ano_02")
 def ano_02(spark, sf):
-    t = _t(spark, sf)
-    return payee_tokens(t.parsed, t.lookup).select("payee_key", "entity_type", "entity_id", "first_date", "first_no")
+    return _t(spark, sf).tokens.select("payee_key", "entity_type", "entity_id", "first_date", "first_no")
 
 
 @key("ano_03")
@@ -313,22 +304,26 @@ def fea_03(spark, sf):
     ))
 
 
+def _entities(spark, sf):
+    return features.entity_totals(_t(spark, sf).clean)
+
+
 @key("fea_04")
 def fea_04(spark, sf):
-    return reportable(_f(spark, sf).select(
+    return reportable(_entities(spark, sf).select(
         "entity_id", "entity_transaction_count", "entity_total_amount", "entity_avg_amount", "entity_first_seen",
         "entity_last_seen", "entity_debit_count", "entity_credit_count", "entity_avg_debit", "entity_avg_credit",
-    ).dropDuplicates(["entity_id"]))
+    ))
 
 
 @key("fea_05")
 def fea_05(spark, sf):
-    return _f(spark, sf).select("entity_id", "entity_days_active", "entity_transactions_per_day").dropDuplicates(["entity_id"])
+    return _entities(spark, sf).select("entity_id", "entity_days_active", "entity_transactions_per_day")
 
 
 @key("fea_06")
 def fea_06(spark, sf):
-    return _f(spark, sf).select("entity_id", "entity_frequency").dropDuplicates(["entity_id"])
+    return _entities(spark, sf).select("entity_id", "entity_frequency")
 
 
 @key("fea_07")
@@ -365,7 +360,7 @@ def fea_12(spark, sf):
 
 @key("fea_13")
 def fea_13(spark, sf):
-    return reportable(_f(spark, sf).select("year", "month", "monthly_spend", "monthly_income", "monthly_savings").dropDuplicates(["year", "month"]))
+    return reportable(features.monthly_totals(_t(spark, sf).clean))
 
 
 @key("fea_14")
@@ -428,24 +423,35 @@ def snk_01(spark, sf):
     return reportable(_tx(spark, sf))
 
 
+def _order():
+    return F.substring("txn_no", 2, 20).cast("long")
+
+
 @key("snk_02")
 def snk_02(spark, sf):
-    return load.rejects(_t(spark, sf).predictions).select("txn_no", F.concat_ws("; ", "reasons").alias("reasons"))
+    """The constraint report, on predictions with a too large amount and an over-long category put in."""
+    spoilt = _t(spark, sf).predictions.withColumns({
+        "dr_amount": F.when(_order() % 97 == 0, F.col("dr_amount") + 10_000_000_000).otherwise(F.col("dr_amount")),
+        "category": F.when(_order() % 91 == 0, F.repeat(F.lit("x"), 60)).otherwise(F.col("category")),
+    })
+    return load.rejects(spoilt).select("txn_no", F.concat_ws("; ", "reasons").alias("reasons"))
 
 
 @key("snk_03")
 def snk_03(spark, sf):
     path = table_path(spark, "load-table", sf)
-    load.write_table(_tx(spark, sf), path, mode="overwrite")
+    load.load_table(_t(spark, sf).predictions, path)
     return reportable(spark.read.parquet(path).select(*load.LOAD_COLUMNS))
 
 
 @key("snk_04")
 def snk_04(spark, sf):
+    """Two deliveries of every transaction; the target holds a third of the keys already."""
     t = _tx(spark, sf)
+    target = t.filter(_order() % 3 == 0)
     first = t.select("txn_no", "description", "dr_amount", F.lit(1).alias("delivery"))
     again = t.select("txn_no", F.lit("REDELIVERED").alias("description"), "dr_amount", F.lit(2).alias("delivery"))
-    return reportable(load.insert_new(None, first.unionByName(again), ["delivery"]))
+    return reportable(load.insert_new(target, first.unionByName(again), ["delivery"]))
 
 
 @key("snk_05")
@@ -464,7 +470,7 @@ def snk_06(spark, sf):
 
 for _n in range(1, 18):
     def _mkq(name):
-        return lambda spark, sf: reports.run_query(spark, _tx(spark, sf), name, _t(spark, sf).n_rows)
+        return lambda spark, sf: reports.run_query(spark, _tx(spark, sf), name)
 
     QUERIES[f"q{_n:02d}"] = _mkq(f"q{_n:02d}")
 
@@ -541,7 +547,7 @@ def rep_13(spark, sf):
 
 @key("rep_14")
 def rep_14(spark, sf):
-    return reports.findings(spark, _tx(spark, sf), _t(spark, sf).n_rows)
+    return reports.findings(_tx(spark, sf))
 
 
 

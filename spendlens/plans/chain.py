@@ -13,9 +13,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spendlens.operators.anonymize import clean_transactions, parsed_rows
+from spendlens.operators.anonymize import clean_transactions, parsed_rows, payee_tokens
 from spendlens.operators.features import build_features
 from spendlens.operators.load import conform
+from spendlens.operators.ordered import range_parts
 from spendlens.operators.predict import rule_predictions
 from spendlens.operators.scoring import score_transactions
 from spendlens.session import materialize
@@ -28,66 +29,42 @@ class Tables:
     processed: DataFrame
     parsed: DataFrame
     lookup: DataFrame
+    tokens: DataFrame
     clean: DataFrame
     features: DataFrame
     scored: DataFrame
     predictions: DataFrame
     transactions: DataFrame
-    n_rows: int | None = None
 
 
 _CACHE: dict[tuple[str, str], Tables] = {}
 
 
-def build(spark: SparkSession, sf_dir: str, materialized: bool = True) -> Tables:
+def build(spark: SparkSession, sf_dir: str) -> Tables:
     """All stage tables for the orders-derived statement under ``sf_dir``."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if materialized and key in _CACHE:
+    if key in _CACHE:
         return _CACHE[key]
     processed = processed_from_orders(spark, sf_dir)
     lookup = normalize_lookup(raw_lookup(spark))
-    parsed = parsed_rows(processed)
-    if materialized:
-        # the description parse is read by the payee table and by the row join (and by the
-        # PAR/ANO products): parse once, store the stage
-        parsed = materialize(parsed, "parsed", sf_dir)
-    clean = clean_transactions(processed, lookup, parsed=parsed)
-    n_rows = None
-    if materialized:
-        clean = materialize(clean, "clean", sf_dir)
-        n_rows = clean.count()  # parquet footers: an exact bound for the ordered operators
-    features = build_features(clean, row_bound=n_rows)
-    if materialized:
-        # scoring reads the feature table several times (percentile histogram, join back):
-        # a written table keeps those plans small and the work from being recomputed
-        features = materialize(features, "features", sf_dir)
-    scored = score_transactions(features, row_bound=n_rows)
-    predictions = rule_predictions(scored)
-    if materialized:
-        # the table every report reads: partitioned by (year, month) so month filters prune
-        cols = predictions.columns
-        predictions = materialize(
-            predictions, "predictions", sf_dir, partition_by=["year", "month"], cluster_key=["txn_no"]
-        ).select(*cols)
-        scored = predictions.drop("predicted_leakage", "predicted_proba", "correctly_identified")
-        features = scored.drop(
-            "score_category", "score_amount", "score_frequency", "score_timing", "score_recency",
-            "leakage_score", "risk_band",
-        )
-    transactions = conform(predictions)
-    tables = Tables(processed, parsed, lookup, clean, features, scored, predictions, transactions, n_rows)
-    if materialized:
-        _CACHE[key] = tables
+    # the description parse is read by the payee table and by the row join (and by the
+    # PAR/ANO products): parse once, store the stage
+    parsed = materialize(parsed_rows(processed), "parsed", sf_dir)
+    tokens = materialize(payee_tokens(parsed, lookup), "payee-tokens", sf_dir)
+    # stored by ranges of (date, id): the running totals add up per stored range
+    clean = range_parts(
+        clean_transactions(processed, lookup, parsed=parsed, tokens=tokens), [("txn_date", True), ("txn_no", True)], name="clean"
+    )
+    # scoring reads the feature table several times (percentile histogram, join back):
+    # a written table keeps those plans small and the work from being recomputed
+    features = materialize(build_features(clean), "features", sf_dir)
+    predictions = rule_predictions(score_transactions(features))
+    # the table every report reads: partitioned by (year, month) so month filters prune
+    cols = predictions.columns
+    predictions = materialize(
+        predictions, "predictions", sf_dir, partition_by=["year", "month"], cluster_key=["txn_no"]
+    ).select(*cols)
+    scored = predictions.drop("predicted_leakage", "predicted_proba", "correctly_identified")
+    tables = Tables(processed, parsed, lookup, tokens, clean, features, scored, predictions, conform(predictions))
+    _CACHE[key] = tables
     return tables
-
-
-def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 64-column load table (view ``transactions`` of the SQL reports)."""
-    return build(spark, sf_dir).transactions
-
-
-def register_views(spark: SparkSession, sf_dir: str) -> None:
-    t = build(spark, sf_dir)
-    t.transactions.createOrReplaceTempView("transactions")
-    t.scored.createOrReplaceTempView("scored")
-

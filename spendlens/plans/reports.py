@@ -17,14 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendlens.functions.rounding import round_half_even
-from spendlens.operators.ordered import (
-    amount_levels,
-    attach_group_totals,
-    bounded,
-    ntile,
-    running_sum,
-    score_id_levels,
-)
+from spendlens.operators.ordered import attach_group_totals, ntile, range_parts, running_sum
 
 SQL_DIR = Path(__file__).parent / "sql"
 
@@ -41,20 +34,15 @@ def sql_text(name: str, **params) -> str:
 # ---------------------------------------------------------------------------
 
 
-def debit_deciles(transactions: DataFrame, row_bound: int | None = None) -> DataFrame:
+def debit_deciles(transactions: DataFrame) -> DataFrame:
     """Debits with ``score_decile`` = NTILE(10) OVER (ORDER BY leakage_score DESC, txn_no)."""
     debits = transactions.filter(F.col("direction") == "DEBIT").select(
         "txn_no", "month_name", "month", "dr_amount", F.col("leakage_score").cast("int").alias("score")
     )
-    return ntile(
-        debits, 10, [("score", False), ("txn_no", True)], score_id_levels("score", "txn_no"), "score_decile",
-        row_bound=row_bound,
-    )
+    return ntile(debits, 10, [("score", False), ("txn_no", True)], "score_decile")
 
 
-def percentile_cont(
-    df: DataFrame, value_col: str, fractions: dict[str, float], row_bound: int | None = None
-) -> DataFrame:
+def percentile_cont(df: DataFrame, value_col: str, fractions: dict[str, float]) -> DataFrame:
     """Exact ``PERCENTILE_CONT(f) WITHIN GROUP (ORDER BY value)`` for each named fraction.
 
     Histogram of distinct values (partial aggregation) → running count by value
@@ -62,8 +50,9 @@ def percentile_cont(
     output row; no task ever holds the values of the group.
     """
     hist = df.groupBy(value_col).agg(F.count(F.lit(1)).alias("__cnt"))
-    cum = running_sum(hist, [(value_col, True)], ["__cnt"], bounded(amount_levels(value_col), row_bound))
-    totals = hist.agg(F.sum("__cnt").alias("__n"))
+    stored = range_parts(hist, [(value_col, True)])
+    cum = running_sum(stored, [(value_col, True)], ["__cnt"])
+    totals = stored.agg(F.sum("__cnt").alias("__n"))
     j = attach_group_totals(cum, totals, [])
     before = F.col("__cnt__cum") - F.col("__cnt")  # rows strictly below this value
     aggs = []
@@ -84,23 +73,29 @@ def percentile_cont(
     )
 
 
-def debit_percentiles(transactions: DataFrame, row_bound: int | None = None) -> DataFrame:
+def debit_percentiles(transactions: DataFrame) -> DataFrame:
     positive = transactions.filter((F.col("direction") == "DEBIT") & (F.col("dr_amount") > 0)).select("dr_amount")
-    return percentile_cont(positive, "dr_amount", {"p75": 0.75, "p90": 0.90}, row_bound=row_bound)
+    return percentile_cont(positive, "dr_amount", {"p75": 0.75, "p90": 0.90})
+
 
+# helper views by the report that reads them
+HELPERS = {"q09": ("debit_deciles", debit_deciles), "q15": ("debit_percentiles", debit_percentiles)}
 
-def register_helper_views(spark: SparkSession, transactions: DataFrame, row_bound: int | None = None) -> None:
-    transactions.createOrReplaceTempView("transactions")
-    debit_deciles(transactions, row_bound).createOrReplaceTempView("debit_deciles")
-    debit_percentiles(transactions, row_bound).createOrReplaceTempView("debit_percentiles")
 
+def run_query(spark: SparkSession, transactions: DataFrame, name: str, **params) -> DataFrame:
+    """Q01…Q17 through ``spark.sql``.
 
-def run_query(spark: SparkSession, transactions: DataFrame, name: str, row_bound: int | None = None, **params) -> DataFrame:
-    """Q01…Q17 through ``spark.sql`` over the views (``row_bound``: proven row count bound)."""
-    register_helper_views(spark, transactions, row_bound)
+    Tables are passed by name into the text (``{transactions}``), so nothing is registered in the
+    session and two inputs never meet; only the helper that a report reads is built.
+    """
+    tables = {"transactions": transactions}
+    if name in HELPERS:
+        view, make = HELPERS[name]
+        tables[view] = make(transactions)
     if name == "q17":
         params.setdefault("month", 3)
-    return spark.sql(sql_text(name, **params))
+    text = sql_text(name, **params)
+    return spark.sql(text, **{k: v for k, v in tables.items() if "{" + k + "}" in text})
 
 
 # ---------------------------------------------------------------------------
@@ -195,21 +190,33 @@ def high_risk_table(t: DataFrame) -> DataFrame:
     )
 
 
-def findings(spark: SparkSession, t: DataFrame, row_bound: int | None = None) -> DataFrame:
-    """REP-14: headline findings composed from Q04, Q05, Q14 and Q16 (one row)."""
-    q04 = run_query(spark, t, "q04", row_bound)
-    q05 = run_query(spark, t, "q05", row_bound)
-    q14 = run_query(spark, t, "q14", row_bound)
-    q16 = run_query(spark, t, "q16", row_bound)
-    rate = t.agg(F.round(F.sum("potential_leakage") * F.lit(100.0).cast("decimal(4,1)") / F.count(F.lit(1)), 2).cast("double").alias("leakage_rate_pct"))
-    month = q04.agg(F.min_by("month_name", F.struct(-F.col("leakage_rate_pct"), F.col("month"))).alias("highest_risk_month"))
-    day = q14.agg(F.min_by("weekday", F.struct(-F.col("avg_risk_score"), F.col("weekday"))).alias("riskiest_day"))
-    upi = q05.filter(F.col("payment_mode") == "UPI").agg(F.max("leakage_rate_pct").alias("upi_leakage_rate_pct"))
-    visits = q16.agg(
-        F.max(F.when(F.col("visit_type") == "First Visit", F.col("leakage_rate_pct"))).alias("first_visit_rate_pct"),
-        F.max(F.when(F.col("visit_type") == "Repeat Visit", F.col("leakage_rate_pct"))).alias("repeat_visit_rate_pct"),
+def findings(t: DataFrame) -> DataFrame:
+    """REP-14: headline findings composed from Q04, Q05, Q14 and Q16 (one row).
+
+    One pass groups the transactions by every attribute that a finding needs (months, weekdays,
+    channels and two flags: a few thousand groups at most); the findings aggregate that table.
+    """
+    debit = F.col("direction") == "DEBIT"
+    cube = t.groupBy("month_name", "month", "weekday", "payment_mode", debit.alias("debit"), "is_first_transaction").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("potential_leakage").alias("leaks"),
+        F.sum("leakage_score").alias("score"), F.count("leakage_score").alias("scored"),
+    )
+    cube = cube.withColumn("kind", F.when(F.col("debit") & F.col("is_first_transaction"), "first").when(F.col("debit"), "repeat"))
+    rate = F.round(F.sum("leaks") * F.lit(100.0).cast("decimal(4,1)") / F.sum("n"), 2).cast("double")
+    mean = F.round(F.sum("score") / F.sum("scored"), 2).cast("double")
+    whole = cube.agg(rate.alias("leakage_rate_pct"))
+    month = cube.groupBy("month_name", "month").agg(rate.alias("r")).agg(
+        F.min_by("month_name", F.struct(-F.col("r"), F.col("month"))).alias("highest_risk_month")
+    )
+    day = cube.where("debit").groupBy("weekday").agg(mean.alias("r")).agg(
+        F.min_by("weekday", F.struct(-F.col("r"), F.col("weekday"))).alias("riskiest_day")
+    )
+    upi = cube.where("payment_mode = 'UPI'").agg(rate.alias("upi_leakage_rate_pct"))
+    visits = cube.where("kind is not null").groupBy("kind").agg(rate.alias("r")).agg(
+        F.max(F.when(F.col("kind") == "first", F.col("r"))).alias("first_visit_rate_pct"),
+        F.max(F.when(F.col("kind") == "repeat", F.col("r"))).alias("repeat_visit_rate_pct"),
     )
-    out = rate
+    out = whole
     for part in (month, day, upi, visits):
         out = attach_group_totals(out, part, [])
     return out

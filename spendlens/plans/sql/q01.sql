@@ -4,6 +4,6 @@ SELECT month_name, month,
        CAST(ROUND(SUM(dr_amount), 2) AS DOUBLE) AS total_expenses,
        CAST(ROUND(SUM(cr_amount) - SUM(dr_amount), 2) AS DOUBLE) AS net_savings,
        CAST(ROUND((SUM(cr_amount) - SUM(dr_amount)) / NULLIF(SUM(cr_amount), 0) * 100, 2) AS DOUBLE) AS savings_rate_pct
-FROM transactions
+FROM {transactions}
 GROUP BY month_name, month
 ORDER BY month

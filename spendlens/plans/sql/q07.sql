@@ -4,7 +4,7 @@ SELECT txn_no, txn_date, category, entity_id,
        CAST(leakage_score AS DOUBLE) AS leakage_score,
        risk_band,
        CAST(ROUND(predicted_proba, 4) AS DOUBLE) AS ml_leakage_probability
-FROM transactions
+FROM {transactions}
 WHERE direction = 'DEBIT'
 ORDER BY leakage_score DESC, txn_no
 LIMIT 10

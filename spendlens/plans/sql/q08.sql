@@ -6,7 +6,7 @@ SELECT entity_id, entity_type, category,
        entity_days_active AS days_span,
        CAST(ROUND(entity_transactions_per_day, 3) AS DOUBLE) AS payments_per_day,
        CAST(MAX(leakage_score) AS DOUBLE) AS max_risk_score
-FROM transactions
+FROM {transactions}
 WHERE entity_type IN ('PERSON', 'MERCHANT') AND direction = 'DEBIT'
 GROUP BY entity_id, entity_type, category, entity_transaction_count, entity_total_amount,
          entity_avg_debit, entity_days_active, entity_transactions_per_day

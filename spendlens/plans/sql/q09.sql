@@ -4,7 +4,7 @@ SELECT month_name, month,
        CAST(ROUND(SUM(dr_amount), 2) AS DOUBLE) AS total_high_risk_spend,
        CAST(ROUND(SUM(dr_amount) * 0.5, 2) AS DOUBLE) AS potential_savings_if_halved,
        COUNT(*) AS high_risk_transactions
-FROM debit_deciles
+FROM {debit_deciles}
 WHERE score_decile = 1
 GROUP BY month_name, month
 ORDER BY month

@@ -9,5 +9,5 @@ SELECT txn_date, txn_no, direction,
        CAST(ROUND(net_cash_flow, 2) AS DOUBLE) AS net_cash_flow,
        CAST(ROUND(SUM(cr_amount - dr_amount) OVER (ORDER BY txn_date, txn_no
                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS DOUBLE) AS running_balance
-FROM (SELECT * FROM transactions ORDER BY txn_date, txn_no LIMIT 20) first_rows
+FROM (SELECT * FROM {transactions} ORDER BY txn_date, txn_no LIMIT 20) first_rows
 ORDER BY txn_date, txn_no

@@ -8,7 +8,7 @@ SELECT entity_id,
        MAX(txn_date) AS last_charge,
        DATEDIFF(MAX(txn_date), MIN(txn_date)) AS days_subscribed,
        CAST(ROUND(SUM(leakage_score) / COUNT(leakage_score), 2) AS DOUBLE) AS avg_risk_score
-FROM transactions
+FROM {transactions}
 WHERE category = 'Subscription' AND direction = 'DEBIT'
 GROUP BY entity_id
 ORDER BY total_charged DESC

@@ -6,7 +6,7 @@ SELECT weekday,
        CAST(SUM(potential_leakage) AS BIGINT) AS leakage_transactions,
        CAST(ROUND(SUM(leakage_score) / COUNT(leakage_score), 2) AS DOUBLE) AS avg_risk_score,
        RANK() OVER (ORDER BY SUM(dr_amount) DESC) AS spend_rank
-FROM transactions
+FROM {transactions}
 WHERE direction = 'DEBIT'
 GROUP BY weekday
 ORDER BY total_spent DESC

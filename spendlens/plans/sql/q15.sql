@@ -9,6 +9,6 @@ SELECT t.txn_date, t.txn_no, t.category, t.entity_id,
             WHEN t.dr_amount >= p.p75 THEN 'Top 25% Spend' END AS alert_level,
        CAST(t.leakage_score AS DOUBLE) AS leakage_score,
        t.risk_band
-FROM transactions t JOIN debit_percentiles p ON t.dr_amount >= p.p75
+FROM {transactions} t JOIN {debit_percentiles} p ON t.dr_amount >= p.p75
 WHERE t.direction = 'DEBIT'
 ORDER BY t.dr_amount DESC

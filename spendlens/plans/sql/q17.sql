@@ -5,7 +5,7 @@ SELECT category,
        CAST(ROUND(SUM(dr_amount) / COUNT(dr_amount), 2) AS DOUBLE) AS avg_amount,
        CAST(ROUND(MAX(dr_amount), 2) AS DOUBLE) AS largest_transaction,
        CAST(SUM(potential_leakage) AS BIGINT) AS leakage_count
-FROM transactions
+FROM {transactions}
 WHERE month = ${month} AND direction = 'DEBIT'
 GROUP BY category
 ORDER BY total_spent DESC

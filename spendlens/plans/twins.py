@@ -115,9 +115,9 @@ def q08(t: DataFrame) -> DataFrame:
     )
 
 
-def q09(t: DataFrame, row_bound: int | None = None) -> DataFrame:
+def q09(t: DataFrame) -> DataFrame:
     return (
-        debit_deciles(t, row_bound).filter(F.col("score_decile") == 1).groupBy("month_name", "month")
+        debit_deciles(t).filter(F.col("score_decile") == 1).groupBy("month_name", "month")
         .agg(_r2(F.sum("dr_amount")).alias("total_high_risk_spend"),
              _r2(F.sum("dr_amount") * F.lit(0.5).cast("decimal(2,1)")).alias("potential_savings_if_halved"),
              F.count(F.lit(1)).alias("high_risk_transactions"))
@@ -180,8 +180,8 @@ def q14(t: DataFrame) -> DataFrame:
     ).orderBy(F.desc("total_spent"))
 
 
-def q15(t: DataFrame, row_bound: int | None = None) -> DataFrame:
-    p = F.broadcast(debit_percentiles(t, row_bound))  # one row
+def q15(t: DataFrame) -> DataFrame:
+    p = F.broadcast(debit_percentiles(t))  # one row
     j = t.filter(_debit()).join(p, F.col("dr_amount") >= F.col("p75"), "inner")
     return j.select(
         "txn_date", "txn_no", "category", "entity_id", _r2(F.col("dr_amount")).alias("amount"),

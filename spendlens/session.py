@@ -1,16 +1,16 @@
 """Session helpers: a configured SparkSession and the shared materialisation folder.
 
-Stage tables that several products read (the clean and the scored tables) are written
-as parquet under the folder the cluster names in ``spark.checkpoint.dir``; lineage is
-cut there, and a lost executor only costs the tasks it held.  A private folder is only
-created when the setting is unset (local tests).
+Stage tables that several products read are written as parquet under the folder the cluster
+names in ``spark.checkpoint.dir``; lineage is cut there, and a lost executor only costs the
+tasks it held.  In local mode, where one machine is the whole cluster, the warehouse folder
+serves when nothing is named; anywhere else a missing setting is an error.
 """
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,32 +46,47 @@ def get_spark(
     return spark
 
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder for materialised tables (``spark.checkpoint.dir``).
+def _is_local(spark: SparkSession) -> bool:
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
 
-    Read from the session first; only when the cluster names none (tests, a laptop)
-    a private folder is created and registered.
-    """
+
+def checkpoint_root(spark: SparkSession) -> str:
+    """The shared folder for materialised tables (``spark.checkpoint.dir``)."""
     sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        try:
-            root = spark.conf.get("spark.checkpoint.dir")
-        except Exception:  # noqa: BLE001 - unset static conf
-            root = None
-    if not root:
-        root = sc.getCheckpointDir()
+    root = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
-        root = tempfile.mkdtemp(prefix="spendlens-ckpt-")
-        sc.setCheckpointDir(root)
-        root = sc.getCheckpointDir() or root
+        if not _is_local(spark):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
     return root.rstrip("/")
 
 
+_CLEANED: set[str] = set()
+
+
+def application_folder(spark: SparkSession, name: str) -> str:
+    """This application's folder under the shared root; it is removed when the driver ends."""
+    folder = f"{checkpoint_root(spark)}/{name}/{spark.sparkContext.applicationId}"
+    if folder not in _CLEANED:
+        _CLEANED.add(folder)
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+        def remove() -> None:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            try:
+                path.getFileSystem(conf).delete(path, True)
+            except Exception:  # noqa: BLE001 - the JVM may be gone already; nothing else is left to do
+                pass
+
+        atexit.register(remove)
+    return folder
+
+
 def table_path(spark: SparkSession, name: str, *parts: str) -> str:
     """Deterministic location for a materialised table of this application."""
     key = hashlib.sha1("|".join(parts).encode()).hexdigest()[:12]
-    return f"{checkpoint_root(spark)}/spendlens/{spark.sparkContext.applicationId}/{name}-{key}"
+    return f"{application_folder(spark, 'spendlens')}/{name}-{key}"
 
 
 def materialize(

@@ -21,16 +21,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendlens.functions.text import py_strip
-from spendlens.operators.ordered import attach_group_totals, const, identity, row_number_by
+from spendlens.operators.ordered import row_number_by
 
 # The statement header (first 8 cells, stripped).
 EXPECTED_HEADER = ["Txn No.", "Txn Date", "Description", "Branch Name", "Cheque No.", "Dr Amount", "Cr Amount", "Balance"]
 PROCESSED_COLUMNS = ["txn_no", "txn_date", "description", "branch_name", "cheque_no", "dr_amount", "cr_amount", "balance"]
 # Accepted day-first date layouts, tried in order.
 DATE_FORMATS = ["d-M-yyyy", "d/M/yyyy", "d.M.yyyy", "yyyy-M-d", "d-MMM-yyyy", "d MMM yyyy"]
+# The same with two-digit years, and the compact form; each only for texts of its shape.
+SHORT_YEARS = ["d-M-yy", "d/M/yy", "d.M.yy", "d-MMM-yy", "d MMM yy"]
+COMPACT = "yyyyMMdd"
+AMOUNT = "decimal(18,2)"
+BALANCE = "decimal(20,2)"
 NUMERIC_RE = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-# Split on commas outside double quotes.
-_CSV_SPLIT = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+# One cell after its comma: quoted up to the closing quote, or anything up to the next comma.
+_CSV_CELL = ',("(?:[^"]|"")*+"(?=,|$)|[^,]*)'
+BROADCAST_HEADERS = 100_000  # rows of a path and a number
 
 
 def read_statement_lines(spark: SparkSession, path: str, first_only: bool = False) -> DataFrame:
@@ -38,21 +44,22 @@ def read_statement_lines(spark: SparkSession, path: str, first_only: bool = Fals
 
     ``first_only`` keeps the lexicographically first file, like the reference (which reads
     one statement); the default reads them all, one statement per file.  No file → error.
+    ``pos`` grows with the place in the file: the block's first byte plus the line's number in the
+    task (a block that another follows fills its task alone, so numbers never overtake bytes).
     """
-    lines = spark.read.text(path).select(
+    source = spark.read.text(path)
+    if first_only:
+        source = spark.read.text(min(source.inputFiles()))
+    return source.select(
         F.col("_metadata.file_path").alias("file_path"),
-        F.monotonically_increasing_id().alias("pos"),
+        (F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).alias("pos"),
         F.regexp_replace("value", "�", "").alias("value"),
     )
-    if first_only:
-        first = lines.agg(F.min("file_path").alias("__first"))
-        lines = attach_group_totals(lines, first, []).filter(F.col("file_path") == F.col("__first")).drop("__first")
-    return lines
 
 
 def split_cells(value: F.Column) -> F.Column:
     """Quote-aware CSV split; surrounding quotes removed and doubled quotes unescaped."""
-    raw = F.split(value, _CSV_SPLIT, -1)
+    raw = F.regexp_extract_all(F.concat(F.lit(","), value), F.lit(_CSV_CELL), F.lit(1))
     return F.transform(
         raw,
         lambda c: F.when(
@@ -77,7 +84,8 @@ def header_positions(cells: DataFrame) -> DataFrame:
 def after_header(cells: DataFrame, require_header: bool = True) -> DataFrame:
     """Lines after their file's header; files without a header raise when checked."""
     hp = header_positions(cells)
-    j = cells.join(hp, on="file_path", how="left")
+    small = hp.limit(BROADCAST_HEADERS + 1).count() <= BROADCAST_HEADERS
+    j = cells.join(F.broadcast(hp) if small else hp, on="file_path", how="left")
     if require_header:
         j = j.withColumn(
             "header_pos",
@@ -131,21 +139,28 @@ def normalize_missing(rows: DataFrame) -> DataFrame:
 
 
 def parse_amount(c: F.Column) -> F.Column:
-    """ING-07: strip thousands separators; empty or non-numeric → 0."""
+    """ING-07: strip thousands separators; empty, non-numeric or beyond the type → 0."""
     x = py_strip(F.replace(c, F.lit(","), F.lit("")))
-    return F.when(x.rlike(NUMERIC_RE), x.try_cast("decimal(12,2)")).otherwise(F.lit(0).cast("decimal(12,2)")).alias("amt")
+    value = F.when(x.rlike(NUMERIC_RE), x.try_cast(AMOUNT))
+    return F.coalesce(value, F.lit(0).cast(AMOUNT)).alias("amt")
 
 
 def parse_balance(c: F.Column) -> F.Column:
     """ING-08: drop ``Cr.`` and separators; anything else non-numeric → NULL."""
     x = py_strip(F.replace(F.replace(c, F.lit("Cr."), F.lit("")), F.lit(","), F.lit("")))
-    return F.when(x.rlike(NUMERIC_RE), x.try_cast("decimal(14,2)"))
+    return F.when(x.rlike(NUMERIC_RE), x.try_cast(BALANCE))
 
 
 def parse_date(c: F.Column) -> F.Column:
-    """ING-09: day-first date in one of the accepted layouts, else NULL."""
-    x = py_strip(c)
-    return F.coalesce(*[F.try_to_date(x, fmt) for fmt in DATE_FORMATS])
+    """ING-09: day-first date in one of the accepted layouts, a time of day ignored, else NULL."""
+    x = F.regexp_replace(py_strip(c), r"[ T]\d{1,2}:\d{2}(:\d{2})?([.]\d+)?( ?[AaPp][Mm])?$", "")
+    short = x.rlike(r"^\d{1,2}([-/.]\d{1,2}[-/.]|[- ][A-Za-z]{3}[- ])\d{2}$")
+    compact = x.rlike(r"^\d{8}$")
+    return F.coalesce(
+        F.when(short, F.coalesce(*[F.try_to_date(x, fmt) for fmt in SHORT_YEARS])).when(compact, F.try_to_date(x, COMPACT)).otherwise(
+            F.coalesce(*[F.try_to_date(x, fmt) for fmt in DATE_FORMATS])
+        )
+    )
 
 
 def typed_rows(normalized: DataFrame) -> DataFrame:
@@ -166,11 +181,7 @@ def typed_rows(normalized: DataFrame) -> DataFrame:
 
 def with_sequence(typed: DataFrame) -> DataFrame:
     """ING-10: ``seq`` = position in (txn_date, file, line) order, distributed."""
-    levels = [
-        {"txn_date": identity, "file_path": identity, "pos": lambda c: F.floor(c / 1024)},
-        {"txn_date": identity, "file_path": const(""), "pos": const(0)},
-    ]
-    return row_number_by(typed, [("txn_date", True), ("file_path", True), ("pos", True)], levels, "seq")
+    return row_number_by(typed, [("txn_date", True), ("file_path", True), ("pos", True)], "seq")
 
 
 def parse_statement(lines: DataFrame) -> DataFrame:

@@ -10,18 +10,24 @@ batch (after a failure) appends nothing twice.
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from spendlens.operators.load import insert_new
+from spendlens.session import materialize
 from spendlens.sources import statement
 
 
 def _target(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - the target does not exist before the first batch
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise  # only a target that does not exist yet counts as none
         return None
 
 
@@ -33,7 +39,7 @@ def load_batch(batch: DataFrame, target_path: str) -> int:
         F.col("file_path"), F.monotonically_increasing_id().alias("pos"), F.regexp_replace("value", "�", "").alias("value")
     )
     parsed = statement.parse_statement(lines).drop("file_path", "pos")
-    new = insert_new(_target(spark, target_path), parsed, ["seq"])
+    new = materialize(insert_new(_target(spark, target_path), parsed, ["seq"]), "stream-batch", uuid.uuid4().hex)
     n = new.count()
     if n:
         new.write.mode("append").parquet(target_path)

@@ -1,3 +1,4 @@
+import os
 import sys
 import tempfile
 from pathlib import Path
@@ -15,7 +16,7 @@ def spark():
     from pyspark.sql import SparkSession
 
     spark = (
-        SparkSession.builder.master("local[*]")
+        SparkSession.builder.master(os.environ.get("SPARK_TEST_MASTER", "local[*]"))
         .appName("spendlens-tests")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")

@@ -32,3 +32,24 @@ def test_statement_parse(spark, tmp_path):
     assert float(u5.dr_amount) == 1 and float(u5.cr_amount) == 0 and u5.balance is None
     assert out["T6"].balance is None and float(out["T6"].cr_amount) == 2
     assert [out[k].seq for k in ("T1", "U5", "T6")] == [1, 2, 3]
+
+
+def test_amounts_and_dates_of_other_layouts_are_kept(spark):
+    from pyspark.sql import functions as F
+
+    rows = [("123,456,789,012.50", "05-01-26"), ("1e3", "05-01-2026 10:22:01"), ("9" * 30, "20260105"), ("abc", "5/1/26 9:05 PM"), ("", "31-02-26")]
+    df = spark.createDataFrame(rows, "a string, d string").select(
+        statement.parse_amount(F.col("a")).alias("a"), statement.parse_balance(F.col("a")).alias("b"), statement.parse_date(F.col("d")).cast("string").alias("d")
+    )
+    got = df.collect()
+    assert [float(r.a) for r in got] == [123456789012.50, 1000.0, 0.0, 0.0, 0.0]
+    assert [r.d for r in got] == ["2026-01-05"] * 4 + [None]
+    assert float(got[0].b) == 123456789012.50
+
+
+def test_cells(spark):
+    from pyspark.sql import functions as F
+
+    lines = ['a,"b,c",d', ",,", "", '"x ""y"" z",', 'a"b,c', '"open,rest']
+    got = [r.c for r in spark.createDataFrame([(x,) for x in lines], "v string").select(statement.split_cells(F.col("v")).alias("c")).collect()]
+    assert got == [["a", "b,c", "d"], ["", "", ""], [""], ['x "y" z', ""], ['a"b', "c"], ['"open', "rest"]]

@@ -1,8 +1,10 @@
-"""Plan shape: no single-partition exchange on row-level data, no Python UDF in the chain."""
+"""Plan shape of real keys: no one-task exchange over rows, few scans, pruned partitions, no Python."""
 
-from pyspark.sql import functions as F
+import re
 
-from spendlens.operators import ordered
+import pytest
+
+from spendlens.plans.catalog import QUERIES
 from spendlens.plans.chain import build
 from tests.conftest import SF001
 
@@ -11,16 +13,55 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_prefix_sum_has_no_single_partition(spark):
-    df = spark.range(1000).select(
-        F.format_string("T%09d", "id").alias("txn_no"),
-        F.date_add(F.lit("2025-01-01").cast("date"), (F.col("id") % 30).cast("int")).alias("txn_date"),
-        F.col("id").alias("v"),
-    )
-    out = ordered.prefix_sums(df, "txn_date", "txn_no", ["v"])
-    plan = _plan(out)
-    # the only unpartitioned window runs over the per-day table (after aggregations)
-    assert "SinglePartition" not in plan.split("HashAggregate")[-1]
+def _children(plan: str) -> list[tuple[int, str]]:
+    lines = [x for x in plan.split("\n") if re.search(r"[A-Za-z]", x)]
+    return [(len(re.match(r"[\s:+\-*()0-9]*", x)[0]), x) for x in lines]
+
+
+def one_task_row_exchanges(plan: str) -> list[str]:
+    """SinglePartition exchanges whose input was not aggregated to few rows below them."""
+    nodes, bad = _children(plan), []
+    for i, (depth, line) in enumerate(nodes):
+        if "Exchange SinglePartition" not in line:
+            continue
+        below = []
+        for d, x in nodes[i + 1 :]:
+            if d <= depth:
+                break
+            below.append(x)
+        if not any("Aggregate" in x or "LocalLimit" in x or "TakeOrdered" in x or "Range (" in x for x in below):
+            bad.append(line)
+    return bad
+
+
+@pytest.mark.parametrize("key", ["ano_02", "fea_12", "sco_02", "sco_06", "q09", "q15", "ing_10", "ml_03", "rep_14", "par_10", "snk_01"])
+def test_no_single_task_over_rows(spark, key):
+    assert one_task_row_exchanges(_plan(QUERIES[key](spark, SF001))) == []
+
+
+def test_the_check_sees_a_plain_global_window(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    t = build(spark, SF001).clean
+    assert one_task_row_exchanges(_plan(t.select(F.row_number().over(Window.orderBy("txn_date", "txn_no")))))
+
+
+@pytest.mark.parametrize("key, scans", [("q01", 1), ("q09", 3), ("rep_14", 5), ("fea_04", 2), ("fea_13", 1), ("par_05", 1), ("par_06", 1), ("ano_01", 1), ("ano_02", 1)])
+def test_scans_are_few(spark, key, scans):
+    plan = _plan(QUERIES[key](spark, SF001))
+    assert plan.count("FileScan") <= scans
+    if key in ("par_05", "par_06", "ano_01"):
+        assert "Join" not in plan
+
+
+def test_insert_is_an_anti_join(spark):
+    assert "LeftAnti" in _plan(QUERIES["snk_04"](spark, SF001))
+
+
+def test_month_filter_prunes_partitions(spark):
+    filters = re.search(r"PartitionFilters: \[([^\]]*)\]", _plan(QUERIES["q17"](spark, SF001)))[1]
+    assert "month" in filters and "= 3" in filters
 
 
 def test_chain_has_no_python_udf(spark):
@@ -28,10 +69,3 @@ def test_chain_has_no_python_udf(spark):
     for df in (t.clean, t.features, t.scored, t.transactions):
         plan = _plan(df)
         assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
-
-
-def test_report_filter_pushdown(spark):
-    from spendlens.plans.catalog import QUERIES
-
-    plan = QUERIES["q17"](spark, SF001)._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters" in plan

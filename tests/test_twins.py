@@ -11,7 +11,7 @@ from tests.conftest import SF001
 @pytest.mark.parametrize("name", sorted(TWINS))
 def test_twin_equals_sql(spark, name):
     t = build(spark, SF001)
-    sql = reports.run_query(spark, t.transactions, name, t.n_rows)
+    sql = reports.run_query(spark, t.transactions, name)
     twin = TWINS[name](t.transactions)
     assert sql.columns == twin.columns
     assert [f.dataType.simpleString() for f in sql.schema] == [f.dataType.simpleString() for f in twin.schema]
