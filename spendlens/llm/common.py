@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from spendlens.session import checkpoint_root
 
 PACKAGE_ROOT = str(Path(__file__).resolve().parents[2])
-CHUNK_BYTES = 1 << 21  # texts are hashed in chunks of about this size (one text is never cut)
+CHUNK_BYTES = 1 << 20  # texts are hashed in chunks of about this size (one text is never cut)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:

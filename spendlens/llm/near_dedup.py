@@ -40,7 +40,7 @@ from spendlens.llm.common import SPACE_WORDS, chunks, hash_runs, hash_words, mix
 
 K = 64
 SURE = 6.0
-CROWD = 64  # longer lists are replaced by exact ones
+CROWD = 16  # longer lists are replaced by exact ones
 VERIFY_MEMBERS = 256  # members checked against one set in one group; larger lists are split
 
 
@@ -219,16 +219,19 @@ def estimated(pairs: DataFrame, classes: DataFrame, k: int, percent: int) -> Dat
 
     def run(batches):
         for batch in batches:
-            a, b = ([np.asarray(x, np.int64).view(np.uint64) for x in batch.column(c).to_pylist()] for c in ("sa", "sb"))
-            keep = []
-            for x, y in zip(a, b, strict=True):
-                x, y = np.sort(x), np.sort(y)
+            sides = []
+            for c in ("sa", "sb"):
+                lists = batch.column(c)
+                sides.append((lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)))
+            keep = np.zeros(batch.num_rows, bool)
+            for i in range(batch.num_rows):
+                x, y = (np.sort(values[at[i] : at[i + 1]]) for at, values in sides)
                 union = np.union1d(x, y)[:k]
                 shared = np.intersect1d(x, y, assume_unique=True)
                 seen = np.count_nonzero(shared <= union[-1])
                 exact = len(x) < k and len(y) < k
-                keep.append(seen * 100 >= percent * len(union) if exact else seen >= floor * len(union))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                keep[i] = seen * 100 >= percent * len(union) if exact else seen >= floor * len(union)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
 
