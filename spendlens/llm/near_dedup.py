@@ -209,11 +209,12 @@ def estimated(pairs: DataFrame, classes: DataFrame, k: int, percent: int) -> Dat
     """Pairs whose union-sketch estimate allows a link.
 
     The k smallest values of both sketches together are the union's sketch; the share of them
-    that both hold estimates the Jaccard similarity.
+    that both hold estimates the Jaccard similarity.  Two sets of at most k shingles are their
+    own sketches: their similarity is counted on the whole sets, without the cut to k values.
     """
-    side = classes.select("digest", "sketch")
-    both = pairs.join(side.select(F.col("digest").alias("a"), F.col("sketch").alias("sa")), "a").join(
-        side.select(F.col("digest").alias("b"), F.col("sketch").alias("sb")), "b"
+    side = classes.select("digest", "sketch", (F.col("n_shingles") <= k).alias("whole"))
+    both = pairs.join(side.select(F.col("digest").alias("a"), F.col("sketch").alias("sa"), F.col("whole").alias("wa")), "a").join(
+        side.select(F.col("digest").alias("b"), F.col("sketch").alias("sb"), F.col("whole").alias("wb")), "b"
     )
     floor = shared_values(k, percent) / k
 
@@ -223,17 +224,19 @@ def estimated(pairs: DataFrame, classes: DataFrame, k: int, percent: int) -> Dat
             for c in ("sa", "sb"):
                 lists = batch.column(c)
                 sides.append((lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)))
+            exact = pc.and_(batch.column("wa"), batch.column("wb")).to_pylist()
             keep = np.zeros(batch.num_rows, bool)
             for i in range(batch.num_rows):
                 x, y = (np.sort(values[at[i] : at[i + 1]]) for at, values in sides)
-                union = np.union1d(x, y)[:k]
                 shared = np.intersect1d(x, y, assume_unique=True)
-                seen = np.count_nonzero(shared <= union[-1])
-                exact = len(x) < k and len(y) < k
-                keep[i] = seen * 100 >= percent * len(union) if exact else seen >= floor * len(union)
+                if exact[i]:
+                    keep[i] = 100 * len(shared) >= percent * (len(x) + len(y) - len(shared))
+                else:
+                    union = np.union1d(x, y)[:k]
+                    keep[i] = np.count_nonzero(shared <= union[-1]) >= floor * len(union)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
+    return both.select("a", "b", "sa", "sb", "wa", "wb").mapInArrow(run, "a binary, b binary")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:

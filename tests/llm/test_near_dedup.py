@@ -59,6 +59,28 @@ def test_components_equal_brute_force(spark, make, shingle, percent):
             assert r.kept == (r.doc_id == r.component_id)
 
 
+def pairs_at_the_threshold(percent):
+    """Pairs of 58 to 64 one-word shingles that share the fewest words that still link, and one word less."""
+    texts = []
+    for x in range(58, 65):
+        for y in range(x, 65):
+            least = -(-percent * (x + y) // (100 + percent))
+            for shared in {least, least - 1}:
+                own = f"p{len(texts)}w"
+                both = [f"{own}{i}" for i in range(shared)]
+                texts += [" ".join(both + [f"{own}{side}{i}" for i in range(n - shared)]) for side, n in (("a", x), ("b", y)) if n >= shared]
+    return texts
+
+
+@pytest.mark.parametrize("percent", [85, 80])
+def test_pairs_that_fill_a_sketch_are_exact(spark, percent):
+    texts = pairs_at_the_threshold(percent)
+    want = brute(texts, 1, percent)
+    assert len({c for _, c in want.values()}) < len(texts)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(documents(spark, texts), 1, percent).collect() if r.doc_id is not None}
+    assert got == want
+
+
 def test_empty_table(spark):
     assert near_dedup.near_duplicates(empty(documents(spark)), 3, 85).collect() == []
 
