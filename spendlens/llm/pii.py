@@ -10,7 +10,9 @@ from:
    ``.``, and runs of spelled digits become digits.
 
 The detectors run again on the rewritten text; a found span is mapped to source characters and
-added if rewriting changed something inside it and it crosses no base span of its kind.  Disguises
+added if rewriting changed something inside it, no base span of its kind holds all of it, and no
+other added span overlaps it; base spans stay, also those that are fragments of an added one.  A
+base span is not carried on over a dash that sets off words.  Disguises
 made of plain words are taken only where they look like one: a bare `` at `` needs a bare or
 bracketed dot after it, and a spelled number needs ``MIN_SPELLED`` spelled digits.
 
@@ -46,6 +48,8 @@ LOOK_TO = "ABEKMHOPCTXaeopcyxijsdqwhABEZHIKMNOPTYXaovi"
 INVISIBLE = "­​‌‍⁠﻿"
 # Dashes, spaces and dots that stand for the ASCII ones.
 MARKS = {"‐": "-", "‑": "-", "‒": "-", "–": "-", "—": "-", "−": "-", " ": " ", " ": " ", " ": " ", " ": " ", "․": ".", "。": ".", "·": ".", "﹫": "@"}
+# Dashes that also stand between words.
+SET_OFF = "–—"
 # Spelled digits.
 DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 
@@ -232,13 +236,14 @@ def all_spans(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, in
     r = normalised(text)
     if r is None:
         return base, []
-    taken = [(s, e) for s, e, _ in base]
-    added = []
+    added: list[tuple[int, int, str]] = []
     for a, b, kind in spans(r.text):
         s, e, changed = r.back(a, b)
-        if changed and not any(s < y and x < e for x, y in taken):
+        own = [(x, y) for x, y, k in base if k == kind and s < y and x < e]
+        held = any(x <= s and e <= y for x, y in own)
+        set_off = any((s < x and text[x - 1] in SET_OFF) or (y < e and text[y] in SET_OFF) for x, y in own)
+        if changed and not held and not set_off and not any(s < y and x < e for x, y, _ in added):
             added.append((s, e, kind))
-            taken.append((s, e))
     return base, sorted(added, key=lambda x: (x[0], KINDS.index(x[2])))
 
 

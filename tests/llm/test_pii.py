@@ -54,6 +54,27 @@ def test_disguises(text, kind, source):
     assert [(text[s:e], k) for s, e, k in added] == [(source, kind)] and not base
 
 
+@pytest.mark.parametrize(
+    "text, kind, source, fragment",
+    [
+        ("to j\u043ehn@example.com", "email", "j\u043ehn@example.com", "hn@example.com"),
+        ("to user@example.c\u043em now", "email", "user@example.c\u043em", "user@example.c"),
+        ("ip 192.168.1.1\uff10 x", "ip", "192.168.1.1\uff10", "192.168.1.1"),
+        ("root [at] 10.0.0.1", "email", "root [at] 10.0.0.1", "10.0.0.1"),
+    ],
+)
+def test_disguises_that_leave_a_base_fragment(text, kind, source, fragment):
+    base, added = pii.all_spans(text)
+    assert [(text[s:e], k) for s, e, k in added] == [(source, kind)]
+    assert [text[s:e] for s, e, _ in base] == [fragment]
+
+
+@pytest.mark.parametrize("text", ["write jane@example.com\u2014today", "mail\u2014jane@example.com"])
+def test_a_dash_between_words_ends_a_base_span(text):
+    base, added = pii.all_spans(text)
+    assert [text[s:e] for s, e, _ in base] == ["jane@example.com"] and not added
+
+
 @pytest.mark.parametrize("text", ["we met at the dot com boom", "one two three", "look at this", "a dot b", "at 5 (at) noon", "é ü ñ plain text at home"])
 def test_plain_text_is_left_alone(text):
     assert pii.all_spans(text) == ([], [])
