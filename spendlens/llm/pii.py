@@ -7,14 +7,15 @@ from:
 1. look-alikes: full-width and mathematical characters, Cyrillic and Greek letters that look Latin,
    foreign digits, odd dashes, spaces and dots become their ASCII form; invisible characters go;
 2. disguises: ``[at]``, ``(at)``, `` at `` and the like become ``@``, ``[dot]``, `` dot `` become
-   ``.``, and runs of spelled digits become digits.
+   ``.``, and spelled digits in runs of at least ``MIN_DIGITS`` digits, or of four numbers with dots
+   between, become digits.
 
-The detectors run again on the rewritten text; a found span is mapped to source characters and
+The detectors run again on the rewritten text, with and without the spelled digits; a found span is mapped to source characters and
 added if rewriting changed something inside it, no base span of its kind holds all of it, and no
 other added span overlaps it; base spans stay, also those that are fragments of an added one.  A
 base span is not carried on over a dash that sets off words.  Disguises
 made of plain words are taken only where they look like one: a bare `` at `` needs a bare or
-bracketed dot after it, and a spelled number needs ``MIN_SPELLED`` spelled digits.
+bracketed dot after it; of spelled numbers the detectors decide (lengths, Luhn, octets).
 
 Offsets are code points, ends exclusive.  Cases: null and empty texts have no span (the digest of
 the empty string); rows that repeat a doc_id are reported one by one.
@@ -39,7 +40,7 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _CARD_START = re.compile(r"[0-9](?:[\x20-]?[0-9]){13}")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-MIN_SPELLED = 6
+MIN_DIGITS = 10  # of the shortest phone number
 
 # Letters of other scripts that look like the Latin ones below them.
 LOOK_FROM = "АВЕКМНОРСТХаеорсухіјѕԁԛԝһΑΒΕΖΗΙΚΜΝΟΡΤΥΧαονι"
@@ -82,17 +83,43 @@ _DISGUISED_AT = re.compile(
 )
 _DISGUISED_DOT = re.compile(rf"{_DOT}|\s(?:dot|DOT)\s", re.I)
 _NUMBER_WORD = r"(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
-_SPELLED = re.compile(rf"\b{_NUMBER_WORD}(?:[\s,.-]{{0,2}}(?:{_NUMBER_WORD}|[0-9]))*\b", re.I)
+# a digit, spelled or not, and runs of them
+_DIGIT = rf"(?:{_NUMBER_WORD}|[0-9])"
+_RUN = re.compile(rf"(?<![A-Za-z]){_DIGIT}(?:[\s,.()-]{{0,2}}{_DIGIT}){{3,}}(?![A-Za-z])", re.I)
+_ONE = re.compile(_DIGIT, re.I)
+_ENDS_IN_DIGIT = re.compile(rf"(?<![A-Za-z]){_DIGIT}\Z", re.I)
+_BEGINS_WITH_DIGIT = re.compile(rf"{_DIGIT}(?![A-Za-z])", re.I)
 _PLUS = re.compile(r"\bplus\s(?=(?:[0-9]|" + _NUMBER_WORD + r"))", re.I)
-_SPELLED_PAIR = re.compile(rf"\b{_NUMBER_WORD}[\s,.-]{{1,2}}{_NUMBER_WORD}\b")
-# signs of a disguise, looked for in the lower-cased text before anything slower runs
-_SIGNS = tuple(b + s + w for b in "[({<" for s in ("", " ") for w in ("at", "@", "a]", "a)", "arroba", "dot", ".")) + (" dot ", " @ ")
-
-
-def _disguised(low: str) -> bool:
-    if any(sign in low for sign in _SIGNS) or "plus " in low:
-        return True
-    return sum(map(low.count, DIGITS)) >= MIN_SPELLED and bool(_SPELLED_PAIR.search(low))
+# signs of a disguise, looked for before anything slower runs: the brackets and words of _AT and _DOT, a bare dot, a spaced @
+_SIGN = re.compile(_BRACKETED.replace("{}", r"(?:at|@|arroba|a|dot|\.|punto|point|punkt)", 1) + r"|\sdot\s|\s@\s|plus\s", re.I)
+
+
+def _disguised(text: str) -> bool:
+    low = text.lower()
+    return any(word in low for word in DIGITS) or bool(_SIGN.search(text))
+
+
+def _spelled(text: str) -> list[tuple[int, int, str]]:
+    """Edits that make figures of the spelled digits in runs long enough to matter."""
+    edits = []
+    for run in _RUN.finditer(text):
+        ones = list(_ONE.finditer(text, *run.span()))
+        gaps = [text[x.end() : y.start()] for x, y in zip(ones, ones[1:], strict=False)]
+        octets = sum("." in g for g in gaps) == 3
+        if all(m[0].isdigit() for m in ones) or not (octets or len(ones) >= MIN_DIGITS):
+            continue
+        at = ones[0].start()
+        for k, m in enumerate(ones):
+            new = DIGITS.get(m[0].lower(), m[0])
+            # what stands next to a spelled digit separates nothing, but for an address's dots
+            joins = k and (not m[0].isdigit() or not ones[k - 1][0].isdigit())
+            if joins and octets and "." in gaps[k - 1]:
+                new = "." + new
+            low = at if joins else m.start()
+            if new != text[low : m.end()]:
+                edits.append((low, m.end(), new))
+            at = m.end()
+    return edits
 
 
 def luhn(digits: str) -> bool:
@@ -199,13 +226,14 @@ class Rewritten:
         return parts[0][2], parts[-1][3], any(p[4] for p in parts) or len(parts) > 1
 
 
-def normalised(text: str) -> Rewritten | None:
-    """The text after both transducers, or None if neither finds anything."""
+def normalised(text: str) -> list[Rewritten]:
+    """The text after both transducers, without and with spelled digits; empty if neither finds anything."""
     r = Rewritten(text)
     odd = not text.isascii() and _LOOK.search(text)
     if odd:
         r.replace([(m.start(), m.end(), LOOK_ALIKES[m[0]]) for m in _LOOK.finditer(text) if m[0] in LOOK_ALIKES])
-    if _disguised(r.text.lower()):
+    stages = []
+    if _disguised(r.text):
         edits = []
         for m in _DISGUISED_AT.finditer(r.text):
             edits.append((*m.span(), "@"))
@@ -216,35 +244,37 @@ def normalised(text: str) -> Rewritten | None:
             before = r.text[max(0, m.start() - 80) : m.start()].rsplit("@", 1)
             opens = re.match(r"[A-Za-z0-9_%+.-]+@", r.text[m.end() : m.end() + 80])
             if opens or (len(before) == 2 and not re.search(r"[^A-Za-z0-9.\[\](){}<> -]", before[1]) and len(before[1].split()) <= 4) or (
-                before[-1][-1:].isdigit() and r.text[m.end() : m.end() + 1].isdigit()
+                _ENDS_IN_DIGIT.search(before[-1][-8:]) and _BEGINS_WITH_DIGIT.match(r.text[m.end() : m.end() + 8])
             ):
                 edits.append((*m.span(), "."))
         r.replace(edits)
-        edits = []
-        for m in _SPELLED.finditer(r.text):
-            words = re.findall(_NUMBER_WORD + "|[0-9]", m[0], re.I)
-            if sum(w.lower() in DIGITS for w in words) >= MIN_SPELLED:
-                edits.append((*m.span(), "".join(DIGITS.get(w.lower(), w) for w in words)))
+        edits = _spelled(r.text)
+        if edits and r.text != text:
+            plain = Rewritten(r.text)
+            plain.pieces = r.pieces
+            stages.append(plain)
         r.replace(edits)
         r.replace([(*m.span(), "+") for m in _PLUS.finditer(r.text)])
-    return None if r.text == text else r
+    return stages if r.text == text else [*stages, r]
 
 
 def all_spans(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """(base spans, added spans)."""
     base = spans(text)
-    r = normalised(text)
-    if r is None:
-        return base, []
+    found = {}
+    for r in normalised(text):
+        for a, b, kind in spans(r.text):
+            s, e, changed = r.back(a, b)
+            own = [(x, y) for x, y, k in base if k == kind and s < y and x < e]
+            held = any(x <= s and e <= y for x, y in own)
+            set_off = any((s < x and text[x - 1] in SET_OFF) or (y < e and text[y] in SET_OFF) for x, y in own)
+            if changed and not held and not set_off:
+                found[s, e, kind] = None
     added: list[tuple[int, int, str]] = []
-    for a, b, kind in spans(r.text):
-        s, e, changed = r.back(a, b)
-        own = [(x, y) for x, y, k in base if k == kind and s < y and x < e]
-        held = any(x <= s and e <= y for x, y in own)
-        set_off = any((s < x and text[x - 1] in SET_OFF) or (y < e and text[y] in SET_OFF) for x, y in own)
-        if changed and not held and not set_off and not any(s < y and x < e for x, y, _ in added):
+    for s, e, kind in sorted(found, key=lambda x: (x[0], -x[1], KINDS.index(x[2]))):
+        if not any(s < y and x < e for x, y, _ in added):
             added.append((s, e, kind))
-    return base, sorted(added, key=lambda x: (x[0], KINDS.index(x[2])))
+    return base, added
 
 
 def joined(found: list[tuple[int, int, str]]) -> str:

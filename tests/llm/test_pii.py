@@ -54,6 +54,27 @@ def test_disguises(text, kind, source):
     assert [(text[s:e], k) for s, e, k in added] == [(source, kind)] and not base
 
 
+@pytest.mark.parametrize(
+    "kind, source",
+    [
+        ("card", "4111 one one one one 1111 1111"), ("card", "4 one 1 one 1 1 1 1 1 1 1 1 1 1 1 one"),
+        ("phone", "+44 20 seven nine four six 0958"), ("phone", "+1 (706) five five five 3138"), ("phone", "+44 20 7946 095eight"),
+        ("ip", "one nine two dot one six eight dot one dot one"), ("ip", "192 dot one six 8 dot 1 dot two"),
+        ("email", "jane@example (punto) com"), ("email", "jane@example [point] com"), ("email", "jane@example (punkt) com"),
+        ("email", "jane {a} example.com"), ("email", "jane@example\tdot\tcom"),
+    ],
+)
+def test_sparse_and_rare_disguises(kind, source):
+    text = f"x: {source}; and one more"
+    _, added = pii.all_spans(text)
+    assert [(text[s:e], k) for s, e, k in added] == [(source, kind)]
+
+
+@pytest.mark.parametrize("text", ["one or two of 4111 1111 and three", "version two dot one", "one two three four five six seven eight nine one two", "two (a) three"])
+def test_plain_numbers_are_left_alone(text):
+    assert pii.all_spans(text) == ([], [])
+
+
 @pytest.mark.parametrize(
     "text, kind, source, fragment",
     [
