@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spendlens.llm import decontaminate, mixing, near_dedup, pages, periodic, pii, quality, rules, tokens, toxicity, urls, whitening
+from spendlens.llm import decontaminate, language, mixing, near_dedup, pages, periodic, pii, quality, rules, tokens, toxicity, urls, whitening
 from spendlens.llm.common import table
 
 
@@ -62,10 +62,14 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.learn_and_identify(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_pii, op2_url_filter, op3_near_dedup, op4_decontaminate, op5_toxicity, op6_tokens, op7_mixing,
-        op8_main_text, op9_quality, op10_quality_rules, op11_periodic_runs, op12_whitening,
+        op8_main_text, op9_quality, op10_quality_rules, op11_periodic_runs, op12_whitening, op13_language_id,
     )
 }
