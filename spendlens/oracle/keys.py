@@ -55,28 +55,31 @@ def O(name: str, sql: str) -> None:  # noqa: E743, N802
 
 
 K = "CAST(substr(txn_no, 2) AS BIGINT)"
-FILE = "'statement_' || CAST(year(txn_date) AS VARCHAR) || '.csv'"
+FILE = f"'statement_' || CAST(year(txn_date) AS VARCHAR) || '_' || CAST({K} // 1000000 AS VARCHAR) || '.csv'"
 
 # ---------------------------------------------------------------------------
 # ING (expected values follow from how the statement lines are derived)
 # ---------------------------------------------------------------------------
 
 O("ing_01", query(f"""
-SELECT file_path, 3 + count(*) + count_if(k % 50 = 0) + count_if(k % 70 = 0) + count_if(k % 90 = 0) + count_if(k % 110 = 0) AS n_lines
+SELECT file_path, 3 + count(*) + count_if(k % 50 = 0) + count_if(k % 70 = 0) + count_if(k % 90 = 0) + count_if(k % 110 = 0)
+  + count_if(k % 13 = 0) AS n_lines  -- a branch name with a line break
 FROM (SELECT {FILE} AS file_path, {K} AS k FROM raw_txn) GROUP BY file_path""", "raw_txn"))
 
 O("ing_02", query(f"SELECT DISTINCT {FILE} AS file_path, CAST(2 AS BIGINT) AS header_pos FROM raw_txn", "raw_txn"))
 
+# a record's position is its number in its file: three records before the first, then by key
 _LINES = f"""
-lines AS (
-  SELECT {FILE} AS file_path, 10 + {K} * 8 AS pos, CASE WHEN {K} % 5 = 0 THEN 10 ELSE 8 END AS n_cells,
+derived AS (
+  SELECT {FILE} AS file_path, CASE WHEN {K} % 5 = 0 THEN 10 ELSE 8 END AS n_cells,
          CASE WHEN {K} % 5 = 0 THEN 2 ELSE 0 END AS popped, TRUE AS kept, txn_no AS txn_id, 0 AS j, txn_no, {K} AS k
   FROM raw_txn
-  UNION ALL SELECT {FILE}, 10 + {K} * 8 + 1, 8, 0, TRUE, 'Txn No.', 1, txn_no, {K} FROM raw_txn WHERE {K} % 50 = 0
-  UNION ALL SELECT {FILE}, 10 + {K} * 8 + 2, 4, 0, FALSE, 'S' || CAST({K} AS VARCHAR), 2, txn_no, {K} FROM raw_txn WHERE {K} % 70 = 0
-  UNION ALL SELECT {FILE}, 10 + {K} * 8 + 3, 8, 0, TRUE, 'X' || CAST({K} AS VARCHAR), 3, txn_no, {K} FROM raw_txn WHERE {K} % 90 = 0
-  UNION ALL SELECT {FILE}, 10 + {K} * 8 + 4, 8, 0, TRUE, 'T' || CAST({K} AS VARCHAR) || 'B', 4, txn_no, {K} FROM raw_txn WHERE {K} % 110 = 0
-)"""
+  UNION ALL SELECT {FILE}, 8, 0, TRUE, 'Txn No.', 1, txn_no, {K} FROM raw_txn WHERE {K} % 50 = 0
+  UNION ALL SELECT {FILE}, 4, 0, FALSE, 'S' || CAST({K} AS VARCHAR), 2, txn_no, {K} FROM raw_txn WHERE {K} % 70 = 0
+  UNION ALL SELECT {FILE}, 8, 0, TRUE, 'X' || CAST({K} AS VARCHAR), 3, txn_no, {K} FROM raw_txn WHERE {K} % 90 = 0
+  UNION ALL SELECT {FILE}, 8, 0, TRUE, 'T' || CAST({K} AS VARCHAR) || 'B', 4, txn_no, {K} FROM raw_txn WHERE {K} % 110 = 0
+),
+lines AS (SELECT *, 2 + row_number() OVER (PARTITION BY file_path ORDER BY k, j) AS pos FROM derived)"""
 
 
 def _ing(final: str) -> str:
@@ -93,7 +96,7 @@ SELECT l.file_path, CAST(l.pos AS BIGINT) AS pos,
   CASE l.j WHEN 0 THEN r.txn_no WHEN 1 THEN 'Txn No.' ELSE l.txn_id END AS txn_no,
   CASE l.j WHEN 0 THEN strftime(r.txn_date, '%d-%m-%Y') WHEN 1 THEN 'Txn Date' WHEN 3 THEN '05-01-2026' ELSE '31-02-2026' END AS txn_date,
   CASE l.j WHEN 0 THEN r.description WHEN 1 THEN 'Description' WHEN 3 THEN 'x' ELSE 'bad' END AS description,
-  CASE l.j WHEN 0 THEN 'BR' || CAST(l.k % 7 AS VARCHAR) WHEN 1 THEN 'Branch Name' ELSE 'b' END AS branch_name,
+  CASE l.j WHEN 0 THEN 'BR' || CAST(l.k % 7 AS VARCHAR) || CASE WHEN l.k % 13 = 0 THEN ', "MAIN"' || chr(10) || 'ROAD' ELSE '' END WHEN 1 THEN 'Branch Name' ELSE 'b' END AS branch_name,
   CASE l.j WHEN 1 THEN 'Cheque No.' ELSE '' END AS cheque_no,
   CASE l.j WHEN 0 THEN (CASE WHEN r.dr_amount = 0 THEN '' ELSE format('{:,.2f}', CAST(r.dr_amount AS DOUBLE)) END)
            WHEN 1 THEN 'Dr Amount' ELSE '1' END AS dr_amount,
@@ -117,9 +120,10 @@ clk_raw AS (
   UNION ALL SELECT c_custkey * 4 + 3, ' payee ' || CAST(c_custkey - 1 AS VARCHAR) || ' ', lower(c_mktsegment) || '_dup'
     FROM customer WHERE c_custkey % 13 = 0
 ),
+clk_file AS (SELECT row_number() OVER (ORDER BY pos) AS pos, merchant_name, category FROM clk_raw),
 clk AS (
   SELECT min(pos) AS pos, upper(trim(merchant_name)) AS merchant_name, arg_max(trim(category), pos) AS category
-  FROM clk_raw WHERE merchant_name IS NOT NULL AND category IS NOT NULL AND lower(trim(merchant_name)) <> 'merchant_name'
+  FROM clk_file WHERE merchant_name IS NOT NULL AND category IS NOT NULL AND lower(trim(merchant_name)) <> 'merchant_name'
   GROUP BY 2
 )"""
 

@@ -8,8 +8,9 @@ DuckDB oracle of the same key (``spendlens.oracle.keys``).
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,9 +19,9 @@ from spendlens.operators import anonymize, categorize, features, load, scoring
 from spendlens.plans import reports
 from spendlens.plans.chain import build
 from spendlens.session import materialize, table_path
-from spendlens.sources import statement
-from spendlens.sources.fixture import read_table
-from spendlens.sources.lookup import normalize_lookup
+from spendlens.sources import records, statement
+from spendlens.sources.fixture import processed_from_orders, read_table
+from spendlens.sources.lookup import normalize_lookup, read_lookup_records, write_lookup_csv
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -54,21 +55,46 @@ def _t(spark, sf):
 # ---------------------------------------------------------------------------
 
 
-def statement_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return statement.statement_lines_from_processed(_t(spark, sf).processed)
+_STAGE: dict[tuple, Any] = {}
 
 
-_STAGE: dict[tuple, DataFrame] = {}
+def _once(spark: SparkSession, sf: str, name: str, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, made once per application and input folder."""
+    k = (spark.sparkContext.applicationId, sf, name)
+    if k not in _STAGE:
+        _STAGE[k] = make()
+    return _STAGE[k]
+
+
+def statement_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The lines of the written statement files (file_path, block, value)."""
+
+    def write() -> str:
+        path = table_path(spark, "statements", sf)
+        statement.write_statements(statement.statement_lines_from_processed(processed_from_orders(spark, sf)), path)
+        return path
+
+    return statement.read_statements(spark, _once(spark, sf, "statements", write))
+
+
+def statement_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """How each block of the files begins, and its header: a stage table of one row per block."""
+    make = lambda: materialize(records.block_states(records.block_summaries(statement_files(spark, sf))), "statement-blocks", sf)
+    return _once(spark, sf, "blocks", make)
+
+
+def _counted_rows(spark, sf) -> tuple[DataFrame, Observation]:
+    """Repaired and id-checked records after the header, a stage table written once, and the counters of that write."""
+
+    def write():
+        rows, seen = statement.observed_counters(statement.statement_rows(statement_files(spark, sf), statement_blocks(spark, sf)))
+        return materialize(rows, "statement-rows", sf), seen
+
+    return _once(spark, sf, "rows", write)
 
 
 def _after_header_rows(spark, sf) -> DataFrame:
-    """Split, header-located, repaired and id-checked lines — a stage table, written once."""
-    k = (spark.sparkContext.applicationId, sf, "statement-rows")
-    if k not in _STAGE:
-        lines = statement_lines(spark, sf)
-        rows = statement.id_filter(statement.repair_ragged(statement.after_header(statement.with_cells(lines))))
-        _STAGE[k] = materialize(rows, "statement-rows", sf)
-    return _STAGE[k]
+    return _counted_rows(spark, sf)[0]
 
 
 def customer_lookup_raw(spark: SparkSession, sf: str) -> DataFrame:
@@ -110,12 +136,12 @@ def payee_keys(spark: SparkSession, sf: str) -> DataFrame:
 
 @key("ing_01")
 def ing_01(spark, sf):
-    return statement_lines(spark, sf).groupBy("file_path").agg(F.count(F.lit(1)).alias("n_lines"))
+    return statement_blocks(spark, sf).groupBy("file_path").agg(F.sum("n_lines").alias("n_lines"))
 
 
 @key("ing_02")
 def ing_02(spark, sf):
-    return statement.header_positions(statement.with_cells(statement_lines(spark, sf)))
+    return records.header_positions(statement_blocks(spark, sf))
 
 
 @key("ing_03")
@@ -130,7 +156,9 @@ def ing_04(spark, sf):
 
 @key("ing_05")
 def ing_05(spark, sf):
-    return statement.load_counters(_after_header_rows(spark, sf))
+    """The counters that came along with the write of the rows: no pass of their own."""
+    schema = "rows_loaded long, rows_corrected long, rows_skipped long"
+    return spark.createDataFrame([_counted_rows(spark, sf)[1].get], schema)
 
 
 @key("ing_06")
@@ -139,7 +167,13 @@ def ing_06(spark, sf):
 
 
 def _typed(spark, sf) -> DataFrame:
-    return statement.typed_rows(statement.normalize_missing(_after_header_rows(spark, sf)))
+    """Typed rows, parsed once: five products read them and one sorts them."""
+    make = lambda: materialize(statement.typed_rows(statement.normalize_missing(_after_header_rows(spark, sf))), "statement-typed", sf)
+    return _once(spark, sf, "typed", make)
+
+
+def _sequenced(spark, sf) -> DataFrame:
+    return _once(spark, sf, "sequenced", lambda: statement.with_sequence(_typed(spark, sf)))
 
 
 @key("ing_07")
@@ -159,22 +193,30 @@ def ing_09(spark, sf):
 
 @key("ing_10")
 def ing_10(spark, sf):
-    return statement.with_sequence(_typed(spark, sf)).select("txn_no", "txn_date", "seq")
+    return _sequenced(spark, sf).select("txn_no", "txn_date", "seq")
 
 
 @key("ing_11")
 def ing_11(spark, sf):
-    return customer_lookup(spark, sf)
+    """The lookup from a written CSV file, in file order."""
+
+    def write() -> str:
+        path = table_path(spark, "lookup-csv", sf)
+        write_lookup_csv(customer_lookup_raw(spark, sf), path)
+        return path
+
+    return normalize_lookup(read_lookup_records(spark, _once(spark, sf, "lookup", write)))
 
 
 @key("ing_12")
 def ing_12(spark, sf):
-    """Stage table round trip: parquet under the shared folder (plus a CSV export)."""
-    df = statement.with_sequence(_typed(spark, sf)).select("txn_no", "txn_date", "dr_amount", "cr_amount", "seq")
+    """Stage round trip: the processed statement as parquet, from there as CSV, and read back from the CSV."""
+    df = _sequenced(spark, sf).select("txn_no", "txn_date", "dr_amount", "cr_amount", "seq")
     path = table_path(spark, "stage-processed", sf)
     df.write.mode("overwrite").parquet(path)
-    spark.read.parquet(path).write.mode("overwrite").option("header", True).csv(path + "-csv")
-    return reportable(spark.read.parquet(path))
+    stored = spark.read.parquet(path)
+    stored.write.mode("overwrite").option("header", True).csv(path + "-csv")
+    return reportable(spark.read.option("header", True).schema(stored.schema).csv(path + "-csv"))
 
 
 # ---------------------------------------------------------------------------

@@ -11,6 +11,7 @@ from __future__ import annotations
 import atexit
 import hashlib
 import os
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,6 +63,18 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+PACKAGE_ROOT = str(Path(__file__).resolve().parents[1])
+
+
+def ship_package(df: DataFrame) -> DataFrame:
+    """``df``; Python workers that Spark starts from now on find this package where the driver did."""
+    env = df.sparkSession.sparkContext.environment
+    have = env.get("PYTHONPATH", "").split(os.pathsep)
+    if PACKAGE_ROOT not in have:
+        env["PYTHONPATH"] = os.pathsep.join([PACKAGE_ROOT, *filter(None, have)])
+    return df
+
+
 _CLEANED: set[str] = set()
 
 

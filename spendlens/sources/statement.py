@@ -1,7 +1,8 @@
 """ING-01…10: raw bank-statement CSV lines → the processed statement table.
 
-Lines are read with ``spark.read.text`` (splittable), keeping ``(file_path, pos, value)``;
-``pos`` orders lines within a file.  Each file is one statement:
+``records`` reads files whose quoted cells may hold line breaks, split by split (``statement_rows``).
+``read_statement_lines`` takes a line for a record: ``spark.read.text`` (splittable), keeping
+``(file_path, pos, value)``; ``pos`` orders lines within a file.  Each file is one statement:
 
 * ING-02 the header is the first line whose first 8 stripped cells equal the expected
   header; per-file positions are a small aggregate joined back; lines up to and including
@@ -17,14 +18,14 @@ Lines are read with ``spark.read.text`` (splittable), keeping ``(file_path, pos,
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from spendlens.functions.text import py_strip
 from spendlens.operators.ordered import row_number_by
+from spendlens.sources import records
+from spendlens.sources.records import EXPECTED_HEADER
 
-# The statement header (first 8 cells, stripped).
-EXPECTED_HEADER = ["Txn No.", "Txn Date", "Description", "Branch Name", "Cheque No.", "Dr Amount", "Cr Amount", "Balance"]
 PROCESSED_COLUMNS = ["txn_no", "txn_date", "description", "branch_name", "cheque_no", "dr_amount", "cr_amount", "balance"]
 # Accepted day-first date layouts, tried in order.
 DATE_FORMATS = ["d-M-yyyy", "d/M/yyyy", "d.M.yyyy", "yyyy-M-d", "d-MMM-yyyy", "d MMM yyyy"]
@@ -37,6 +38,7 @@ NUMERIC_RE = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 # One cell after its comma: quoted up to the closing quote, or anything up to the next comma.
 _CSV_CELL = ',("(?:[^"]|"")*+"(?=,|$)|[^,]*)'
 BROADCAST_HEADERS = 100_000  # rows of a path and a number
+FILE_KEYS = 1_000_000  # transaction keys of one derived statement file
 
 
 def read_statement_lines(spark: SparkSession, path: str, first_only: bool = False) -> DataFrame:
@@ -81,9 +83,12 @@ def header_positions(cells: DataFrame) -> DataFrame:
     return cells.filter(match).groupBy("file_path").agg(F.min("pos").alias("header_pos"))
 
 
-def after_header(cells: DataFrame, require_header: bool = True) -> DataFrame:
-    """Lines after their file's header; files without a header raise when checked."""
-    hp = header_positions(cells)
+def after_header(cells: DataFrame, require_header: bool = True, headers: DataFrame | None = None) -> DataFrame:
+    """Rows after their file's header; files without a header raise when checked.
+
+    ``headers`` (file_path, header_pos) is looked for in ``cells`` if it is not given.
+    """
+    hp = header_positions(cells) if headers is None else headers
     small = hp.limit(BROADCAST_HEADERS + 1).count() <= BROADCAST_HEADERS
     j = cells.join(F.broadcast(hp) if small else hp, on="file_path", how="left")
     if require_header:
@@ -95,6 +100,27 @@ def after_header(cells: DataFrame, require_header: bool = True) -> DataFrame:
     return j.filter(F.col("pos") > F.col("header_pos")).drop("header_pos")
 
 
+def statement_rows(lines: DataFrame, states: DataFrame) -> DataFrame:
+    """ING-01…04 from files: repaired and id-checked records after their file's header.
+
+    ``lines`` and ``states`` come from ``records``: the header is known from the blocks' summaries, and
+    every line is split into cells once.
+    """
+    cells = records.read_records(lines, states)
+    return id_filter(repair_ragged(after_header(cells, headers=records.header_positions(states))))
+
+
+def observed_counters(rows: DataFrame) -> tuple[DataFrame, Observation]:
+    """ING-05 without a pass of its own: ``rows`` and an observation that whoever writes them fills in."""
+    seen = Observation()
+    counters = [
+        F.count_if("loaded").cast("long").alias("rows_loaded"),
+        F.coalesce(F.sum("popped"), F.lit(0)).cast("long").alias("rows_corrected"),
+        F.count_if(~F.col("loaded")).cast("long").alias("rows_skipped"),
+    ]
+    return rows.observe(seen, *counters), seen
+
+
 def repair_ragged(rows: DataFrame) -> DataFrame:
     """ING-03: ``n_cells``, ``popped`` (trailing empties removed), ``kept``, 8 ``cells``."""
     n = F.size("cells")
@@ -201,26 +227,32 @@ def _fmt_money(x: F.Column) -> F.Column:
 
 
 def statement_lines_from_processed(processed: DataFrame) -> DataFrame:
-    """One statement file per year of the orders-derived transactions.
+    """Statement files of the orders-derived transactions, one per year and ``FILE_KEYS`` keys.
 
     Per file: a short preamble line, an 8-cell preamble line starting with ``T``, the
-    header.  Per transaction (key ``k``): its data line (``,,`` appended when k % 5 = 0,
-    a ``Dr.`` balance when k % 11 = 0) and, derived from the same key, a repeated header
+    header.  Per transaction (key ``k``): its record (``,,`` appended when k % 5 = 0,
+    a ``Dr.`` balance when k % 11 = 0, a branch name with a quote, a comma and a line break when
+    k % 13 = 0) and, derived from the same key, a repeated header
     (k % 50 = 0), a short row (k % 70 = 0), a bad id (k % 90 = 0) and an impossible date
-    (k % 110 = 0).  Every transaction line survives parsing.
+    (k % 110 = 0).  Every transaction survives parsing.  ``pos`` orders a file's records.
     """
     k = F.substring("txn_no", 2, 20).cast("long")
     base = processed.select(
         "*",
         k.alias("k"),
-        F.concat(F.lit("statement_"), F.year("txn_date").cast("string"), F.lit(".csv")).alias("file_path"),
+        F.concat(
+            F.lit("statement_"), F.year("txn_date").cast("string"), F.lit("_"),
+            F.floor(F.substring("txn_no", 2, 20).cast("long") / FILE_KEYS).cast("string"), F.lit(".csv"),
+        ).alias("file_path"),
     )
     data = F.concat_ws(
         ",",
         F.col("txn_no"),
         F.date_format("txn_date", "dd-MM-yyyy"),
         F.col("description"),
-        F.concat(F.lit("BR"), (F.col("k") % 7).cast("string")),
+        F.when(F.col("k") % 13 == 0, F.concat(F.lit('"BR'), (F.col("k") % 7).cast("string"), F.lit(', ""MAIN""\nROAD"'))).otherwise(
+            F.concat(F.lit("BR"), (F.col("k") % 7).cast("string"))
+        ),
         F.lit("-"),
         _fmt_money(F.col("dr_amount")),
         _fmt_money(F.col("cr_amount")),
@@ -250,3 +282,17 @@ def statement_lines_from_processed(processed: DataFrame) -> DataFrame:
         ).alias("p"),
     ).select("file_path", "p.pos", "p.value")
     return pre.unionByName(tx.select("file_path", F.col("pos").cast("long"), "value"))
+
+
+def write_statements(lines: DataFrame, path: str) -> None:
+    """Write lines (file_path, pos, value) as text files, each statement whole and in order.
+
+    A statement is one file, so one task writes it; the derived statements hold ``FILE_KEYS`` keys at most.
+    """
+    ordered = lines.repartition("file_path").sortWithinPartitions("file_path", "pos")
+    ordered.select("value", F.col("file_path").alias("statement")).write.mode("overwrite").partitionBy("statement").text(path)
+
+
+def read_statements(spark: SparkSession, path: str) -> DataFrame:
+    """``records.raw_lines`` of files that ``write_statements`` wrote, under the statements' names."""
+    return records.raw_lines(spark, path).withColumn("file_path", F.regexp_extract("file_path", "statement=([^/]+)/", 1))
