@@ -5,12 +5,14 @@ first-appearance numbering).  A plain ``Window.orderBy`` with no partition puts
 in one task.  Here every such operator is a *running sum* over a total order:
 
 1. rows are range-partitioned on the order keys (sampled boundaries, so parts are of like size
-   whatever the keys look like) and written once to the shared folder with their part's number;
+   whatever the keys look like) and written once to the shared folder as a table bucketed by their
+   part's number, one part per bucket;
 2. sums per stored part, and a running sum over the parts (one row per part and group), give each
    part its offset;
 3. each row adds its part's offset to a window partitioned by part.
 
-That is one range shuffle, at every size; nothing depends on the format of ids.  Order keys should
+The buckets are read back as they lie, so steps 2 and 3 shuffle none of the rows: one range shuffle in
+all, at every size; nothing depends on the format of ids.  Order keys should
 be unique per row (equal keys share a part).  NULL keys sort first in ascending and last in
 descending order; group columns may be NULL.
 """
@@ -20,11 +22,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spendlens.functions.rounding import idiv
-from spendlens.session import materialize
+from spendlens.session import materialize, materialize_buckets
 
 Order = Sequence[tuple[str, bool]]  # (column, ascending)
 
@@ -35,10 +37,30 @@ def _sort(order: Order) -> list[Column]:
     return [F.col(c).asc() if asc else F.col(c).desc() for c, asc in order]
 
 
+_CODES: dict[int, list[int]] = {}
+
+
+def part_codes(spark: SparkSession, parts: int) -> list[int]:
+    """Increasing numbers for parts 0, 1, ... that bucketing into ``parts`` buckets sends to bucket 0, 1, ...
+
+    Plain part numbers would leave about a third of the buckets empty and fill others several times.
+    """
+    if parts not in _CODES:
+        width = 16 * parts  # of tries per part: all fail for one in e^16, which then shares a bucket
+        part = F.floor(F.col("id") / width)
+        fit = spark.range(parts * width).where(F.pmod(F.hash("id"), F.lit(parts)) == part)
+        found = {r.part: r.code for r in fit.groupBy(part.alias("part")).agg(F.min("id").alias("code")).collect()}
+        _CODES[parts] = [found.get(p, p * width) for p in range(parts)]
+    return _CODES[parts]
+
+
 def range_parts(df: DataFrame, order: Order, by: Sequence[str] = (), name: str = "ordered") -> DataFrame:
-    """``df`` stored by ranges of (by, order), with the range's number in ``__part``."""
+    """``df`` stored by ranges of (by, order), bucketed by the range's number in ``__part``."""
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.drop(PART).repartitionByRange(*[F.col(c).asc() for c in by], *_sort(order))
-    return materialize(dealt.withColumn(PART, F.spark_partition_id()), name, uuid.uuid4().hex)
+    codes = F.array(*[F.lit(c).cast("long") for c in part_codes(spark, buckets)])
+    return materialize_buckets(dealt.withColumn(PART, F.element_at(codes, F.spark_partition_id() + 1)), name, PART, buckets)
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
@@ -64,7 +86,8 @@ def running_sum(
     sums = stored.groupBy(*by, PART).agg(*[F.sum(v).alias(v) for v in values])
     before = Window.partitionBy(*by).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(*by, PART, *[F.sum(v).over(before).alias(v + "__off") for v in values])
-    joined = null_safe_join(stored, offsets, by + [PART], "inner") if by else stored.join(offsets, PART, "inner")
+    # without groups the offsets are one row per part
+    joined = null_safe_join(stored, offsets, by + [PART], "inner") if by else stored.join(F.broadcast(offsets), PART, "inner")
     inside = Window.partitionBy(*by, PART).orderBy(*_sort(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return joined.select(
         *out_cols, *[(F.coalesce(F.col(v + "__off"), F.lit(0)) + F.sum(v).over(inside)).alias(v + suffix) for v in values]
@@ -93,6 +116,7 @@ def attach_group_totals(df: DataFrame, totals: DataFrame, by: Sequence[str]) ->
 # ---------------------------------------------------------------------------
 
 MAX_HEAVY = 1000
+SALTS = 1024
 
 
 def join_heavy_keys(rows: DataFrame, side: DataFrame, on: Sequence[str], weight: str, how: str = "inner") -> DataFrame:
@@ -100,16 +124,29 @@ def join_heavy_keys(rows: DataFrame, side: DataFrame, on: Sequence[str], weight:
 
     ``weight`` is a column of ``side``: how many rows its key has.  Keys with more than one
     in ``MAX_HEAVY`` of all rows are fewer than ``MAX_HEAVY`` by counting; they are broadcast, so a
-    key that holds half of the rows never meets in one task.  All other keys are shuffled.
+    key that holds half of the rows never meets in one task.  All other keys are shuffled; rows that found
+    their partner already, and rows with a NULL key, are spread over ``SALTS`` places of that shuffle.
+    ``rows`` is evaluated once; ``side`` is stored.
     """
     on = list(on)
+    side = materialize(side, "join-side", uuid.uuid4().hex)
+    values = [c for c in side.columns if c not in on and c != weight]
     total = side.agg(F.sum(weight)).first()[0] or 0
-    heavy = side.where(F.col(weight) * MAX_HEAVY > F.lit(total)).drop(weight)
-    light = side.where(F.col(weight) * MAX_HEAVY <= F.lit(total)).drop(weight)
-    frequent = F.broadcast(heavy)
-    apart = rows.join(frequent, on=on, how="inner")
-    rest = rows.join(F.broadcast(heavy.select(*on)), on=on, how="left_anti").join(light, on=on, how=how)
-    return apart.unionByName(rest)
+    found = lambda name: F.struct(*values).alias(name)
+    heavy = side.where(F.col(weight) * MAX_HEAVY > F.lit(total)).select(*on, found("__heavy"))
+    light = side.where(F.col(weight) * MAX_HEAVY <= F.lit(total)).select(*on, F.lit(-1).alias("__salt"), found("__light"))
+    marked = rows.join(F.broadcast(heavy), on=on, how="left")
+    if how == "inner":
+        for c in on:
+            marked = marked.where(F.col(c).isNotNull())
+    settled = F.col("__heavy").isNotNull()
+    for c in on:
+        settled = settled | F.col(c).isNull()
+    salted = marked.withColumn("__salt", F.when(settled, F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).otherwise(F.lit(-1)))
+    joined = salted.join(light, on=[*on, "__salt"], how="left").withColumn("__found", F.coalesce("__heavy", "__light"))
+    if how == "inner":
+        joined = joined.where(F.col("__found").isNotNull())
+    return joined.select(*on, *[c for c in rows.columns if c not in on], *[F.col(f"__found.{c}").alias(c) for c in values])
 
 
 # ---------------------------------------------------------------------------

@@ -11,6 +11,7 @@ from __future__ import annotations
 import atexit
 import hashlib
 import os
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -76,6 +77,7 @@ def ship_package(df: DataFrame) -> DataFrame:
 
 
 _CLEANED: set[str] = set()
+_TABLES: list[str] = []  # bucketed tables of this application, dropped with its folder
 
 
 def application_folder(spark: SparkSession, name: str) -> str:
@@ -86,6 +88,12 @@ def application_folder(spark: SparkSession, name: str) -> str:
         jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
 
         def remove() -> None:
+            while _TABLES:
+                label = _TABLES.pop()
+                try:
+                    spark.sql(f"DROP TABLE IF EXISTS {label}")
+                except Exception:  # noqa: BLE001 - a stopped session has no catalogue of its own left
+                    break
             path = jvm.org.apache.hadoop.fs.Path(folder)
             try:
                 path.getFileSystem(conf).delete(path, True)
@@ -122,3 +130,17 @@ def materialize(
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.parquet(path)
+
+
+def materialize_buckets(df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
+    """Write ``df`` once as a table bucketed by ``column``; grouping by it reads the buckets without a shuffle.
+
+    Buckets are known from the catalogue only, so the table is registered under a name of its own, with its files in
+    the application's folder.
+    """
+    spark = df.sparkSession
+    label = f"spendlens_{name}_{uuid.uuid4().hex}".replace("-", "_")
+    path = table_path(spark, name, label)
+    df.write.format("parquet").bucketBy(buckets, column).option("path", path).saveAsTable(label)
+    _TABLES.append(label)
+    return spark.table(label)

@@ -107,3 +107,40 @@ def test_curve_metrics_brute_force(spark):
         prev_r = rec
     assert abs(r.roc_auc - auc) < 1e-12 and abs(r.pr_auc - ap) < 1e-12
     assert order is not None
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stored_parts_are_not_shuffled_again(spark, txns):
+    """The running totals read the buckets as they lie: no exchange above the stored rows."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # few rows: they would be one part
+    stored = ordered.range_parts(txns, [("txn_date", True), ("txn_no", True)])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    out = ordered.running_sum(stored, [("txn_date", True), ("txn_no", True)], ["amt"])
+    assert "Bucketed: true" in _plan(out) and "hashpartitioning(__part" not in _plan(out)
+    out.write.format("noop").mode("overwrite").save()
+    files = stored.select(ordered.PART, F.regexp_extract(F.input_file_name(), r"_(\d+)\.c", 1).alias("bucket")).distinct().collect()
+    assert len(files) == len({r.bucket for r in files}) == len({r[ordered.PART] for r in files}) > 1
+
+
+def test_every_part_has_its_own_bucket(spark):
+    codes = ordered.part_codes(spark, 50)
+    got = spark.createDataFrame([(p, c) for p, c in enumerate(codes)], "p long, c long").where("pmod(hash(c), 50) = p").count()
+    assert got == 50 and codes == sorted(codes)
+
+
+def test_heavy_key_join_equals_plain_join(spark):
+    """A hot key, NULL keys, keys without a partner; rows are read once."""
+    rows = spark.range(6000).select(
+        F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 50 == 1, None).otherwise(F.concat(F.lit("k"), F.col("id") % 2500)).alias("k"), "id"
+    )
+    side = rows.where("k is not null and k != 'k5'").groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("top"))
+    for how in ("inner", "left"):
+        got = ordered.join_heavy_keys(rows, side, ["k"], "n", how)
+        assert got.columns == ["k", "id", "top"]
+        want = rows.join(side.drop("n"), "k", how)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    plan = ordered.join_heavy_keys(rows, side, ["k"], "n")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (") == 1
