@@ -133,24 +133,22 @@ class Model:
         self.words: dict[str, int] = {}
         self.grams: dict[str, int] = {}
         self.word_logs = self.gram_logs = np.zeros((0, len(langs)), np.float32)
-        self.seen: dict[str, np.ndarray | None] = {}
+        self.seen: dict[str, list[int]] = {}
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"seen": {}}
 
-    def unseen(self, word: str) -> np.ndarray | None:
-        """The word's mean log frequency by its longest known n-grams; none without a known character."""
-        if word in self.seen:
-            return self.seen[word]
-        found = None
-        for size in range(min(LONGEST, len(word) + 2), 0, -1):
-            places = [self.grams[g] for g in grams(word, size) if g in self.grams]
-            if places:
-                found = self.gram_logs[places].mean(axis=0, dtype=np.float64)
-                break
-        if len(self.seen) >= CACHE:
-            self.seen.clear()
-        self.seen[word] = found
+    def unseen(self, word: str) -> list[int]:
+        """Places of the word's longest known n-grams; none without a known character."""
+        found = self.seen.get(word)
+        if found is None:
+            for size in range(min(LONGEST, len(word) + 2), 0, -1):
+                found = [at for g in grams(word, size) if (at := self.grams.get(g)) is not None]
+                if found:
+                    break
+            if len(self.seen) >= CACHE:
+                self.seen.clear()
+            self.seen[word] = found
         return found
 
     def judge(self, text: str | None) -> tuple[str, float]:
@@ -158,16 +156,19 @@ class Model:
         if not self.langs or not any(w.isalpha() or any(map(str.isalpha, w)) for w in words):
             return UNKNOWN, 0.0
         total = self.prior.copy()
-        places, counts = [], []
+        places, counts, pieces, weights = [], [], [], []
         for word, n in words.items():
             at = self.words.get(word)
             if at is not None:
                 places.append(at)
                 counts.append(n)
-            elif (logs := self.unseen(word)) is not None:
-                total += n * logs
+            elif found := self.unseen(word):
+                pieces += found
+                weights += [n / len(found)] * len(found)
         if places:
             total += np.array(counts, np.float64) @ self.word_logs[places]
+        if pieces:
+            total += np.array(weights) @ self.gram_logs[pieces]
         best = int(total.argmax())
         return self.langs[best], float(1.0 / np.exp(total - total[best]).sum())
 

@@ -80,9 +80,10 @@ def test_backoff_goes_from_long_to_short():
     model = L.Model(["a", "b"], L.np.zeros(2))
     model.grams = {"abcd": 0, "ab": 1, "z": 2}
     model.gram_logs = L.np.array([[-1, -2], [-5, -1], [-3, -4]], L.np.float32)
-    assert model.unseen("xabcdx").tolist() == [-1, -2]
-    assert model.unseen("xabx").tolist() == [-5, -1]
-    assert model.unseen("z").tolist() == [-3, -4] and model.unseen("q") is None
+    assert model.unseen("xabcdx") == [0]
+    assert model.unseen("xabxab") == [1, 1]
+    assert model.unseen("z") == [2] and model.unseen("q") == []
+    assert model.judge("xabx")[0] == "b" and model.judge("xabcdx")[0] == "a"
 
 
 def test_bounded_model_keeps_the_frequent_terms(spark):
