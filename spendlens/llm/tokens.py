@@ -13,7 +13,8 @@ lost leaves a file nobody reads.  ``read_documents`` goes from the manifest back
 
 Encoding: a byte-level BPE never joins ids across the border from a non-space to a space
 character, so a text is cut there and each distinct piece is encoded once per worker (a bounded
-dictionary, ``CACHE_PIECES``); the ids equal those of encoding the text in one call.
+dictionary, ``CACHE_PIECES``); the ids equal those of encoding the text in one call.  Texts that hold one of the
+tokenizer's added tokens literally (``<|endoftext|>``) are encoded in one call, with the library's defaults.
 
 Cases: a null text counts as empty (one end id); null doc_ids come first; rows that repeat a
 doc_id are documents of their own, in order of their text; an empty table writes no file.
@@ -55,7 +56,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # a control string inside a text is plain text
+        # strings that the library takes out of a text before anything else, such as control tokens
+        added = sorted((t.content for t in self.library.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.ids: dict[str, bytes] = {}  # of words, by what follows a space
         size = self.library.get_vocab_size()
         self.kind = np.uint16 if size <= 1 << 16 else np.uint32
@@ -89,7 +92,20 @@ class Encoder:
         return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as packed integers of ``kind``.
+        """Each text's ids as packed integers of ``kind``; texts that hold an added token by one library call each."""
+        whole = [i for i, t in enumerate(texts) if self.added and self.added.search(t)]
+        if not whole:
+            return self.by_pieces(texts)
+        out: list[bytes] = [b""] * len(texts)
+        for i in whole:
+            out[i] = np.array(self.library.encode(texts[i], add_special_tokens=False).ids, dtype=self.kind).tobytes()
+        rest = sorted(set(range(len(texts))) - set(whole))
+        for i, ids in zip(rest, self.by_pieces([texts[i] for i in rest]), strict=True):
+            out[i] = ids
+        return out
+
+    def by_pieces(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts without added tokens.
 
         ``self.ids`` knows words by what follows a single space; other pieces (a text's first word,
         pieces with other white space) are encoded by their whole text.

@@ -13,14 +13,12 @@ from tests.llm.common import documents, edge_texts, empty
 def library():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokenizer_path())
 
 
 ODD = [
     "a  b", " lead", "trail ", "\n\nx\n y", "tab\tand\r\nreturn", "it's we'll I'd 'tis", "x1 22 3a", "no\xa0break  em line",
-    "\x1c\x1d!\x1e a", "<|endoftext|> inside<|endoftext|>", "日本語 テキスト", "é combining", "\x85next", "!!! ... ?", " ", "\n",
+    "\x1c\x1d!\x1e a", "<|endoftext|> inside<|endoftext|>", "hello <|endoftext|> world", " <|endoftext|>", "<|endoftext|><|endoftext|>\n\n", "a<|endoftext", "|endoftext|>", "日本語 テキスト", "é combining", "\x85next", "!!! ... ?", " ", "\n",
 ]
 
 
@@ -31,6 +29,11 @@ def test_pieces_encode_like_whole_texts():
         assert got == [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_added_tokens_are_the_librarys():
+    ids = np.frombuffer(tokens.Encoder(tokenizer_path()).encode(["hello <|endoftext|> world"])[0], np.uint16).tolist()
+    assert 50256 in ids and ids == library().encode("hello <|endoftext|> world", add_special_tokens=False).ids
+
+
 def test_documents_come_back_whole_and_in_order(spark):
     docs = documents(spark, edge_texts() + ODD)
     rows = tokens.encode_documents(docs, tokenizer_path(), seq_len=64).orderBy("start").collect()
