@@ -5,7 +5,9 @@ order (null last), targets share ``share`` times all words and stop at ``limit``
 own words; what a full source leaves is shared again by weight.  Targets become whole blocks of
 ``block`` words in two apportionments by highest quotients ``v / (2 s + 1)``: all blocks over the
 sources, then a source's blocks over its shards.  Neither lists the blocks: two divisors bracket
-every party's seats, and only the few seats between them are decided by comparing quotients.
+every party's seats, and only the few seats between them are decided by comparing quotients.  What whole blocks
+leave of a source's target, or give beyond it, is settled in words over its shards in order, so each source
+meets its rounded target, one of less than a block included.
 
 A shard holds about ``shard_rows`` documents of one source, dealt by a seeded hash, so a source
 with a third of all rows is many shards and one window never holds more than a shard.  Inside a
@@ -101,6 +103,8 @@ def mix(
     targets = targets.drop("__source").withColumn("most", F.floor(F.col("source_size") * limit / block))
     targets = targets.withColumn("seats", F.sum(F.least("most", F.round(F.col("target") / block))).over(Window.partitionBy()).cast("long")).withColumn("__all", F.lit(0))
     quotas = sainte_lague(targets, "target", "seats", "most", ["__all"], "source", "quota").drop("__all", "seats", "most", "weight")
+    rounded = F.least(F.round("target").cast("long"), F.col("source_size") * limit)
+    quotas = quotas.withColumn("owed", rounded)
 
     digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")))
     order = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
@@ -108,14 +112,19 @@ def mix(
     dealt = dealt.withColumn("__h", order).withColumn(
         "shard", F.pmod(F.shiftright("__h", 20), F.ceil(F.col("rows") / shard_rows))
     )
-    shards = dealt.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("quota").alias("quota"))
+    shards = dealt.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("quota").alias("quota"), F.first("owed").alias("owed"))
     shards = shards.withColumn("most", F.floor(F.col("shard_size") * limit / block))
     shards = sainte_lague(shards, "shard_size", "quota", "most", ["source"], "shard", "shard_quota")
-    shards = shards.select(F.col("source").alias("__source"), F.col("shard").alias("__shard"), "shard_size", "shard_quota")
+    whole = F.col("shard_quota") * block
+    shards = shards.withColumn("rest", F.col("owed") - F.sum(whole).over(Window.partitionBy("source")))
+    room = F.when(F.col("rest") > 0, F.col("shard_size") * limit - whole).otherwise(whole)  # words to add, or to take back
+    before = F.coalesce(F.sum(room).over(Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    moved = F.least(room, F.greatest(F.lit(0), F.abs("rest") - before)) * F.signum("rest").cast("long")
+    shards = shards.select(F.col("source").alias("__source"), F.col("shard").alias("__shard"), "shard_size", (whole + moved).alias("shard_words"))
     placed = dealt.join(shards, F.col("source").eqNullSafe(F.col("__source")) & (F.col("shard") == F.col("__shard")))
     seeded = Window.partitionBy("source", "shard").orderBy("__h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("__start", F.coalesce(F.sum("size").over(seeded), F.lit(0)))
-    words = F.col("shard_quota") * block
+    words = F.col("shard_words")
     rounds = [F.greatest(F.lit(0), F.least(F.col("size"), words - F.col("shard_size") * r - F.col("__start"))) for r in range(limit)]
     return placed.select(
         "doc_id", "source", "size", "source_size", "target", sum(rounds[1:], rounds[0]).cast("long").alias("taken"), *keep

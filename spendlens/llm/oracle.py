@@ -89,10 +89,10 @@ seats as (
     where place <= (select sum(least(round(target / 32), source_size * 2 // 32))::bigint from targets) group by source
 ), dealt as (
     select doc_id, sized.source, size, h, source_size, target, coalesce(quota, 0) as quota,
-           (h >> 20) % ceil(n_rows / 2000.0)::bigint as shard
+           least(round(target)::bigint, source_size * 2) as owed, (h >> 20) % ceil(n_rows / 2000.0)::bigint as shard
     from sized join targets on sized.source is not distinct from targets.source
     left join won on sized.source is not distinct from won.source
-), shards as (select source, shard, sum(size)::bigint as shard_size, any_value(quota) as quota from dealt group by source, shard),
+), shards as (select source, shard, sum(size)::bigint as shard_size, any_value(quota) as quota, any_value(owed)::bigint as owed from dealt group by source, shard),
 shard_seats as (
     select source, shard, quota, shard_size::double / (2 * s + 1) as quotient
     from (select *, unnest(range(0, (shard_size * 2 // 32)::bigint)) as s from shards)
@@ -100,11 +100,18 @@ shard_seats as (
     select source, shard, count(*) as shard_quota
     from (select *, row_number() over (partition by source order by quotient desc, shard) as place from shard_seats)
     where place <= quota group by source, shard
+), blocks as (
+    select s.*, coalesce(shard_quota, 0) * 32 as given, owed - sum(coalesce(shard_quota, 0) * 32) over (partition by s.source) as rest
+    from shards s left join shard_won w on s.source is not distinct from w.source and s.shard = w.shard
+), settled as (  -- up to its own end each shard has given what the words owed until there allow
+    select source, shard, shard_size, case when rest >= 0
+             then given + least(2 * shard_size - given, greatest(0, rest - (sum(2 * shard_size - given) over upto - (2 * shard_size - given))))
+             else given - least(given, greatest(0, -rest - (sum(given) over upto - given))) end as words
+    from blocks window upto as (partition by source order by shard)
 ), placed as (
-    select d.*, shard_size, coalesce(shard_quota, 0) * 32 as words,
+    select d.*, s.shard_size, s.words,
            coalesce(sum(size) over (partition by d.source, d.shard order by h, doc_id, size rows between unbounded preceding and 1 preceding), 0) as start
-    from dealt d join shards s on d.source is not distinct from s.source and d.shard = s.shard
-    left join shard_won w on d.source is not distinct from w.source and d.shard = w.shard
+    from dealt d join settled s on d.source is not distinct from s.source and d.shard = s.shard
 )
 select doc_id, source, size, source_size, target,
        (greatest(0, least(size, words - start)) + greatest(0, least(size, words - shard_size - start)))::bigint as taken

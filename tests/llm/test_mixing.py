@@ -64,6 +64,19 @@ def test_mix_comes_near_its_targets(spark):
     assert sorted(map(str, rows)) == sorted(map(str, mixing.mix(docs, shard_rows=30).collect()))
 
 
+def test_every_source_meets_its_target(spark):
+    """Sources of a few words, of less than a block, and with many small shards: the words taken are the rounded target."""
+    rows = [(i, f"tiny{i % 3}", "a b c d e") for i in range(6)] + [(10 + i, "one", prose(i, 10)) for i in range(1)]
+    rows += [(100 + i, f"s{i % 2}", prose(i, 1 + i % 40)) for i in range(500)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string"), shard_rows=20).collect()
+    taken, target = defaultdict(int), {}
+    for x in out:
+        assert 0 <= x.taken <= 2 * x.size
+        taken[x.source] += x.taken
+        target[x.source] = x.target
+    assert {s: int(t + 0.5) for s, t in target.items()} == dict(taken) and taken["one"] == 20
+
+
 def test_awkward_and_empty_tables(spark):
     assert len(mixing.mix(documents(spark)).collect()) == documents(spark).count()
     assert mixing.mix(empty(documents(spark))).collect() == []
