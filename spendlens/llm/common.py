@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlens.session import checkpoint_root
+from spendlens.session import application_folder
 
 PACKAGE_ROOT = str(Path(__file__).resolve().parents[2])
 CHUNK_BYTES = 1 << 20  # texts are hashed in chunks of about this size (one text is never cut)
@@ -28,8 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def stage_path(spark: SparkSession, name: str) -> str:
-    app = spark.sparkContext.applicationId
-    return f"{checkpoint_root(spark)}/spendlens-llm/{app}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{application_folder(spark, 'spendlens-llm')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -37,7 +36,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = stage_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stage_folder = path
+    return out
+
+
+def release(*stages: DataFrame) -> None:
+    """Delete stage tables whose every reader has been written; the application's end deletes the others."""
+    for df in stages:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stage_folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def on_workers(df: DataFrame) -> DataFrame:

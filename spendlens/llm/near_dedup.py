@@ -10,11 +10,13 @@ that set.  Two documents link when 100 * |A & B| >= percent * |A | B|, decided o
    first ``size - need + 1`` values must meet the other's: only those make lists.  Values that many
    documents share stand last and are mostly not listed; members of lists that are long all the same
    are listed by their full sets, where the bound is exact and such values hardly ever come up.
-3. A list is not multiplied out.  Each member is paired with the list's first member (linear).
+3. A list is not multiplied out.  Each member is paired with the list's most central member (linear).
    Pairs pass a union-sketch estimate, then exact Jaccard on full sets, and links are grouped into
    components.  Only then are pairs across components made, for lists that still hold several: a
    member outside the list's largest component meets all members of other components.  Pairs
-   inside a component cannot change it, so nothing is lost.
+   inside a component cannot change it, so nothing is lost.  A list's value also bounds what two members can
+   share if it is their first common one, by their values from there on: copies with edits of their own, whose lone
+   values stand first, are told apart so without a pair.
 4. Components by alternating large-star and small-star steps over tables in the shared folder.
 
 Result per document: n_shingles, component_id (smallest doc_id reachable), kept.
@@ -36,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendlens.llm.common import SPACE_WORDS, chunks, hash_runs, hash_words, mix64, on_workers, stage, utf8
+from spendlens.llm.common import SPACE_WORDS, chunks, hash_runs, hash_words, mix64, on_workers, release, stage, utf8
 
 K = 64
 SURE = 6.0
@@ -91,7 +93,11 @@ def sketches(docs: DataFrame, n: int, k: int) -> DataFrame:
 
 
 def rarest(each: DataFrame, need) -> DataFrame:
-    """(value, digest, n) of the listed values: each class's rarest ones, ``size - need + 1`` of them.
+    """(value, digest, n, central, left) of the listed values: each class's rarest ones, ``size - need + 1`` of them.
+
+    ``left`` is the number of the class's values from this one on, in the order from the rarest.
+    ``central`` is the mean number of classes that hold one of the class's values: of a text and its edited
+    copies, the text itself has the largest one.
 
     ``each``: (digest, n, size, value), all values of every class.  Two classes that share ``need`` of
     their values have a common one among those.  Rarity is counted over all rows of ``each``; values of
@@ -101,12 +107,14 @@ def rarest(each: DataFrame, need) -> DataFrame:
     ranked = each.join(often, "value").groupBy("digest").agg(
         F.first("n").alias("n"), F.first("size").alias("size"),
         F.sort_array(F.collect_list(F.struct("often", "value"))).alias("values"),  # of one document
+        F.sum("often").alias("shared"),
     )
-    room = F.col("size") - need + 1 - (F.col("size") - F.size("values"))  # places left after the lone values
-    listed = ranked.withColumn("room", room.cast("int")).where("room > 0")
-    return listed.select("digest", "n", F.explode(F.slice("values", F.lit(1), F.col("room"))).alias("v")).select(
-        F.col("v.value").alias("value"), "digest", "n"
-    )
+    lone = F.col("size") - F.size("values")
+    central = (F.col("shared") + lone) / F.col("size")
+    room = F.col("size") - need + 1 - lone  # places left after the lone values
+    listed = ranked.withColumn("room", room.cast("int")).where("room > 0").withColumn("central", central)
+    placed = listed.select("digest", "n", "central", F.size("values").alias("size"), F.posexplode(F.slice("values", F.lit(1), F.col("room"))).alias("place", "v"))
+    return placed.select(F.col("v.value").alias("value"), "digest", "n", "central", (F.col("size") - F.col("place")).cast("long").alias("left"))
 
 
 def whole_sets(percent: int):
@@ -115,24 +123,35 @@ def whole_sets(percent: int):
 
 
 def postings(classes: DataFrame, docs: DataFrame, rows: DataFrame, shingle: int, k: int, percent: int) -> DataFrame:
-    """Inverted lists (value, digest, n) that hold a common value of any two classes that may link.
+    """Inverted lists (value, digest, n, central, left) that hold a common value of any two classes that may link.
 
     The lists come from the sketches.  A sketch bound is loose (it allows for chance), so classes made
     mostly of common values, such as a passage in many documents, would fill long lists with pairs that
     never link.  Members of lists longer than ``CROWD`` are therefore listed by their full sets instead,
     where the bound is exact; two linked classes that only meet in a long list are both listed so.
+
+    ``left`` bounds what a class shares with another if the list's value is the first common one: its values from there
+    on, where all of its values and of any partner's are in the order, else the whole set.
     """
     each = classes.select("digest", F.col("n_shingles").alias("n"), F.size("sketch").alias("size"), F.explode("sketch").alias("value"))
     full = shared_values(k, percent)
-    # a set of at most k shingles is its own sketch
-    need = F.when(F.col("n") <= F.lit(k), F.least(F.lit(full), whole_sets(percent))).otherwise(F.lit(full))
-    listed = stage(rarest(each, need), "sketch-lists")
+    # a set of at most k shingles is its own sketch; so is every set it may link with if it is small enough
+    need = (
+        F.when(F.col("n") * 100 <= F.lit(k * percent), whole_sets(percent))
+        .when(F.col("n") <= F.lit(k), F.least(F.lit(full), whole_sets(percent)))
+        .otherwise(F.lit(full))
+    )
+    known = F.col("n") * 100 <= F.lit(k * percent)  # the class and all its partners are their own sketches
+    listed = rarest(each, need).withColumn("left", F.when(known, F.col("left")).otherwise(F.col("n")))
+    listed = stage(listed, "sketch-lists")
     members = listed.groupBy("value").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     sized = stage(listed.join(members, "value"), "sized-lists")
     crowded = stage(sized.where(F.col("members") > CROWD).select("digest").distinct(), "crowded")
-    sets = full_sets(docs, rows, crowded, shingle, "crowded-sets").join(crowded, "digest", "left_semi")
-    exact = rarest(shingles_of(sets), whole_sets(percent))
-    return sized.where(F.col("members") <= CROWD).select("value", "digest", "n").unionByName(exact)
+    sets = full_sets(docs, rows, crowded, shingle, "crowded-sets")
+    exact = rarest(shingles_of(sets.join(crowded, "digest", "left_semi")), whole_sets(percent))
+    out = stage(sized.where(F.col("members") <= CROWD).select("value", "digest", "n", "central", "left").unionByName(exact), "postings")
+    release(listed, sized, crowded, sets)
+    return out
 
 
 def full_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, n: int, name: str) -> DataFrame:
@@ -175,15 +194,24 @@ def shingles_of(sets: DataFrame) -> DataFrame:
 
 
 def _may_link(percent: int):
-    """Sizes alone allow the similarity."""
-    return (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
+    """What the classes can share from the list's value on allows the similarity.
+
+    A link needs 100 * shared >= percent * (n_a + n_b - shared).  A pair's first common value passes if the pair
+    links, so a pair that fails here is found again or is no link.
+    """
+    return F.least("left_a", "left_b") * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
 
 
 def star_pairs(listed: DataFrame, percent: int) -> DataFrame:
-    """Every member of a list with the list's first member."""
-    hub = listed.groupBy("value").agg(F.min(F.struct("digest", "n")).alias("hub"), F.count(F.lit(1)).alias("members"))
+    """Every member of a list with the list's most central member.
+
+    Edited copies of a text link with the text far more often than with each other, so the first round joins
+    most of a group, whatever its size.
+    """
+    hub = listed.groupBy("value").agg(F.max(F.struct("central", "digest", "n", "left")).alias("hub"), F.count(F.lit(1)).alias("members"))
     pairs = listed.join(hub.where("members > 1"), "value").select(
-        F.col("hub.digest").alias("a"), F.col("hub.n").alias("n_a"), F.col("digest").alias("b"), F.col("n").alias("n_b")
+        F.col("hub.digest").alias("a"), F.col("hub.n").alias("n_a"), F.col("hub.left").alias("left_a"),
+        F.col("digest").alias("b"), F.col("n").alias("n_b"), F.col("left").alias("left_b"),
     )
     return pairs.where((F.col("a") != F.col("b")) & _may_link(percent)).select("a", "b").distinct()
 
@@ -197,8 +225,8 @@ def cross_pairs(listed: DataFrame, component: DataFrame, percent: int) -> DataFr
     sizes = own.groupBy("value", "comp").agg(F.count(F.lit(1)).alias("members"))
     main = sizes.groupBy("value").agg(F.max(F.struct("members", "comp")).getField("comp").alias("main"), F.count(F.lit(1)).alias("comps"))
     open_lists = own.join(main.where("comps > 1"), "value")
-    left = open_lists.where("comp != main").select("value", F.col("digest").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a"))
-    right = open_lists.select("value", F.col("digest").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"), "main")
+    left = open_lists.where("comp != main").select("value", F.col("digest").alias("a"), F.col("n").alias("n_a"), F.col("left").alias("left_a"), F.col("comp").alias("comp_a"))
+    right = open_lists.select("value", F.col("digest").alias("b"), F.col("n").alias("n_b"), F.col("left").alias("left_b"), F.col("comp").alias("comp_b"), "main")
     # a pair of two outsiders would be made twice: once is enough
     once = (F.col("comp_b") == F.col("main")) | (F.col("a") < F.col("b"))
     pairs = left.join(right, "value").where((F.col("comp_a") != F.col("comp_b")) & once & _may_link(percent))
@@ -266,7 +294,9 @@ def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, n: int, percent
             keep.append(100 * same >= percent * (len(own) + len(them) - same))
         return others.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return together.groupBy("a", "salt").applyInArrow(compare, "a binary, b binary")
+    links = stage(together.groupBy("a", "salt").applyInArrow(compare, "a binary, b binary"), "links")
+    release(dealt, full)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -275,7 +305,7 @@ def components(links: DataFrame) -> DataFrame:
     Large-star joins every larger neighbour to the smallest one, small-star every smaller
     neighbour; both together halve the height of each tree, so a few rounds end it.
     """
-    edges = stage(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "links")
+    stale = edges = stage(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "links")
     mark = None
     while True:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -284,6 +314,8 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         edges = stage(small.select("e.u", "e.v").where("u != v").distinct(), "star")
+        release(stale)
+        stale = edges
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == mark:
             break
@@ -300,7 +332,7 @@ def near_duplicates(docs: DataFrame, shingle: int, percent: int, k: int = K) ->
     # the class's name is its smallest doc_id
     classes = stage(named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "classes")
     ids = named.select("doc_id", "digest")
-    listed = stage(postings(classes, docs, ids, shingle, k, percent), "postings")
+    listed = postings(classes, docs, ids, shingle, k, percent)
     of = classes.select("digest", "rep")
 
     # a repeated doc_id can stand in several classes: they are one node
@@ -312,12 +344,16 @@ def near_duplicates(docs: DataFrame, shingle: int, percent: int, k: int = K) ->
         ).select("u", "v")
 
     def links_of(pairs: DataFrame, name: str) -> DataFrame:
-        return stage(verified(stage(estimated(pairs, classes, k, percent), name), docs, ids, shingle, percent), f"{name}-links")
+        likely = stage(estimated(pairs, classes, k, percent), name)
+        links = verified(likely, docs, ids, shingle, percent)
+        release(likely)
+        return links
 
-    first = stage(to_nodes(links_of(star_pairs(listed, percent), "star-pairs")).unionAll(same), "first-links")
-    comp = stage(components(first), "first-components")
+    stars = links_of(star_pairs(listed, percent), "star-pairs")
+    comp = stage(components(to_nodes(stars).unionAll(same)), "first-components")
     of_class = of.join(comp, F.col("rep") == F.col("node")).select("digest", F.col("comp").cast("string").alias("comp"))
     rest = to_nodes(links_of(cross_pairs(listed, of_class, percent), "cross-pairs"))
+    release(stars, listed)
     # the first round's components stand for its links
     whole = components(comp.where("node != comp").select(F.col("node").alias("u"), F.col("comp").alias("v")).unionAll(rest))
     found = rows.select("doc_id", "n_shingles").join(whole, F.col("doc_id") == F.col("node"), "left")
