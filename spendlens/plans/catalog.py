@@ -658,9 +658,27 @@ def ml_05(spark, sf):
     return scaling_stats(_matrix(spark, sf), _feature_cols(spark, sf))
 
 
+def _saved(spark, sf, name) -> DataFrame:
+    """The folds' models, trained and saved once."""
+    from spendlens.ml.models import fold_models
+
+    def train():
+        m = materialize(_matrix(spark, sf), "ml-matrix", sf)
+        return fold_models(name, m, _feature_cols(spark, sf), table_path(spark, "fold-models", sf, name))
+
+    return _once(spark, sf, f"models {name}", train)
+
+
+def _by_model(spark, sf, name):
+    """Out-of-fold predictions, from saved models where the model is a table."""
+    from spendlens.ml.models import SAVED, saved_out_of_fold
+
+    return saved_out_of_fold(name, _matrix(spark, sf), _saved(spark, sf, name)) if name in SAVED else _oof(spark, sf, name)
+
+
 @key("ml_06")
 def ml_06(spark, sf):
-    return _oof(spark, sf, "Logistic Regression")
+    return _by_model(spark, sf, "Logistic Regression")
 
 
 @key("ml_07")
@@ -670,7 +688,7 @@ def ml_07(spark, sf):
 
 @key("ml_08")
 def ml_08(spark, sf):
-    return _oof(spark, sf, "Gradient Boosting")
+    return _by_model(spark, sf, "Gradient Boosting")
 
 
 @key("ml_09")
@@ -679,7 +697,7 @@ def ml_09(spark, sf):
 
     from spendlens.ml.models import MODEL_NAMES
 
-    return reduce(DataFrame.unionByName, [_oof(spark, sf, n).withColumn("model", F.lit(n)) for n in MODEL_NAMES])
+    return reduce(DataFrame.unionByName, [_by_model(spark, sf, n).withColumn("model", F.lit(n)) for n in MODEL_NAMES])
 
 
 def _rule_pred(spark, sf):
@@ -714,7 +732,7 @@ def ml_12(spark, sf):
 def ml_13(spark, sf):
     from spendlens.ml.models import MODEL_NAMES, comparison, evaluate
 
-    return comparison([evaluate(n, _oof(spark, sf, n)) for n in MODEL_NAMES])
+    return comparison([evaluate(n, _by_model(spark, sf, n)) for n in MODEL_NAMES])
 
 
 @key("ml_14")
@@ -730,3 +748,14 @@ def ml_15(spark, sf):
         "txn_no", "potential_leakage", "predicted_leakage",
         F.col("predicted_proba").cast("double").alias("predicted_proba"), "correctly_identified",
     )
+
+
+@key("ml_15_model")
+def ml_15_model(spark, sf):
+    """The prediction columns from the saved logistic models: each row by the model of its own fold."""
+    from spendlens.operators.predict import model_predictions
+
+    return model_predictions(_s(spark, sf), _by_model(spark, sf, "Logistic Regression")).select(
+        "txn_no", "potential_leakage", "predicted_leakage",
+        F.col("predicted_proba").cast("double").alias("predicted_proba"), "correctly_identified",
+    )

@@ -14,7 +14,7 @@ from spendlens.plans.catalog import QUERIES
 from tests.conftest import SF001
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-ML_TRAINING = {"ml_06", "ml_07", "ml_08", "ml_09", "ml_13", "ml_14"}
+ML_TRAINING = {"ml_06", "ml_07", "ml_08", "ml_09", "ml_13", "ml_14", "ml_15_model"}
 
 
 def _norm(v):
@@ -51,7 +51,7 @@ def test_entry_runs(spark):
 
 
 def test_every_key_has_oracle_or_is_ml():
-    assert len(QUERIES) == 103 and set(QUERIES) <= set(E.queries())
+    assert len(QUERIES) == 104 and set(QUERIES) <= set(E.queries())
     assert set(QUERIES) - set(ORACLE) == ML_TRAINING and set(ORACLE) <= set(E.oracle_sql())
 
 
