@@ -13,6 +13,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -21,6 +22,9 @@ from pyspark.sql import functions as F
 from spendlens.functions.describe import entity_type_of, parse_struct, stripped_description
 from spendlens.operators.categorize import categorize_keys
 from spendlens.operators.ordered import join_heavy_keys, row_number_by
+from spendlens.session import materialize, read_if_there
+
+HASH_DIGITS = 32  # hexadecimal: 128 bits
 
 CLEAN_COLUMNS = [
     "txn_no",
@@ -74,16 +78,63 @@ def payee_tokens(parsed: DataFrame, lookup: DataFrame, by: Sequence[str] = ()) -
 
 
 def hashed_tokens(parsed: DataFrame, lookup: DataFrame, salt: str, by: Sequence[str] = ()) -> DataFrame:
-    """ANO-02, second mode: tokens from a salted hash of the payee key.
+    """ANO-02, second mode: tokens from 128 bits of a salted hash of the payee key.
 
     No counter, so no order: the same payee has the same token in every load, also across
-    statements that are processed apart.
+    statements that are processed apart.  ``shared_tokens`` tells whether two payees met.
     """
     typed = typed_payees(payee_table(parsed, by), lookup)
-    digest = F.substring(F.sha2(F.concat(F.lit(salt), F.lit("|"), F.col("payee_key")), 256), 1, 12)
+    digest = F.substring(F.sha2(F.concat(F.lit(salt), F.lit("|"), F.col("payee_key")), 256), 1, HASH_DIGITS)
     return typed.withColumn("entity_id", F.concat_ws("_", F.col("entity_type"), digest))
 
 
+def shared_tokens(tokens: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Tokens that stand for more than one payee key: (by…, entity_id, n_keys); empty for a sound table."""
+    counts = tokens.groupBy(*by, "entity_id").agg(F.count_distinct("payee_key").alias("n_keys"))
+    return counts.where("n_keys > 1")
+
+
+def new_tokens(known: DataFrame | None, parsed: DataFrame, lookup: DataFrame) -> DataFrame:
+    """ANO-02 over deliveries: the rows that a delivery adds to the token dictionary ``known``.
+
+    A payee that has a token keeps it, whatever the delivery or the lookup says.  New ones are numbered in
+    order of first appearance after the last number of their entity type, so chronological deliveries give
+    the tokens of one load.
+    """
+    payees = payee_table(parsed)
+    if known is not None:
+        payees = payees.join(known.select("payee_key"), "payee_key", "left_anti")
+    order = [("first_date", True), ("first_no", True)]
+    numbered = row_number_by(typed_payees(payees, lookup), order, "__place", by=["entity_type"])
+    if known is None:
+        placed = numbered.withColumn("token_no", F.col("__place"))
+    else:
+        last = known.groupBy("entity_type").agg(F.max("token_no").alias("__last"))  # one row per entity type
+        placed = numbered.join(F.broadcast(last), "entity_type", "left").withColumn("token_no", F.coalesce("__last", F.lit(0)) + F.col("__place"))
+    return placed.select(
+        "payee_key", "category", "entity_type", "first_date", "first_no", "token_no",
+        F.format_string("%s_%03d", F.col("entity_type"), F.col("token_no")).alias("entity_id"),
+    )
+
+
+def grow_dictionary(path: str, parsed: DataFrame, lookup: DataFrame) -> DataFrame:
+    """Append a delivery's new payees to the token dictionary stored at ``path``; returns the dictionary.
+
+    The dictionary only grows, and a delivery that is replayed adds nothing.
+    """
+    spark = parsed.sparkSession
+    known = read_if_there(spark, path)
+    added = materialize(new_tokens(known, parsed, lookup), "new-tokens", uuid.uuid4().hex)
+    if known is None or not added.isEmpty():
+        added.write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
+def delivery_tokens(dictionary: DataFrame, parsed: DataFrame) -> DataFrame:
+    """The dictionary's entries of one delivery, with its number of rows per payee (for ``clean_transactions``)."""
+    return payee_table(parsed).select("payee_key", "n_rows").join(dictionary, "payee_key")
+
+
 def parsed_rows(processed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """The parse result per row: ids, amounts, the ``__p`` struct and ``payee_key``."""
     return parse_channels(processed).select(

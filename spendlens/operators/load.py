@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendlens.operators.ordered import attach_group_totals
+from spendlens.session import materialize_buckets
 
 # Target columns and types of the load table, in table order.
 LOAD_SCHEMA = [
@@ -163,7 +164,8 @@ def keep_first(incoming: DataFrame, seq_cols: list[str]) -> DataFrame:
 def insert_new(target: DataFrame | None, incoming: DataFrame, seq_cols: list[str]) -> DataFrame:
     """SNK-04: rows ``ON CONFLICT (txn_no) DO NOTHING`` would insert.
 
-    Keep-first within the batch, then a ``left_anti`` join against existing keys.
+    Keep-first within the batch, then a ``left_anti`` join against existing keys.  A target bucketed by
+    ``txn_no`` (``store_keyed``) is read as it lies: only the batch is shuffled, and into the same buckets.
     """
     batch = keep_first(incoming, seq_cols)
     if target is None:
@@ -171,6 +173,11 @@ def insert_new(target: DataFrame | None, incoming: DataFrame, seq_cols: list[str
     return batch.join(target.select("txn_no"), on="txn_no", how="left_anti")
 
 
+def store_keyed(df: DataFrame, name: str = "target") -> DataFrame:
+    """``df`` stored in buckets of ``txn_no``, as many as shuffles have partitions."""
+    return materialize_buckets(df, name, "txn_no", int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 class LoadError(ValueError):
     """A load that the table constraints refuse; nothing was written."""
 

@@ -165,6 +165,9 @@ O("par_10", query("SELECT payee_key, category, entity_type FROM tokens", "tokens
 O("ano_01", query("SELECT txn_no, payee_raw, CASE WHEN scrubbed = '' THEN 'UNKNOWN' ELSE scrubbed END AS payee_name FROM parsed2 "
                   "WHERE kind = 'UPI'", "parsed2"))
 O("ano_02", query("SELECT payee_key, entity_type, entity_id, first_date, first_no FROM tokens", "tokens"))
+O("ano_02_hashed", query("SELECT payee_key, entity_type, entity_type || '_' || substr(sha256('fixture|' || payee_key), 1, 32) AS entity_id, "
+                         "CAST(1 AS BIGINT) AS n_keys FROM tokens", "tokens"))
+O("ano_02_deliveries", ORACLE["ano_02"])
 O("ano_03", query("SELECT txn_no, description FROM clean", "clean"))
 O("ano_04", query("SELECT txn_no, txn_date, payment_mode, direction, category, entity_type, entity_id, description, "
                   "CAST(dr_amount AS DOUBLE) AS dr_amount, CAST(cr_amount AS DOUBLE) AS cr_amount FROM clean", "clean"))

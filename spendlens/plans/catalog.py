@@ -7,6 +7,7 @@ DuckDB oracle of the same key (``spendlens.oracle.keys``).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from typing import Any
 
@@ -304,6 +305,26 @@ def ano_02(spark, sf):
     return _t(spark, sf).tokens.select("payee_key", "entity_type", "entity_id", "first_date", "first_no")
 
 
+@key("ano_02_hashed")
+def ano_02_hashed(spark, sf):
+    """Order-free tokens, and how many payee keys share each (always one)."""
+    tokens = anonymize.hashed_tokens(_parsed(spark, sf), _t(spark, sf).lookup, "fixture")
+    shared = anonymize.shared_tokens(tokens).select("entity_id", "n_keys")
+    return tokens.join(shared, "entity_id", "left").select(
+        "payee_key", "entity_type", "entity_id", F.coalesce("n_keys", F.lit(1)).cast("long").alias("n_keys")
+    )
+
+
+@key("ano_02_deliveries")
+def ano_02_deliveries(spark, sf):
+    """The dictionary after two deliveries, the second one replayed: the tokens of one load."""
+    path = f"{table_path(spark, 'token-dictionary', sf)}-{uuid.uuid4().hex}"
+    early = F.year("txn_date") < 1998
+    for part in (early, ~early, ~early):
+        grown = anonymize.grow_dictionary(path, _parsed(spark, sf).where(part), _t(spark, sf).lookup)
+    return grown.select("payee_key", "entity_type", "entity_id", "first_date", "first_no")
+
+
 @key("ano_03")
 def ano_03(spark, sf):
     return _t(spark, sf).clean.select("txn_no", "description")
@@ -490,7 +511,7 @@ def snk_03(spark, sf):
 def snk_04(spark, sf):
     """Two deliveries of every transaction; the target holds a third of the keys already."""
     t = _tx(spark, sf)
-    target = t.filter(_order() % 3 == 0)
+    target = load.store_keyed(t.filter(_order() % 3 == 0).select("txn_no"))
     first = t.select("txn_no", "description", "dr_amount", F.lit(1).alias("delivery"))
     again = t.select("txn_no", F.lit("REDELIVERED").alias("description"), "dr_amount", F.lit(2).alias("delivery"))
     return reportable(load.insert_new(target, first.unionByName(again), ["delivery"]))

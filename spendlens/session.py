@@ -14,6 +14,7 @@ import os
 import uuid
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -132,6 +133,16 @@ def materialize(
     return spark.read.parquet(path)
 
 
+def read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
+    """The parquet table at ``path``, None if there is none yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise  # only a table that does not exist yet counts as none
+        return None
+
+
 def materialize_buckets(df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
     """Write ``df`` once as a table bucketed by ``column``; grouping by it reads the buckets without a shuffle.
 

@@ -12,49 +12,52 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from spendlens.operators.anonymize import grow_dictionary, parsed_rows
 from spendlens.operators.load import insert_new
-from spendlens.session import materialize
-from spendlens.sources import statement
+from spendlens.session import materialize, read_if_there
+from spendlens.sources import records, statement
 
 
-def _target(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise  # only a target that does not exist yet counts as none
-        return None
+def load_batch(batch: DataFrame, target_path: str, tokens_path: str | None = None, lookup: DataFrame | None = None) -> int:
+    """Parse one batch of statement lines and append the new transactions; returns rows added.
 
-
-def load_batch(batch: DataFrame, target_path: str) -> int:
-    """Parse one batch of statement lines and append the new transactions; returns rows added."""
+    Quoted cells may hold line breaks.  With ``tokens_path`` the new rows' payees join the token dictionary there
+    before the rows are appended: a batch that is replayed finds both as they were.
+    """
     spark = batch.sparkSession
-    # line positions are assigned on the static batch (whole files, in split order)
-    lines = batch.select(
-        F.col("file_path"), F.monotonically_increasing_id().alias("pos"), F.regexp_replace("value", "�", "").alias("value")
-    )
-    parsed = statement.parse_statement(lines).drop("file_path", "pos")
-    new = materialize(insert_new(_target(spark, target_path), parsed, ["seq"]), "stream-batch", uuid.uuid4().hex)
+    parsed = parse_batch(batch).drop("file_path", "pos")
+    new = materialize(insert_new(read_if_there(spark, target_path), parsed, ["seq"]), "stream-batch", uuid.uuid4().hex)
     n = new.count()
     if n:
+        if tokens_path:
+            grow_dictionary(tokens_path, parsed_rows(new), lookup)
         new.write.mode("append").parquet(target_path)
     return n
 
 
-def start(spark: SparkSession, source_dir: str, target_path: str, checkpoint_path: str, available_now: bool = True) -> StreamingQuery:
-    """Start the stream: ``source_dir`` (CSV statements) → keyed appends to ``target_path``."""
+def parse_batch(batch: DataFrame) -> DataFrame:
+    """ING-02…10 of whole files' lines (file_path, block, value)."""
+    lines = batch.select("file_path", "block", F.regexp_replace("value", "�", "").alias("value"))
+    states = materialize(records.block_states(records.block_summaries(lines)), "stream-blocks", uuid.uuid4().hex)
+    return statement.with_sequence(statement.typed_rows(statement.normalize_missing(statement.statement_rows(lines, states))))
+
+
+def start(
+    spark: SparkSession, source_dir: str, target_path: str, checkpoint_path: str, available_now: bool = True,
+    tokens_path: str | None = None, lookup: DataFrame | None = None,
+) -> StreamingQuery:
+    """Start the stream: ``source_dir`` (CSV statements) → keyed appends to ``target_path`` (and ``tokens_path``)."""
     lines = (
         spark.readStream.format("text")
         .option("pathGlobFilter", "*.csv")
         .load(source_dir)
-        .select(F.col("_metadata.file_path").alias("file_path"), "value")
+        .select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block"), "value")
     )
-    writer = lines.writeStream.foreachBatch(lambda df, _epoch: load_batch(df, target_path)).option(
+    writer = lines.writeStream.foreachBatch(lambda df, _epoch: load_batch(df, target_path, tokens_path, lookup)).option(
         "checkpointLocation", checkpoint_path
     )
     if available_now:

@@ -46,3 +46,23 @@ def test_a_models_predictions_replace_the_rule(spark):
     assert out.filter("predicted_leakage != potential_leakage or predicted_proba != 0.75").count() == 0
     assert out.filter("predicted_leakage is null").count() == scored.filter("substring(txn_no, 1, 1) = 'U'").count()
     assert load.conform(out).columns == load.LOAD_COLUMNS
+
+
+def test_bucketed_target_is_not_shuffled(spark):
+    """Only the batch moves; a delivery that is replayed inserts nothing."""
+    from pyspark.sql import functions as F
+
+    batch = spark.range(4000).select(F.concat(F.lit("T"), F.col("id") % 3000).alias("txn_no"), (F.col("id") * 2).alias("v"), F.col("id").alias("seq"))
+    target = load.store_keyed(batch.where("id % 3 = 0").select("txn_no").distinct())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        new = load.insert_new(target, batch, ["seq"])
+        plan = new._jdf.queryExecution().executedPlan().toString()
+        assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning(txn_no") == 1
+        held = {r.txn_no for r in target.collect()}
+        got = {r.txn_no: r.v for r in new.collect()}
+        assert len(held) + len(got) == 3000 and not held & set(got)
+        after = load.store_keyed(target.unionByName(new.select("txn_no")))
+        assert load.insert_new(after, batch, ["seq"]).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

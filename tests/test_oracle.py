@@ -51,7 +51,7 @@ def test_entry_runs(spark):
 
 
 def test_every_key_has_oracle_or_is_ml():
-    assert len(QUERIES) == 104 and set(QUERIES) <= set(E.queries())
+    assert len(QUERIES) == 106 and set(QUERIES) <= set(E.queries())
     assert set(QUERIES) - set(ORACLE) == ML_TRAINING and set(ORACLE) <= set(E.oracle_sql())
 
 
