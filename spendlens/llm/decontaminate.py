@@ -9,11 +9,16 @@ nothing is shuffled, and a segment is searched by whichever task reads it.
 A query is a window of ``WINDOW`` consecutive words of a test item (an item of fewer words is one
 window).  In a segment the windows that lack a term there end at once; for the others the terms
 are taken from the rarest up: the rarest list gives starts, each further list, shifted by the
-term's offset, is intersected with them.  ``slop = 0`` gives exact phrases; ``slop = s`` lets
-every term stand up to s places from its place in the phrase (proximity match).
+term's offset, is intersected with them.  ``slop = 0`` gives exact phrases; ``slop = s`` gives proximity
+matches: some start exists from which every term stands up to s places from its place in the phrase.
 
 The test set travels to all tasks, so its size is checked: a set beyond ``BLOCK_WORDS`` words is
-searched in several blocks, one pass over the data each, and the hits are merged per document.
+searched in several blocks, one pass over the data each.  A block is counted, built, sent, searched, its hits
+stored and then released before the next one, so the driver holds one block at a time (some 100 bytes a
+word); the hits are merged per document.
+
+Exact matches give the hits; a second search of the same lists with ``NEAR`` places of play lists the items that
+proximity finds as well.
 
 Cases: null or empty texts have no words and no hits; items without words have no window; an item
 with a null id marks words but is neither counted nor listed; rows that repeat a doc_id are
@@ -22,15 +27,12 @@ documents of their own; rows that repeat an item id are one item; empty tables g
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendlens.llm.common import ALNUM_WORDS, chunks, hash_words, on_workers, stage, utf8
+from spendlens.llm.common import ALNUM_WORDS, chunks, hash_words, on_workers, release, stage, utf8
 
 WINDOW = 10
 SEGMENT_BYTES = 4 << 20
@@ -70,15 +72,10 @@ def items_of(benchmark: DataFrame) -> DataFrame:
     return benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).distinct()
 
 
-def blocks_of(benchmark: DataFrame, words: int = BLOCK_WORDS) -> Iterator[list[tuple[object, bytes]]]:
-    """The test items in blocks of about ``words`` words, each small enough to travel to every task."""
-    items = items_of(benchmark).withColumn("n", F.length("text"))
-    total = items.agg(F.sum("n")).first()[0] or 0
-    n = max(1, -(-total // (words * 5)))
-    numbered = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
-    for k in range(n):
-        rows = numbered.where(F.col("block") == k).select("item_id", "text").collect()
-        yield [(r.item_id, r.text.encode()) for r in sorted(rows, key=lambda r: (str(r.item_id), r.text))]
+def block_of(items: DataFrame, n: int, k: int) -> list[tuple[object, bytes]]:
+    """Block ``k`` of ``n`` of the test items."""
+    rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
+    return [(r.item_id, r.text.encode()) for r in sorted(rows, key=lambda r: (str(r.item_id), r.text))]
 
 
 def index(docs: DataFrame, dictionary: np.ndarray, gap: int) -> DataFrame:
@@ -140,6 +137,9 @@ def search(test: TestSet, terms: np.ndarray, list_end: np.ndarray, places: np.nd
     window = np.repeat(np.arange(len(alive)), sizes)
     within = np.arange(len(window)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     start = places[np.repeat(begin[row], sizes) + within].astype(np.int64) - np.repeat(rarest, sizes)
+    if slop:  # the rarest term may be out of its place as well
+        window = np.repeat(window, 2 * slop + 1)
+        start = np.repeat(start, 2 * slop + 1) + np.tile(np.arange(-slop, slop + 1), len(start))
     for step in range(1, test.windows.shape[1]):
         if len(window) == 0:
             break
@@ -154,92 +154,88 @@ def search(test: TestSet, terms: np.ndarray, list_end: np.ndarray, places: np.nd
     return alive[window], start
 
 
-def marks(segments: DataFrame, test: TestSet, slop: int = 0) -> DataFrame:
-    """Per document: n_words, the hit words as (start, end) runs, the hit items' numbers in ``test``."""
-    sent = segments.sparkSession.sparkContext.broadcast(test)
+def _lists(segment: pa.RecordBatch, row: int, test: TestSet, slop: int) -> tuple[list[list], list[set]]:
+    """Per document of a segment the (start, end) runs of its hit words and the hit items' names."""
+    one = lambda c: segment.column(c)[row].values.to_numpy(zero_copy_only=False)
+    first = one("first").astype(np.int64)
+    window, start = search(test, one("terms"), one("list_end").astype(np.int64), one("places"), slop)
+    end = start + test.length[window]
+    # a near match may begin before its document or end after it; its words lie inside, and gaps are wider than its play
+    doc = np.maximum(np.searchsorted(first, start + slop, side="right") - 1, 0)
+    order = np.lexsort((start, doc))
+    doc, start, end, item = doc[order], start[order], end[order], test.owner[window[order]]
+    runs: list[list] = [[] for _ in first]
+    names: list[set] = [set() for _ in first]
+    for d, s, e, i in zip(doc.tolist(), start.tolist(), end.tolist(), item.tolist(), strict=True):
+        base = int(first[d])
+        if runs[d] and s - base <= runs[d][-1][1]:
+            runs[d][-1][1] = max(runs[d][-1][1], e - base)
+        else:
+            runs[d].append([s - base, e - base])
+        if test.ids[i] is not None:
+            names[d].add(str(test.ids[i]))
+    return runs, names
+
+
+MARKS = "doc_id long, n_words long, runs array<array<int>>, items array<string>, near array<string>"
+
+
+def marks(segments: DataFrame, sent, slop: int = 0, near: int = NEAR) -> DataFrame:
+    """Per document: n_words, the hit words as (start, end) runs, the hit items, and those that proximity finds.
+
+    ``sent``: the broadcast ``TestSet``.
+    """
 
     def run(batches):
         for batch in batches:
             for row in range(batch.num_rows):
-                one = lambda c: batch.column(c)[row].values.to_numpy(zero_copy_only=False)  # noqa: E731, B023
-                first, n_words = one("first").astype(np.int64), one("n_words").astype(np.int64)
-                window, start = search(sent.value, one("terms"), one("list_end").astype(np.int64), one("places"), slop)
-                end = start + sent.value.length[window]
-                doc = np.searchsorted(first, start, side="right") - 1
-                if slop:  # a near match may begin before its document; its own words lie inside
-                    doc = np.searchsorted(first, start + slop, side="right") - 1
-                order = np.lexsort((start, doc))
-                doc, start, end, item = doc[order], start[order], end[order], sent.value.owner[window[order]]
-                runs: list[list] = [[] for _ in first]
-                items: list[set] = [set() for _ in first]
-                for d, s, e, i in zip(doc.tolist(), start.tolist(), end.tolist(), item.tolist(), strict=True):
-                    base = int(first[d])
-                    if runs[d] and s - base <= runs[d][-1][1]:
-                        runs[d][-1][1] = max(runs[d][-1][1], e - base)
-                    else:
-                        runs[d].append([s - base, e - base])
-                    items[d].add(i)
+                runs, names = _lists(batch, row, sent.value, slop)
+                _, close = _lists(batch, row, sent.value, near)
+                texts = pa.list_(pa.string())
                 yield pa.record_batch(
                     [
-                        pa.ListArray.from_arrays([0, len(first)], batch.column("doc_id")[row].values).flatten(),
-                        pa.array(n_words), pa.array(runs, pa.list_(pa.list_(pa.int32()))),
-                        pa.array([sorted(x) for x in items], pa.list_(pa.int32())),
+                        batch.column("doc_id")[row].values, batch.column("n_words")[row].values.cast(pa.int64()),
+                        pa.array(runs, pa.list_(pa.list_(pa.int32()))), pa.array([sorted(x) for x in names], texts),
+                        pa.array([sorted(x) for x in close], texts),
                     ],
-                    names=["doc_id", "n_words", "runs", "items"],
+                    names=["doc_id", "n_words", "runs", "items", "near"],
                 )
 
-    return on_workers(segments).mapInArrow(run, "doc_id long, n_words long, runs array<array<int>>, items array<int>")
+    return on_workers(segments).mapInArrow(run, MARKS)
 
 
-def digest(marked: DataFrame, test: TestSet) -> DataFrame:
-    """n_hit, n_items and the items' digest from ``marks``."""
-    names = [None if i is None else str(i) for i in test.ids]
+def find_passages(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 0, block_words: int = BLOCK_WORDS, near: int = NEAR
+) -> DataFrame:
+    """Marks (``MARKS``) of every row of ``docs`` (doc_id, text) against every item of ``benchmark``.
 
-    def run(batches):
-        for batch in batches:
-            rows = batch.select(["runs", "items"]).to_pydict()
-            hit = [sum(e - s for s, e in r) for r in rows["runs"]]
-            listed = [sorted({names[i] for i in x} - {None}) for x in rows["items"]]
-            sums = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in listed]
-            yield pa.record_batch(
-                [
-                    batch.column("doc_id"), batch.column("n_words"), pa.array(hit, pa.int64()),
-                    pa.array([len(x) for x in listed], pa.int64()), pa.array(sums), pa.array([h > 0 for h in hit]),
-                ],
-                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-            )
-
-    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-    return on_workers(marked).mapInArrow(run, schema)
-
-
-def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 0, block_words: int = BLOCK_WORDS):
-    """(marks per document, test set) of ``docs`` (doc_id, text) against every item of ``benchmark``.
-
-    One block of test items is the rule.  With more, each block's marks are kept in a table and
-    merged by row: documents are numbered once, so equal doc_ids stay apart.
+    One block of test items is the rule.  With more, documents are numbered once, so equal doc_ids stay apart.
     """
-    blocks = [TestSet(b, window) for b in blocks_of(benchmark, block_words)]
-    if len(blocks) == 1:
-        return marks(stage(index(docs, blocks[0].dictionary, window + slop), "postings"), blocks[0], slop), blocks[0]
+    spark, items = docs.sparkSession, items_of(benchmark)
+    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, -(-total // (block_words * 5)))
+    gap = window + 2 * max(slop, near) + 1
+
+    def searched(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+        test = TestSet(block_of(items, blocks, k), window)
+        segments = stage(index(rows, test.dictionary, gap), "postings")
+        return marks(segments, spark.sparkContext.broadcast(test), slop, near), segments
+
+    if blocks == 1:
+        return searched(docs, 0)[0]
     numbered = stage(docs.select(F.monotonically_increasing_id().alias("__row"), "doc_id", "text"), "numbered")
     rows = numbered.select(F.col("__row").alias("doc_id"), "text")
-    found, ids, merged = [], [], None
-    for test in blocks:
-        one = marks(stage(index(rows, test.dictionary, window + slop), "postings"), test, slop)
-        before = F.lit(len(ids))
-        one = one.withColumn("items", F.transform("items", lambda i: i + before))  # noqa: B023
-        found.append(one)
-        ids += test.ids
-    for one in found:
-        merged = one if merged is None else merged.unionAll(one)
-    merged = merged.groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"), F.flatten(F.collect_list("runs")).alias("runs"), F.flatten(F.collect_list("items")).alias("items")
-    )
+    merged = None
+    for k in range(blocks):
+        found, segments = searched(rows, k)
+        # the first block's marks hold every document
+        found = stage(found if k == 0 else found.where(F.size("runs") + F.size("near") > 0), "marks")
+        release(segments)
+        merged = found if merged is None else merged.unionAll(found)
+    together = lambda c: F.flatten(F.collect_list(c)).alias(c)
+    merged = merged.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), together("runs"), together("items"), together("near"))
     whole = merged.withColumnRenamed("doc_id", "__row").join(numbered.select("__row", "doc_id"), "__row")
-    union = TestSet([], window)
-    union.ids = ids
-    return whole.select("doc_id", "n_words", join_runs("runs").alias("runs"), "items"), union
+    return whole.select("doc_id", "n_words", join_runs("runs").alias("runs"), "items", "near")
 
 
 def join_runs(runs: str):
@@ -255,6 +251,12 @@ def join_runs(runs: str):
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The report of operator 4: one row per row of ``docs``."""
-    marked, test = find_passages(docs, benchmark, window, 0, block_words)
-    return digest(marked, test)
+    """The report of operator 4: one row per row of ``docs``; ``n_near`` counts the items that proximity finds."""
+    marked = find_passages(docs, benchmark, window, 0, block_words)
+    names = F.array_sort(F.array_distinct("items"))
+    hit = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + F.get(r, F.lit(1)) - F.get(r, F.lit(0)))
+    return marked.select(
+        "doc_id", "n_words", hit.alias("n_hit"), F.size(names).cast("long").alias("n_items"),
+        F.sha2(F.array_join(names, ",").cast("binary"), 256).alias("items_sha256"), (F.size("runs") > 0).alias("contaminated"),
+        F.size(F.array_distinct("near")).cast("long").alias("n_near"),
+    )

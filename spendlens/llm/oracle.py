@@ -52,10 +52,27 @@ places as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest
 items as (
     select doc_id, count(*) as n_items, string_agg(name, ',' order by name) as names
     from (select distinct doc_id, item_id::varchar as name from hits) group by doc_id
-)
+), doc_words as (select doc_id, unnest(w) as word, unnest(range(len(w))) as p from doc),
+windows as (select item_id, w, k, least(10, len(w)) as span
+            from (select item_id, w, unnest(range(len(w) - least(10, len(w)) + 1)) as k from (select distinct item_id, w from item where len(w) > 0 and item_id is not null))),
+window_words as (select item_id, w, k, span, unnest(range(span)) as j, unnest(list_slice(w, k + 1, k + span)) as word from windows),
+often as (select word, count(*) as n from doc_words group by word),
+anchors as (  -- starts that put the window's rarest word within two places of its place
+    select distinct doc_id, item_id, x.w, k, span, p - j + unnest([-2, -1, 0, 1, 2]) as s
+    from (select item_id, w, k, span, arg_min(j, n) as j, arg_min(word, n) as word
+          from (select v.*, coalesce(n, 0) as n from window_words v left join often using (word)) group by all) x
+    join doc_words using (word)
+), stood as (
+    select a.doc_id, a.item_id, a.w, a.k, a.s, a.span, count(distinct v.j) as n
+    from (select *, unnest([-2, -1, 0, 1, 2]) as e from anchors) a
+    join window_words v on v.item_id = a.item_id and v.w = a.w and v.k = a.k
+    join doc_words d on d.doc_id = a.doc_id and d.word = v.word and d.p = a.s + v.j + a.e
+    group by all
+), near as (select doc_id, count(distinct item_id) as n_near from stood where n = span group by doc_id)
 select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
-       sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
-from doc left join places using (doc_id) left join items using (doc_id)
+       sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated,
+       coalesce(n_near, 0) as n_near
+from doc left join places using (doc_id) left join items using (doc_id) left join near using (doc_id)
 """
 
 # all quotients of all seats, best first

@@ -54,10 +54,41 @@ def test_near_matches_allow_moved_words(spark):
     docs = spark.createDataFrame([(1, exact), (2, moved), (3, far)], "doc_id long, text string")
     bench = spark.createDataFrame([(9, exact)], "item_id long, text string")
     for slop, found in ((0, {1}), (2, {1, 2}), (5, {1, 2, 3})):
-        marked, _ = D.find_passages(docs, bench, slop=slop)
+        marked = D.find_passages(docs, bench, slop=slop)
         assert {r.doc_id for r in marked.collect() if r["items"]} == found
 
 
+def near_items(text, rows, play=2):
+    """Items with a window whose every word stands within ``play`` places of its place from some start."""
+    w = ALNUM_WORD.findall(lower(text or ""))
+    found = set()
+    for i, t in rows:
+        own = ALNUM_WORD.findall(lower(t or ""))
+        span = min(10, len(own))
+        for k in range(len(own) - span + 1 if own else 0):
+            window = own[k : k + span]
+            for start in range(-2 * play, len(w) + play):
+                near = [any(0 <= p < len(w) and w[p] == x for p in range(start + j - play, start + j + play + 1)) for j, x in enumerate(window)]
+                if all(near) and i is not None:
+                    found.add(i)
+    return found
+
+
+@pytest.mark.parametrize("block_words", [D.BLOCK_WORDS, 25])
+def test_report_counts_near_items(spark, block_words):
+    words = [f"w{i}" for i in range(12)]
+    texts = [" ".join(words), " ".join(words[:5] + ["x"] + words[5:]), " ".join(words[:5] + ["x"] * 4 + words[5:]), "w1 w0 w3 w2 w5 w4 w7 w6 w9 w8", "", None, "q r"]
+    bench = [(1, " ".join(words[:10])), (2, " ".join(words[2:])), (3, "q r"), (None, "w1 w2")] + [(10 + k, f"u{k} v{k} " * 20) for k in range(8)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = D.decontaminate(docs, spark.createDataFrame(bench, "item_id long, text string"), block_words=block_words).collect()
+    want = brute(texts, bench)
+    for r in rows:
+        assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == want[r.doc_id]
+        assert r.n_near == len(near_items(texts[r.doc_id], bench)) >= r.n_items
+    assert {r.doc_id: (r.n_items, r.n_near) for r in rows}[1] == (0, 2)
+    assert {r.doc_id: r.n_near for r in rows}[2] == 2  # either side of four words more is two places off a common start
+
+
 def test_empty_tables(spark):
     docs, bench = documents(spark), items(spark)
     assert D.decontaminate(empty(docs), bench).collect() == []
