@@ -46,8 +46,8 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
     keyed = docs.select(_key().alias("doc_id"), "text")
-    marked, _ = decontaminate.find_passages(keyed, table(spark, sf_dir, "benchmark"))
-    hit = stage(marked.where(F.size("items") > 0).select(F.col("doc_id").alias("__key")).distinct(), "contaminated")
+    marked = decontaminate.find_passages(keyed, table(spark, sf_dir, "benchmark"))
+    hit = stage(marked.where(F.size("runs") > 0).select(F.col("doc_id").alias("__key")).distinct(), "contaminated")
     return docs.withColumn("__key", _key()).join(hit, "__key", "left_anti").select(docs.columns)
 
 
