@@ -122,7 +122,14 @@ def customer_lookup_raw(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def customer_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    return normalize_lookup(customer_lookup_raw(spark, sf))
+    """The lookup as read from its written CSV file, normalised: a stage table."""
+
+    def read() -> DataFrame:
+        path = table_path(spark, "lookup-csv", sf)
+        write_lookup_csv(customer_lookup_raw(spark, sf), path)
+        return materialize(normalize_lookup(read_lookup_records(spark, path)), "customer-lookup", sf)
+
+    return _once(spark, sf, "lookup", read)
 
 
 def payee_keys(spark: SparkSession, sf: str) -> DataFrame:
@@ -199,14 +206,8 @@ def ing_10(spark, sf):
 
 @key("ing_11")
 def ing_11(spark, sf):
-    """The lookup from a written CSV file, in file order."""
-
-    def write() -> str:
-        path = table_path(spark, "lookup-csv", sf)
-        write_lookup_csv(customer_lookup_raw(spark, sf), path)
-        return path
-
-    return normalize_lookup(read_lookup_records(spark, _once(spark, sf, "lookup", write)))
+    """The lookup from a written CSV file; ``pos`` is the record's number in it."""
+    return customer_lookup(spark, sf)
 
 
 @key("ing_12")
