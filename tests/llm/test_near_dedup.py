@@ -91,10 +91,21 @@ def test_components_of_a_long_path(spark):
     assert got == {i: 0 for i in range(301)} | {1000: 1000, 1001: 1000}
 
 
-def test_pairs_stay_in_proportion_to_a_group_of_near_copies(spark, monkeypatch):
-    """Copies with edits of their own, just below and above the threshold: twice the copies, about twice the pairs."""
-    made = []
-    plain = near_dedup.cross_pairs
+def edited_copies(n, edits):
+    """Copies of one text, each with edits of its own."""
+    base, r = prose(5, 150).split(" "), random.Random(8)
+    texts = []
+    for i in range(n):
+        words = list(base)
+        for k in r.sample(range(150), r.choice(edits)):
+            words[k] = f"edit{i}x{k}"
+        texts.append(" ".join(words))
+    return texts
+
+
+@pytest.fixture
+def cross_pairs_made(monkeypatch):
+    made, plain = [], near_dedup.cross_pairs
 
     def counted(*args):
         pairs = plain(*args)
@@ -102,31 +113,20 @@ def test_pairs_stay_in_proportion_to_a_group_of_near_copies(spark, monkeypatch):
         return pairs
 
     monkeypatch.setattr(near_dedup, "cross_pairs", counted)
-    base, r = prose(5, 150).split(" "), random.Random(8)
-    texts = []
-    for i in range(1600):
-        words = list(base)
-        for k in r.sample(range(150), r.choice([3, 4, 5, 6])):
-            words[k] = f"edit{i}x{k}"
-        texts.append(" ".join(words))
-    for n in (800, 1600):
-        docs = spark.createDataFrame(list(enumerate(texts[:n])), "doc_id long, text string")
-        got = {x.doc_id: x.component_id for x in near_dedup.near_duplicates(docs, 3, 85).collect()}
-        assert len(got) == n
-    assert made[1] < 5 * max(made[0], 200) and made[1] < 1600 * 10, made
-    # the whole of the larger group against brute force
-    sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in (t.split(" ") for t in texts)]
-    parent = list(range(1600))
-
-    def top(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
+    return made
+
+
+def test_copies_with_many_edits_of_their_own_make_few_pairs(spark, cross_pairs_made):
+    """1,200 copies below the threshold: what they have left from a list's value on tells them apart."""
+    docs = spark.createDataFrame(list(enumerate(edited_copies(1200, [5, 6, 7, 8]))), "doc_id long, text string")
+    assert near_dedup.near_duplicates(docs, 3, 85).where("not kept").count() == 0
+    assert cross_pairs_made[0] < 10 * 1200, cross_pairs_made
+
 
-    for i in range(1600):
-        for j in range(i):
-            shared = len(sets[i] & sets[j])
-            if 100 * shared >= 85 * (len(sets[i]) + len(sets[j]) - shared):
-                a, b = sorted((top(i), top(j)))
-                parent[b] = a
-    assert got == {i: top(i) for i in range(1600)}
+def test_copies_about_the_threshold_equal_brute_force(spark, cross_pairs_made):
+    """Here lone values do not decide: the pairs are whole, and grow with the square of the group (README)."""
+    texts = edited_copies(400, [3, 4, 5])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in near_dedup.near_duplicates(docs, 3, 85).collect()}
+    assert got == {i: c for i, (_, c) in brute(texts, 3, 85).items()}
+    assert cross_pairs_made[0] < 400 * 399 / 2
