@@ -38,10 +38,6 @@ def feature_matrix(scored: DataFrame, features: list[str] | None = None) -> Data
     return scored.select("txn_no", *cols, F.col(TARGET_COL).cast("int").alias("label"))
 
 
-def missing_features(scored: DataFrame) -> list[str]:
-    return [c for c in FEATURE_COLS if c not in scored.columns]
-
-
 def class_stats(matrix: DataFrame) -> DataFrame:
     """ML-02: positives, negatives, positive rate, and ``round(neg/pos, 2)`` (pos weight)."""
     agg = matrix.agg(
