@@ -1,44 +1,52 @@
 """Main text of web pages by template deduction over same-host pages (operator 8).
 
-Pass 1 turns each page into tokens (every element as its path of tags and classes, every text node as
-path and text) and counts, per host and token, on how many pages it occurs, how often, and a fingerprint
-of its occurrence vector (an exclusive-or over pages of a hash of page and count).  Tokens of one
-host with equal fingerprints, pages and counts share an occurrence vector: they form an
-equivalence class (``classes``; they do not decide the result).  This is one grouped aggregation; no host's pages ever meet in a task, so a
-host with a third of all pages is as cheap as any.
-
-Tokens found on most pages of a host are its template.  An element token is nested validly if its
-parent is in the template too.  The slots are the template's elements; what fills a slot is the
-text below it, repeated text included.  The slot that holds the articles is the deepest element
-that keeps ``CORE`` of the host's free text outside page furniture, and occurs at most once a page;
-if that lies inside an article (or else main) that occurs so too, the whole of this one, so that a
-headline or lead beside the body stays.
-
-Pass 2 extracts that slot's text from each page, without furniture inside it.  Hosts with fewer than
+Pass 1 turns each page into tokens (every element as its path of tags and classes, every line of text
+outside furniture as its path and text) and counts, per host and token, on how many pages it occurs, how
+often, and a fingerprint of its occurrence vector (an exclusive-or over pages of a hash of page and
+count).  This is one grouped aggregation, written once; no host's pages ever meet in a task, so a host
+with a third of all pages is as cheap as any.
+
+Tokens of one host with equal pages, counts and fingerprints share an occurrence vector: they form an
+equivalence class.  Classes on most pages of a host are its template (``classes``).  An element is nested
+validly if all elements around it are in the template too.  A line of text is template text if it shares
+its vector with such an element: it comes with the frame, not with an article.  The template's elements
+are the slots; what fills a slot is the text below it that is no template text (``template_of``).
+
+The slot that holds the articles is the deepest element that occurs at most once a page and keeps
+``CORE`` of the host's filling; if it lies inside an article (or else main) that occurs so too, the whole
+of this one.  Blocks with the headline beside it, and headings and prose right beside a slot that is no
+article, belong to it.  If more than half of the slot, or of the article element that would be the slot
+with template text counted as filling, is template text, whole articles repeat and all of it stays.
+
+Pass 2 extracts those slots from each page, without template text and furniture.  Inside an article or
+main, class names mark furniture only if they consist of such words.  Hosts with fewer than
 ``MIN_PAGES`` pages, and pages that lack their host's slot, use the article, main or body element.
 
 Cases: null html is empty, empty html gives an empty text; a null url is a host of its own; cut-off
-markup at the end is dropped; rows that repeat a page_id are extracted one by one; the templates
-(one short row per host) are broadcast if they are within ``BROADCAST_BYTES``, else joined.
+markup at the end is dropped; rows that repeat a page_id are extracted one by one; a page whose slot
+holds template text only keeps it; the templates (one short row per host) are broadcast if they are
+within ``BROADCAST_BYTES``, else joined.
 """
 
 from __future__ import annotations
 
 import html as references
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendlens.llm.common import mix64, on_workers, stage
 from spendlens.llm.urls import host_and_path
 
 MIN_PAGES = 3
+MIN_TEXT_PAGES = 5  # a line on fewer pages is never template text
 SUPPORT = 0.6
 CORE = 0.8
+WHOLE = 0.5
 BROADCAST_BYTES = 32 << 20
 
 _TOKEN = re.compile(
@@ -60,6 +68,7 @@ FURNITURE = frozenset(
     "head nav aside footer form script style noscript template iframe object canvas svg button select textarea input dialog menu title audio video map".split()
 )
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+PROSE = HEADINGS | frozenset("p blockquote pre ul ol dl table figure".split())
 CLOSES_P = frozenset(
     "address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
@@ -71,6 +80,11 @@ MARKED = frozenset(
     "related recommended recommendations comment comments reply replies discussion disqus breadcrumb breadcrumbs pagination pager widget "
     "toolbar search complementary contentinfo hidden skip".split()
 )
+# Words that beside a marked word still name furniture.
+GENERIC = frozenset(
+    "area bar block body bottom box button buttons container count fixed global form group inner inline item items left link links list "
+    "outer panel post posts article articles story stories reader readers right section site slot sticky text title top unit user users wrap wrapper zone".split()
+)
 UNMARKED = frozenset(("has", "no", "with", "without", "entry", "post", "article", "content"))
 _PARTS = re.compile(r"[a-z]+")
 KEPT_WHOLE = frozenset(("html", "body", "article", "main"))
@@ -87,7 +101,8 @@ def tags_of(path: str) -> list[str]:
     return [step.partition(".")[0] for step in path.split("/")]
 
 
-def is_furniture(tag: str, attrs: str) -> bool:
+def is_furniture(tag: str, attrs: str, strict: bool = False) -> bool:
+    """Whether tag, class, id or role say so; ``strict``: a name counts only if all its words do."""
     if tag in FURNITURE or tag == "header":
         return True
     if not attrs or tag in KEPT_WHOLE:
@@ -100,7 +115,8 @@ def is_furniture(tag: str, attrs: str) -> bool:
             for word in value.split():
                 parts = _PARTS.findall(word)
                 if parts and parts[0] not in UNMARKED and MARKED.intersection(parts):
-                    return True
+                    if not strict or all(x in MARKED or x in GENERIC for x in parts):
+                        return True
     return False
 
 
@@ -161,7 +177,7 @@ class Page:
         if tag in ("article", "main"):
             # an unclosed element before it does not take the article with it
             inside = any(f and t in ("template", "noscript", "dialog") for t, _, f in stack)
-        own = is_furniture(tag, attrs)
+        own = is_furniture(tag, attrs, strict=any(t in ("article", "main") for t, _, _ in stack))
         if tag == "header" and any(t == "article" for t, _, _ in stack):
             own = False  # an article's own header holds its headings
         if tag in INLINE:
@@ -188,16 +204,19 @@ class Page:
                 del stack[k:]
                 return
 
+    def lines(self) -> list[tuple[str, str]]:
+        """(path, text) of every line outside furniture; the path is that of its first text node."""
+        found: dict[int, list[str]] = {}
+        for path, furniture, block, text in self.nodes:
+            if furniture or ("/header" in path and not HEADINGS.intersection(tags_of(path))):
+                continue
+            found.setdefault(block, [path]).append(text)
+        joined = ((x[0], _SPACE.sub(" ", "".join(x[1:])).strip()) for x in found.values())
+        return [(path, text) for path, text in joined if text]
+
     def blocks(self, path: str | None = None) -> list[str]:
-        """Lines of text outside furniture, below ``path`` (None: the whole page)."""
-        lines: dict[int, list[str]] = defaultdict(list)
-        for p, furniture, block, text in self.nodes:
-            if not furniture and (path is None or p == path or p.startswith(path + "/")):
-                if "/header" in p and not HEADINGS.intersection(tags_of(p)):
-                    continue
-                lines[block].append(text)
-        joined = (_SPACE.sub(" ", "".join(x)).strip() for x in lines.values())
-        return [x for x in joined if x]
+        """Lines outside furniture below ``path`` (None: the whole page)."""
+        return [text for p, text in self.lines() if path is None or below(p, path)]
 
     def usual(self) -> str | None:
         """The path of the page's article, main or body element, the first of these that has text."""
@@ -207,9 +226,15 @@ class Page:
                 return min(found, key=len)
         return None
 
-    def main_text(self, slot: str | None) -> str:
-        lines = self.blocks(slot) if slot else []
-        return "\n".join(lines or self.blocks(self.usual()))
+    def main_text(self, slots: list[str] | None, fixed: frozenset[int] | set[int] = frozenset()) -> str:
+        """The text below ``slots`` but for the template text ``fixed`` (line tokens)."""
+        inside = [(p, text) for p, text in self.lines() if any(below(p, s) for s in slots or ())]
+        left = [text for p, text in inside if not fixed or line_token(p, text) not in fixed]
+        return "\n".join(left or [text for _, text in inside] or self.blocks(self.usual()))
+
+
+def below(path: str, slot: str) -> bool:
+    return path == slot or path.startswith(slot + "/")
 
 
 def _hash(text: str) -> int:
@@ -218,14 +243,19 @@ def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text)
 
 
-TOKENS = "host string, token long, path string, pages long, occurrences long, vector long, chars long"
+def line_token(path: str, text: str) -> int:
+    """The token of a line of text, as a signed 64-bit number."""
+    return int(np.uint64(_hash(f"{path}\t{text}")).view(np.int64))
+
+
+TOKENS = "host string, token long, path string, place string, pages long, occurrences long, vector long, chars long"
 
 
 def tokens(pages: DataFrame) -> DataFrame:
     """Occurrence statistics per host and token; batches add up before the shuffle.
 
-    ``path`` is null for text nodes; ``chars`` is an element's free text, itself and all below it.
-    The token ``""`` stands for the page.
+    ``path``: an element's path; ``place``: the path a line of text stands at; ``chars``: free text,
+    an element's own and all below it, or the line's.  The token 0 stands for the page.
     """
 
     def run(batches):
@@ -235,37 +265,32 @@ def tokens(pages: DataFrame) -> DataFrame:
                 html = html or ""
                 page, page_hash = Page(html), _hash(f"{host}\n{html}")
                 chars: Counter = Counter()
-                texts: Counter = Counter()
-                for path, furniture, _, text in page.nodes:
-                    text = text.strip()
-                    if not text:
-                        continue
-                    texts[f"{path}\t{text}"] += 1
-                    if not furniture:
-                        while path:
-                            chars[path] += len(text)
-                            path = path.rpartition("/")[0]
-                found = [("", "", 1, 0)] + [(p, p, n, chars[p]) for p, n in page.paths.items()] + [(t, None, n, 0) for t, n in texts.items()]
-                seeds = mix64(np.array([page_hash], np.uint64) + np.array([n for *_, n, _ in found], np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                for (name, path, n, free), vector in zip(found, seeds.view(np.int64).tolist(), strict=True):
-                    key = (host, _hash(name) if name else 0, path)
-                    h = held.setdefault(key, [0, 0, 0, 0])
+                texts: Counter = Counter(page.lines())
+                for (path, text), n in texts.items():
+                    while path:
+                        chars[path] += len(text) * n
+                        path = path.rpartition("/")[0]
+                found = [(0, None, None, 1, 0)]
+                found += [(int(np.uint64(_hash(p)).view(np.int64)), p, None, n, chars[p]) for p, n in page.paths.items()]
+                found += [(line_token(p, t), None, p, n, len(t) * n) for (p, t), n in texts.items()]
+                seeds = mix64(np.array([page_hash], np.uint64) + np.array([f[3] for f in found], np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                for (token, path, place, n, free), vector in zip(found, seeds.view(np.int64).tolist(), strict=True):
+                    h = held.setdefault((host, token, path, place), [0, 0, 0, 0])
                     h[0] += 1
                     h[1] += n
                     h[2] ^= vector
                     h[3] += free
             keys, stats = list(held), list(held.values())
-            token = np.array([k[1] for k in keys], np.uint64).view(np.int64)
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.string())
             yield pa.record_batch(
-                [pa.array([k[0] for k in keys], pa.string()), pa.array(token), pa.array([k[2] for k in keys], pa.string())]
-                + [pa.array([s[c] for s in stats], pa.int64()) for c in range(4)],
-                names=["host", "token", "path", "pages", "occurrences", "vector", "chars"],
+                [pa.array([k[c] for k in keys], kind) for c, kind in enumerate(kinds)] + [pa.array([s[c] for s in stats], pa.int64()) for c in range(4)],
+                names=["host", "token", "path", "place", "pages", "occurrences", "vector", "chars"],
             )
 
     partial = on_workers(pages).select("host", "html").mapInArrow(run, TOKENS)
     return partial.groupBy("host", "token").agg(
-        F.first("path").alias("path"), F.sum("pages").alias("pages"), F.sum("occurrences").alias("occurrences"),
-        F.bit_xor("vector").alias("vector"), F.sum("chars").alias("chars"),
+        F.first("path").alias("path"), F.first("place").alias("place"), F.sum("pages").alias("pages"),
+        F.sum("occurrences").alias("occurrences"), F.bit_xor("vector").alias("vector"), F.sum("chars").alias("chars"),
     )
 
 
@@ -277,40 +302,101 @@ def classes(counted: DataFrame) -> DataFrame:
     return often.withColumn("class", F.xxhash64("pages", "occurrences", "vector"))
 
 
+def template_of(found: list[dict]) -> tuple[list[str], list[int]]:
+    """(slots that hold the articles, template text within them) of one host's classed tokens."""
+    elements = {t["path"]: t for t in found if t["path"] is not None}
+    nested: dict[str, dict] = {}
+    for path in sorted(elements):
+        parent = path.rpartition("/")[0]
+        if not parent or parent in nested:
+            nested[path] = elements[path]
+    frame = {t["class"] for t in nested.values()}
+    fixed = [t for t in found if t["path"] is None and t["pages"] >= MIN_TEXT_PAGES and t["class"] in frame and t["place"] in nested]
+    whole, _ = _slots(nested, [])
+    slots, free = _slots(nested, fixed)
+
+    def repeats(path: str) -> bool:
+        return free[path] < WHOLE * nested[path]["chars"]
+
+    if not slots or repeats(slots[0]) or (tags_of(whole[0])[-1] in ("article", "main") and repeats(whole[0])):
+        slots, fixed = whole, []
+    return slots, [t["token"] for t in fixed if any(below(t["place"], s) for s in slots)]
+
+
+def _slots(nested: dict[str, dict], fixed: list[dict]) -> tuple[list[str], dict[str, int]]:
+    """The article slot, then the blocks beside it; and each element's filling in characters."""
+    free = {path: t["chars"] for path, t in nested.items()}
+    for t in fixed:
+        path = t["place"]
+        while path:
+            free[path] -= t["chars"]
+            path = path.rpartition("/")[0]
+    once = {path for path, t in nested.items() if t["occurrences"] == t["pages"] and free[path] > 0}
+    most = max(free.values(), default=0)
+    core = {path for path in once if free[path] >= CORE * most}
+    if not core:
+        return [], free
+    slot = max(core, key=lambda path: (path.count("/"), path))
+    around = [path for path in core if below(slot, path)]
+    for tag in ("article", "main"):
+        named = [path for path in around if tags_of(path)[-1] == tag]
+        if named:
+            slot = min(named, key=len)
+            break
+    home, whole = slot.rpartition("/")[0], tags_of(slot)[-1] in ("article", "main")
+    headlines = [path for path in nested if tags_of(path)[-1] == "h1" and free[path] > 0]
+    beside = []
+    for path in sorted(once):
+        parent = path.rpartition("/")[0]
+        if below(path, slot) or not parent or below(slot, path) or not below(slot, parent):
+            continue
+        if any(below(h, path) for h in headlines) or (parent == home and not whole and tags_of(path)[-1] in PROSE):
+            beside.append(path)
+    return [slot, *beside], free
+
+
+TEMPLATES = "host string, slots array<string>, fixed array<long>"
+
+
 def templates(counted: DataFrame) -> DataFrame:
-    """(host, slot): the path of the element that holds each host's articles."""
-    own = classes(counted).where("path is not null")
-    parents = own.select(F.col("host").alias("__host"), F.col("path").alias("__path"))
-    parent = F.regexp_replace("path", r"/[^/]*$", "")
-    nested = own.withColumn("parent", parent).join(
-        parents, F.col("host").eqNullSafe(F.col("__host")) & (F.col("parent") == F.col("__path")), "left"
-    ).where("__path is not null or parent = ''")
-    # slots that occur once a page and keep most of the host's free text; the deepest of them
-    whole = Window.partitionBy("host")
-    core = nested.withColumn("most", F.max("chars").over(whole)).where(
-        (F.col("chars") >= CORE * F.col("most")) & (F.col("occurrences") == F.col("pages")) & (F.col("chars") > 0)
-    )
-    depth = F.length(F.regexp_replace("path", "[^/]", ""))
-    # two slots of equal depth that both keep the core cannot be: one would hold the other's text
-    deepest = core.groupBy("host").agg(F.max_by("path", F.struct(depth, F.col("path"))).alias("slot"), F.collect_set("path").alias("chain"))
-    around = [F.regexp_extract("slot", rf"^(.*?/{tag})(?:/|$)", 1) for tag in ("article", "main")]
-    return deepest.select("host", F.coalesce(*[F.when(F.array_contains("chain", a), a) for a in around], "slot").alias("slot"))
+    """(host, slots, fixed): each host's article slots and the template text inside.
+
+    A host's group is its template, as large as a page or two whatever its number of pages.
+    """
+
+    def build(rows):
+        import pandas as pd
+
+        host = rows["host"].iloc[0]
+        columns = ["token", "path", "place", "pages", "occurrences", "class", "chars"]
+        found = [dict(zip(columns, r, strict=True)) for r in zip(*(rows[c].tolist() for c in columns), strict=True)]
+        for t in found:
+            t["path"] = t["path"] if isinstance(t["path"], str) else None
+        slots, fixed = template_of(found)
+        return pd.DataFrame({"host": [host if isinstance(host, str) else None], "slots": [slots], "fixed": [fixed]})
+
+    return on_workers(classes(counted)).groupBy("host").applyInPandas(build, TEMPLATES).where(F.size("slots") > 0)
 
 
 def extract(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """page_id, url, slot, text and n_chars (and ``keep``) for every row of ``pages`` (page_id, url, html)."""
     host, _ = host_and_path(F.col("url"))
     known = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"), *keep)
-    found = stage(templates(tokens(known)), "templates").select(F.col("host").alias("__host"), "slot")
-    size = found.agg(F.sum(F.octet_length("__host") + F.octet_length("slot") + 64)).first()[0] or 0
+    counted = stage(tokens(known).where("token = 0 or pages > 1"), "page-tokens")
+    found = stage(templates(counted), "templates").withColumnRenamed("host", "__host")
+    bytes_of = F.octet_length("__host") + F.octet_length(F.array_join("slots", " ")) + 8 * F.size("fixed") + 96
+    size = found.agg(F.sum(F.coalesce(bytes_of, F.lit(96)))).first()[0] or 0
     hint = F.broadcast(found) if size <= BROADCAST_BYTES else found
-    dealt = known.join(hint, F.col("host").eqNullSafe(F.col("__host")), "left").select("page_id", "url", "slot", "html", *keep)
+    dealt = known.join(hint, F.col("host").eqNullSafe(F.col("__host")), "left").select(
+        "page_id", "url", F.get("slots", F.lit(0)).alias("slot"), "html", F.col("slots").alias("__slots"), F.col("fixed").alias("__fixed"), *keep
+    )
     kinds = dict(dealt.dtypes)
     names = ["page_id", "url", "slot", *keep]
 
     def run(batches):
         for batch in batches:
-            texts = [Page(h).main_text(s) for h, s in zip(batch.column("html").to_pylist(), batch.column("slot").to_pylist(), strict=True)]
+            rows = zip(*(batch.column(c).to_pylist() for c in ("html", "__slots", "__fixed")), strict=True)
+            texts = [Page(html).main_text(slots, frozenset(fixed or ())) for html, slots, fixed in rows]
             yield pa.record_batch(
                 [*[batch.column(c) for c in names], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 names=[*names, "text", "n_chars"],

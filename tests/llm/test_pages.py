@@ -78,3 +78,66 @@ def test_tokens_of_one_vector_share_a_class(spark):
 
 def test_empty_table(spark):
     assert pages.extract(build(spark, [(1, "u", "h")]).where("false")).collect() == []
+
+
+def texts_of(spark, htmls, host="h.example"):
+    rows = [(i, f"http://{host}/{i}", h) for i, h in enumerate(htmls)]
+    return [r.text for r in pages.extract(build(spark, rows)).orderBy("page_id").collect()]
+
+
+def test_headline_beside_the_body_without_article_elements(spark):
+    form = '<body><nav>menu</nav><div class="title"><h1>Head {i}</h1></div><p class="lead">Lead {i}</p><div class="text"><p>{body}</p><p>{more}</p></div><div class="box">Seen {i} times</div></body>'
+    pieces = [(prose(i, 60), prose(100 + i, 60)) for i in range(5)]
+    got = texts_of(spark, [form.format(i=i, body=b, more=m) for i, (b, m) in enumerate(pieces)])
+    assert got == [f"Head {i}\nLead {i}\n{b}\n{m}" for i, (b, m) in enumerate(pieces)]
+
+
+@pytest.mark.parametrize("opening", ['div class="ad-astra"', 'div id="comment-policy-essay"', 'section class="related-work"'])
+def test_names_inside_an_article_mark_furniture_only_as_a_whole(spark, opening):
+    bodies = [prose(i, 60) for i in range(5)]
+    form = "<body><article><h1>T {i}</h1><{o}><p>{b}</p></{t}><div class='ad-slot'>Buy</div><div class='reader-comments'>c {i}</div></article></body>"
+    got = texts_of(spark, [form.format(i=i, b=b, o=opening, t=opening.split()[0]) for i, b in enumerate(bodies)])
+    assert got == [f"T {i}\n{b}" for i, b in enumerate(bodies)]
+
+
+def test_template_text_inside_articles_goes_and_chance_repeats_stay(spark):
+    bodies = [prose(i, 60) for i in range(6)]
+    form = '<body><article><h1>T {i}</h1><p>{b}</p><div class="daily"><p>Sign up to our <b>daily letter</b> today</p></div>{x}</article></body>'
+    shared = [f"<p>{prose(50, 60)}</p>" if i < 4 else "" for i in range(6)]
+    got = texts_of(spark, [form.format(i=i, b=b, x=shared[i]) for i, b in enumerate(bodies)])
+    assert got == [f"T {i}\n{b}" + (f"\n{prose(50, 60)}" if i < 4 else "") for i, b in enumerate(bodies)]
+    # an article that every page of a host repeats stays whole
+    same = f"<body><article><h1>One</h1><p>{bodies[0]}</p></article><div>seen {{i}} times</div></body>"
+    assert texts_of(spark, [same.format(i=i) for i in range(6)]) == [f"One\n{bodies[0]}"] * 6
+
+
+def plain_template(htmls):
+    """Slots and template lines of one host from whole occurrence vectors in dictionaries."""
+    held = [pages.Page(h) for h in htmls]
+    vectors = {}
+    for k, page in enumerate(held):
+        for path, n in page.paths.items():
+            vectors.setdefault(("element", path), [0] * len(held))[k] = n
+        for line in page.lines():
+            vectors.setdefault(("line", line), [0] * len(held))[k] += 1
+    often = {t: tuple(v) for t, v in vectors.items() if sum(map(bool, v)) >= pages.SUPPORT * len(held) and sum(map(bool, v)) > 1}
+    frame = {path for kind, path in often if kind == "element"}
+    frame = {p for p in frame if all("/".join(p.split("/")[:k]) in frame for k in range(2, p.count("/") + 1))}
+    shared = {often["element", p] for p in frame}
+    return {line for (kind, line), v in often.items() if kind == "line" and v in shared and line[0] in frame and sum(map(bool, v)) >= pages.MIN_TEXT_PAGES}
+
+
+def test_template_text_against_whole_vectors(spark):
+    import random
+
+    draw, htmls = random.Random(5), []
+    notes = [f"<p>note {k} of the house</p>" for k in range(4)]
+    for i in range(14):
+        inside = [f"<p>{prose(1000 * i + k, draw.randint(20, 40))}</p>" for k in range(draw.randint(1, 4))]
+        inside += [n for k, n in enumerate(notes) if draw.random() < (1, 0.9, 0.7, 0.3)[k]] + ['<div class="daily">Write to us</div>'] * (i % 7 != 0)
+        draw.shuffle(inside)
+        htmls.append(f"<body><article><h1>Title {i}</h1>{''.join(inside)}</article><div>tail</div></body>")
+    fixed = plain_template(htmls)
+    assert any(text == "Write to us" for _, text in fixed) and any(text.startswith("note 0") for _, text in fixed)
+    want = ["\n".join(t for p, t in page.lines() if "/article" in p and (p, t) not in fixed) for page in map(pages.Page, htmls)]
+    assert texts_of(spark, htmls) == want
