@@ -5,17 +5,19 @@ transducers rewrite the text, each carrying for every written character the sour
 from:
 
 1. look-alikes: full-width and mathematical characters, Cyrillic and Greek letters that look Latin,
-   foreign digits, odd dashes, spaces and dots become their ASCII form; invisible characters go;
-2. disguises: ``[at]``, ``(at)``, `` at `` and the like become ``@``, ``[dot]``, `` dot `` become
-   ``.``, and spelled digits in runs of at least ``MIN_DIGITS`` digits, or of four numbers with dots
+   foreign digits, odd dashes, spaces and dots become their ASCII form; invisible characters and
+   combining marks go; character references of ASCII (``&#64;``) and ``%40`` become the character;
+2. disguises: ``[at]``, ``(at)``, `` at ``, ``_at_`` and the like become ``@``, ``[dot]``, `` dot ``,
+   ``_dot_`` become ``.`` within an address or between digits, however long the address and however
+   many dots it has, and spelled digits in runs of at least ``MIN_DIGITS`` digits, or of four numbers with dots
    between, become digits.
 
 The detectors run again on the rewritten text, with and without the spelled digits; a found span is mapped to source characters and
 added if rewriting changed something inside it, no base span of its kind holds all of it, and no
 other added span overlaps it; base spans stay, also those that are fragments of an added one.  A
 base span is not carried on over a dash that sets off words.  Disguises
-made of plain words are taken only where they look like one: a bare `` at `` needs a bare or
-bracketed dot after it; of spelled numbers the detectors decide (lengths, Luhn, octets).
+made of plain words are taken only where they look like one: a bare `` at `` or ``_at_`` needs a spelled
+dot after the next label (``met at example.com`` is no address); of spelled numbers the detectors decide (lengths, Luhn, octets).
 
 Offsets are code points, ends exclusive.  Cases: null and empty texts have no span (the digest of
 the empty string); rows that repeat a doc_id are reported one by one.
@@ -63,6 +65,7 @@ def _look_alikes() -> dict[str, str]:
             plain = unicodedata.normalize("NFKC", c)
             if len(plain) == 1 and plain.isascii():
                 out.setdefault(c, plain)
+    out |= dict.fromkeys(map(chr, range(0x0300, 0x0370)), "")  # combining marks
     for low in (0x0660, 0x06F0, 0x0966, 0x09E6):
         out |= {chr(low + d): str(d) for d in range(10)}
     return out
@@ -72,16 +75,24 @@ LOOK_ALIKES = _look_alikes()
 # characters beyond the basic plane by their ranges: such classes are matched quickly
 _LOOK = re.compile("[" + re.escape("".join(c for c in LOOK_ALIKES if ord(c) < 0x10000)) + "\U0001D400-\U0001D7FF]")
 
+# references to one ASCII character
+_REFERENCE = re.compile(r"&#0*([0-9]{2,3});|&#x0*([0-9a-f]{2});|&(commat|period);|%40(?=[A-Za-z0-9-]+\.)", re.I)
+# The references with names.
+_NAMED = {"commat": "@", "period": "."}
+
 _BRACKETED = r"[\[({<]\s?{}\s?[\])}>]"
 _AT = r"(?:\s?(?:" + _BRACKETED.replace("{}", "(?:at|@|arroba|a)", 1) + r")\s?)"
 _DOT = r"(?:\s?(?:" + _BRACKETED.replace("{}", r"(?:dot|\.|punto|point|punkt)", 1) + r")\s?)"
 _STOP = "the|a|an|this|that|my|your|our|his|her|their|its|every|each|some|any|no"
 _DISGUISED_AT = re.compile(
-    # a bracketed at; or a bare one with at least one spelled dot behind it; or a spaced @
-    rf"(?:{_AT}(?=[A-Za-z0-9-]))|(?:\s(?:at|AT)\s(?!(?:{_STOP})\b)(?=[A-Za-z0-9-]+(?:{_DOT}|\s(?:dot|DOT)\s)[A-Za-z0-9-]))|(?:(?<=[A-Za-z0-9])\s@\s(?=[A-Za-z0-9-]+\s?(?:\.|{_DOT})))",
+    # a bracketed at; or a bare one with at least one spelled dot behind it; or a spaced @; or one tied by lines or dashes
+    rf"(?:{_AT}(?=[A-Za-z0-9-]))|(?:\s(?:at|AT)\s(?!(?:{_STOP})\b)(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*+(?:{_DOT}|\s(?:dot|DOT)\s)[A-Za-z0-9-]))|(?:(?<=[A-Za-z0-9])\s@\s(?=[A-Za-z0-9-]+\s?(?:\.|{_DOT})))"
+    r"|(?:(?<=[A-Za-z0-9])_at_(?=[A-Za-z0-9-]+_dot_[A-Za-z0-9]))|(?:(?<=[A-Za-z0-9])-at-(?=[A-Za-z0-9]+-dot-[A-Za-z0-9]))",
     re.I,
 )
-_DISGUISED_DOT = re.compile(rf"{_DOT}|\s(?:dot|DOT)\s", re.I)
+_DISGUISED_DOT = re.compile(rf"{_DOT}|\s(?:dot|DOT)\s|_dot_|-dot-", re.I)
+_LABELS = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*+")
+_LOCAL_RUN = re.compile(r"[A-Za-z0-9_%+.-]+")
 _NUMBER_WORD = r"(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
 # a digit, spelled or not, and runs of them
 _DIGIT = rf"(?:{_NUMBER_WORD}|[0-9])"
@@ -91,7 +102,15 @@ _ENDS_IN_DIGIT = re.compile(rf"(?<![A-Za-z]){_DIGIT}\Z", re.I)
 _BEGINS_WITH_DIGIT = re.compile(rf"{_DIGIT}(?![A-Za-z])", re.I)
 _PLUS = re.compile(r"\bplus\s(?=(?:[0-9]|" + _NUMBER_WORD + r"))", re.I)
 # signs of a disguise, looked for before anything slower runs: the brackets and words of _AT and _DOT, a bare dot, a spaced @
-_SIGN = re.compile(_BRACKETED.replace("{}", r"(?:at|@|arroba|a|dot|\.|punto|point|punkt)", 1) + r"|\sdot\s|\s@\s|plus\s", re.I)
+_SIGN = re.compile(_BRACKETED.replace("{}", r"(?:at|@|arroba|a|dot|\.|punto|point|punkt)", 1) + r"|\sdot\s|\s@\s|plus\s|[_-]dot[_-]", re.I)
+
+
+def _plain_character(m: re.Match) -> str:
+    """What a reference stands for; anything but printable ASCII stays as it is."""
+    if m[3]:
+        return _NAMED[m[3].lower()]
+    code = int(m[1]) if m[1] else int(m[2] or "40", 16)
+    return chr(code) if 0x20 < code < 0x7F else m[0]
 
 
 def _disguised(text: str) -> bool:
@@ -99,6 +118,36 @@ def _disguised(text: str) -> bool:
     return any(word in low for word in DIGITS) or bool(_SIGN.search(text))
 
 
+def _dots(text: str) -> list[tuple[int, int, str]]:
+    """Edits that make dots of spelled ones: within an address's domain or local part, or between digits.
+
+    Two walks over the dots carry the state of the address: forward whether an at sign has opened a
+    domain that has gone on in labels ever since, backward whether one follows a local part's rest.
+    """
+    found = list(_DISGUISED_DOT.finditer(text))
+    taken = [False] * len(found)
+    opened, at = False, 0
+    for k, m in enumerate(found):
+        _, sign, label = text[at : m.start()].rpartition("@")
+        opened = bool((sign or opened) and _LABELS.fullmatch(label))
+        taken[k] = opened
+        at = m.end()
+    follows, end = False, len(text)
+    for k in range(len(found) - 1, -1, -1):
+        low = found[k].end()
+        run = _LOCAL_RUN.match(text, low, end)
+        stop = run.end() if run else low
+        follows = stop > low and (text[stop : stop + 1] == "@" if stop < end else follows)
+        taken[k] |= follows
+        end = found[k].start()
+    for k, m in enumerate(found):
+        # the longest digit word has five letters: eight characters show it and its neighbour
+        taken[k] = taken[k] or bool(
+            _ENDS_IN_DIGIT.search(text[max(0, m.start() - 8) : m.start()]) and _BEGINS_WITH_DIGIT.match(text[m.end() : m.end() + 8])
+        )
+    return [(*m.span(), ".") for m, t in zip(found, taken, strict=True) if t]
+
+
 def _spelled(text: str) -> list[tuple[int, int, str]]:
     """Edits that make figures of the spelled digits in runs long enough to matter."""
     edits = []
@@ -232,22 +281,16 @@ def normalised(text: str) -> list[Rewritten]:
     odd = not text.isascii() and _LOOK.search(text)
     if odd:
         r.replace([(m.start(), m.end(), LOOK_ALIKES[m[0]]) for m in _LOOK.finditer(text) if m[0] in LOOK_ALIKES])
+    if "&" in text or "%40" in text:
+        written = [(*m.span(), _plain_character(m)) for m in _REFERENCE.finditer(r.text)]
+        r.replace([e for e in written if len(e[2]) == 1])
     stages = []
     if _disguised(r.text):
         edits = []
         for m in _DISGUISED_AT.finditer(r.text):
             edits.append((*m.span(), "@"))
         r.replace(edits)
-        # dots are read only in an address that an at sign has opened, or between digits
-        edits = []
-        for m in _DISGUISED_DOT.finditer(r.text):
-            before = r.text[max(0, m.start() - 80) : m.start()].rsplit("@", 1)
-            opens = re.match(r"[A-Za-z0-9_%+.-]+@", r.text[m.end() : m.end() + 80])
-            if opens or (len(before) == 2 and not re.search(r"[^A-Za-z0-9.\[\](){}<> -]", before[1]) and len(before[1].split()) <= 4) or (
-                _ENDS_IN_DIGIT.search(before[-1][-8:]) and _BEGINS_WITH_DIGIT.match(r.text[m.end() : m.end() + 8])
-            ):
-                edits.append((*m.span(), "."))
-        r.replace(edits)
+        r.replace(_dots(r.text))
         edits = _spelled(r.text)
         if edits and r.text != text:
             plain = Rewritten(r.text)

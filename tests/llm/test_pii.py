@@ -70,6 +70,33 @@ def test_sparse_and_rare_disguises(kind, source):
     assert [(text[s:e], k) for s, e, k in added] == [(source, kind)]
 
 
+@pytest.mark.parametrize(
+    "source",
+    [
+        f"jane [at] {'x' * 90} [dot] com", "jane at x dot b dot c dot d dot e dot f dot com", f"{'j' * 100} [dot] doe [dot] x@example.com", "a [dot] b [dot] c [at] d [dot] com",
+        "john_at_example_dot_com", "john_dot_doe_at_my-site_dot_example_dot_com", "john-at-example-dot-com", "jane&#64;example.com", "jane&#x40;example&#46;com",
+        "jane&commat;example&period;com", "jane%40example.com", "joh\u0301n@example.com", "jane at mail.example dot com",
+    ],
+)
+def test_addresses_of_any_length_and_form(source):
+    _, added = pii.all_spans(f"x: {source}; and one more")
+    assert [(f"x: {source}; and one more"[s:e], k) for s, e, k in added] == [(source, "email")]
+
+
+def test_many_dots_take_linear_time():
+    import time
+
+    start = time.perf_counter()
+    assert pii.all_spans("a dot b [dot] " * 20_000) == ([], [])
+    assert len(pii.all_spans("x@a" + " dot b" * 20_000)[1]) == 1
+    assert time.perf_counter() - start < 20
+
+
+@pytest.mark.parametrize("text", ["met at example.com", "see me@ example dot com or (dot) net", "100&#37; &#10; &amp; &#233;", "polka-dot-dress look-at-this snake_at_case"])
+def test_near_disguises_are_left_alone(text):
+    assert pii.all_spans(text) == ([], [])
+
+
 @pytest.mark.parametrize("text", ["one or two of 4111 1111 and three", "version two dot one", "one two three four five six seven eight nine one two", "two (a) three"])
 def test_plain_numbers_are_left_alone(text):
     assert pii.all_spans(text) == ([], [])
