@@ -14,7 +14,8 @@ expressions, one text per row: 8-word windows are compared inside their row as 6
 by doubling, and only texts with an equal pair of windows sort them.
 
 Cases: null, empty and blank texts have no words, fail the base rule and count 0 everywhere;
-a null language is a stratum; repeated labels of a document are good only if all say so; without
+a null language is a stratum; repeated labels of a document are good only if all say so; a labelled
+document that several rows of a stratum repeat is one trial, turned away if any of them is; without
 labels no cutoff is admitted; an empty table gives an empty result.
 """
 
@@ -141,8 +142,9 @@ def admitted_cutoffs(described: DataFrame, labels: DataFrame, max_rejected: floa
     """(stratum, rule, cutoff): the strictest admitted cutoff of each stratum and rule."""
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("good"))
     good = described.where(~F.col("base_failed")).join(known.where("good = 1").select("doc_id"), "doc_id")
-    values = rule_values()
-    beyond = [F.sum((values[r] > c).cast("long")).alias(f"{r}:{i}") for r, cutoffs in RULES.items() for i, c in enumerate(cutoffs)]
+    # the test's trials are documents: rows that repeat one count once, by their largest values
+    good = good.groupBy("stratum", "doc_id").agg(*[F.max(v).alias(r) for r, v in rule_values().items()])
+    beyond = [F.sum((F.col(r) > c).cast("long")).alias(f"{r}:{i}") for r, cutoffs in RULES.items() for i, c in enumerate(cutoffs)]
     counted = good.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *beyond)
     tests = F.explode(F.array(*[
         F.struct(F.lit(r).alias("rule"), F.lit(i).alias("step"), F.lit(float(c)).alias("cutoff"), F.col(f"{r}:{i}").alias("k"))

@@ -64,6 +64,17 @@ def test_cutoffs_stop_at_the_first_risky_step(spark):
     assert not rules.admitted_cutoffs(rules.describe(docs, "lang"), labels.limit(50), rules.MAX_REJECTED, rules.ERROR).collect()
 
 
+def test_repeated_rows_are_one_trial(spark):
+    rows = [(i % 50, prose(i, 40), "en") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(50)], "doc_id long, quality int, toxic int")
+    found = lambda d, known: rules.admitted_cutoffs(rules.describe(d, "lang"), known, rules.MAX_REJECTED, rules.ERROR).collect()
+    assert found(docs, labels) == []
+    apart = spark.createDataFrame([(i, *r[1:]) for i, r in enumerate(rows)], docs.schema)
+    every = spark.createDataFrame([(i, 1, 0) for i in range(2000)], labels.schema)
+    assert found(apart, every) and sorted(found(apart.unionAll(apart), every)) == sorted(found(apart, every))
+
+
 def test_awkward_tables_and_plan(spark):
     docs = documents(spark)
     labels = spark.createDataFrame([(0, None, None), (None, 1, 1), (7, 1, 0), (7, 0, 0)], "doc_id long, quality int, toxic int")
