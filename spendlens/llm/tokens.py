@@ -78,17 +78,25 @@ class Encoder:
         led = [p for p in pieces if p[0] in " \n" and not p.isspace()]
         groups = [led[i : i + PIECES_PER_CALL] for i in range(0, len(led), PIECES_PER_CALL)]
         groups += [[p] for p in pieces if p[0] not in " \n" or p.isspace()]
-        found = {}
-        encoded = self.library.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)
-        for group, e in zip(groups, encoded, strict=True):
+        return self._cut(groups, ["".join(g) for g in groups], 0)
+
+    def learn_words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words that follow a single space."""
+        groups = [words[i : i + PIECES_PER_CALL] for i in range(0, len(words), PIECES_PER_CALL)]
+        return self._cut(groups, [" " + " ".join(g) for g in groups], 1)
+
+    def _cut(self, groups: list[list[str]], texts: list[str], led: int) -> dict[str, bytes]:
+        """Ids of every piece; a group's text holds its pieces in order, each after ``led`` further bytes."""
+        found: dict[str, bytes] = {}
+        encoded = self.library.encode_batch_fast(texts, add_special_tokens=False)
+        for group, text, e in zip(groups, texts, encoded, strict=True):
             ids = np.array(e.ids, dtype=self.kind)
             raw, width = ids.tobytes(), ids.itemsize
             at = np.cumsum(self.byte_length[ids])
-            ends = np.cumsum([len(p.encode()) for p in group])
-            low = 0
-            for p, high in zip(group, ((np.searchsorted(at, ends, side="left") + 1) * width).tolist(), strict=True):
-                found[p] = raw[low:high]
-                low = high
+            sizes = map(len, group) if text.isascii() else (len(p.encode()) for p in group)
+            ends = np.cumsum(np.fromiter(sizes, np.int64, len(group)) + led)
+            highs = ((np.searchsorted(at, ends, side="left") + 1) * width).tolist()
+            found.update(zip(group, map(raw.__getitem__, map(slice, [0, *highs], highs))))
         return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -110,31 +118,25 @@ class Encoder:
         ``self.ids`` knows words by what follows a single space; other pieces (a text's first word,
         pieces with other white space) are encoded by their whole text.
         """
-        get = self.ids.get
         held, unknown, whole = [], set(), set()
         for t in texts:
             if self.plain(t):
                 first, *words = t.split(" ")
-                ids = list(map(get, words))
-                if None in ids:
-                    unknown.update(w for w, i in zip(words, ids, strict=True) if i is None)
-                held.append(([first], words, ids))
+                unknown.update(words)
+                held.append(([first], words))
                 whole.add(first)
             else:
                 pieces = _PIECES.findall(t)
-                held.append((pieces, [], []))
+                held.append((pieces, []))
                 whole.update(pieces)
-        led = self.learn([" " + w for w in unknown])
-        new = {w: led[" " + w] for w in unknown}
+        new = self.learn_words(list(unknown.difference(self.ids)))
+        of = self.ids.__getitem__
         if len(self.ids) + len(new) <= CACHE_PIECES:
             self.ids.update(new)
+        else:
+            of = lambda w: self.ids.get(w) or new[w]  # noqa: E731 - a word has at least one id
         other = self.learn(list(whole))
-        out = []
-        for pieces, words, ids in held:
-            if None in ids:
-                ids = [new[w] if i is None else i for w, i in zip(words, ids, strict=True)]
-            out.append(b"".join([*(other[p] for p in pieces), *ids]))
-        return out
+        return [b"".join([*map(other.__getitem__, pieces), *map(of, words)]) for pieces, words in held]
 
 
 _ENCODERS: dict[str, Encoder] = {}
