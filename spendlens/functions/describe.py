@@ -7,6 +7,8 @@ a join on the distinct payee keys, see ``operators.categorize``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,17 +71,21 @@ def upi_payee_raw(ds: Column) -> Column:
     return F.when(n_parts(s, "/") >= 4, py_strip(split_part(s, "/", 3))).otherwise(F.lit(""))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once (a ``CASE`` branch evaluates what it names twice twice)."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def scrub_pii(name: Column) -> Column:
     """ANO-01: drop 10-digit numbers, then UPI handles; strip; empty → ``UNKNOWN``."""
     x = F.regexp_replace(name, PHONE_RE, "")
     x = F.regexp_replace(x, UPI_HANDLE_RE, "")
-    x = py_strip(x)
-    return F.when(x == "", F.lit("UNKNOWN")).otherwise(x)
+    return bound(py_strip(x), lambda x: F.when(x == "", F.lit("UNKNOWN")).otherwise(x))
 
 
-def payee_key(ds: Column) -> Column:
-    """Normalised payee key of a UPI row: ``upper(strip(scrubbed name))``."""
-    return upper_strip(scrub_pii(upi_payee_raw(ds)))
+def payee_key(raw: Column) -> Column:
+    """Normalised payee key of a UPI row's payee: ``upper(strip(scrubbed name))``."""
+    return upper_strip(scrub_pii(raw))
 
 
 def keyword_category(key: Column) -> Column:
@@ -119,7 +125,7 @@ def parse_struct(ds: Column) -> Column:
             F.lit(None).cast("int").alias("n_parts"),
         )
 
-    upi = F.struct(
+    upi = lambda raw: F.struct(
         F.lit("UPI").alias("kind"),
         F.lit("UPI").alias("payment_mode"),
         upi_direction(ds).alias("direction"),
@@ -127,8 +133,8 @@ def parse_struct(ds: Column) -> Column:
         F.lit(None).cast("string").alias("entity_type"),
         F.lit(None).cast("string").alias("entity_id"),
         F.lit(None).cast("string").alias("clean_description"),
-        payee_key(ds).alias("payee_key"),
-        upi_payee_raw(ds).alias("payee_raw"),
+        payee_key(raw).alias("payee_key"),
+        raw.alias("payee_raw"),
         n_parts(ds, "/").cast("int").alias("n_parts"),
     )
     return (
@@ -137,7 +143,7 @@ def parse_struct(ds: Column) -> Column:
         .when(d.contains("ATM"), fixed("ATM", ATM))
         .when(d.startswith("NEFT"), fixed("NEFT", NEFT, neft_direction(ds)))
         .when(d.startswith("IMPS"), fixed("IMPS", IMPS))
-        .when(d.startswith("UPI"), upi)
+        .when(d.startswith("UPI"), bound(upi_payee_raw(ds), upi))
         .when(d.contains("POS"), fixed("CARD", CARD))
         .otherwise(fixed("OTHER", OTHER))
     )

@@ -177,8 +177,8 @@ def monthly_totals(clean: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return monthly.withColumn("monthly_savings", (F.col("monthly_income") - F.col("monthly_spend")).cast(TOTAL))
 
 
-def build_features(clean: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """FEA-01…13 in the reference's step order; returns the 56 columns (after ``by``).
+def build_features(clean: DataFrame, by: Sequence[str] = (), keep_part: bool = False) -> DataFrame:
+    """FEA-01…13 in the reference's step order; returns the 56 columns (after ``by``; ``keep_part``: and ``PART``).
 
     ``clean`` is best stored by ``range_parts`` in (txn_date, txn_no) order (the chain does so);
     otherwise it is stored here.  ``by`` (e.g. ``["account_id"]``) makes every aggregate, lag, running
@@ -190,10 +190,10 @@ def build_features(clean: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     days = entity_day_table(plain, by)
 
     # FEA-12 running totals in (txn_date, txn_no) order.
-    running = prefix_sums(stored, "txn_date", "txn_no", ["cr_amount", "dr_amount"], by=by)
+    running = prefix_sums(stored, "txn_date", "txn_no", ["cr_amount", "dr_amount"], by=by, keep_part=keep_part)
     income, expense = F.col("cr_amount__cum").cast(TOTAL), F.col("dr_amount__cum").cast(TOTAL)
     running = running.select(
-        *plain.columns, income.alias("running_income"), expense.alias("running_expense"), (income - expense).cast(TOTAL).alias("net_cash_flow")
+        *plain.columns, *[PART] * keep_part, income.alias("running_income"), expense.alias("running_expense"), (income - expense).cast(TOTAL).alias("net_cash_flow")
     )
     base = amount_features(time_features(running))
     rows = join_heavy_keys(base, days, [*by, "entity_id", "txn_date"], "__n")
@@ -241,7 +241,7 @@ def build_features(clean: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         rows = null_safe_join(rows, monthly, [*by, "year", "month"])
     else:
         rows = rows.join(F.broadcast(monthly), on=["year", "month"], how="left")
-    return rows.select(*by, *FEATURE_COLUMNS)
+    return rows.select(*by, *FEATURE_COLUMNS, *[PART] * keep_part)
 
 
 def leakage_rate(features: DataFrame) -> DataFrame:

@@ -73,15 +73,15 @@ def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: st
 
 
 def running_sum(
-    df: DataFrame, order: Order, values: Sequence[str], by: Sequence[str] = (), suffix: str = "__cum"
+    df: DataFrame, order: Order, values: Sequence[str], by: Sequence[str] = (), suffix: str = "__cum", keep_part: bool = False
 ) -> DataFrame:
     """Inclusive running sums of ``values`` in ``order`` (per ``by`` group).
 
     Adds ``<value><suffix>`` columns.  A table that ``range_parts`` stored in this very order is
-    used as it is; any other is stored first.
+    used as it is; any other is stored first.  With ``keep_part`` the rows keep their part's number.
     """
     order, by = list(order), list(by)
-    out_cols = [c for c in df.columns if c != PART]
+    out_cols = [c for c in df.columns if c != PART] + [PART] * keep_part
     stored = df if PART in df.columns else range_parts(df, order, by)
     sums = stored.groupBy(*by, PART).agg(*[F.sum(v).alias(v) for v in values])
     before = Window.partitionBy(*by).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
@@ -154,9 +154,11 @@ def join_heavy_keys(rows: DataFrame, side: DataFrame, on: Sequence[str], weight:
 # ---------------------------------------------------------------------------
 
 
-def prefix_sums(df: DataFrame, date_col: str, id_col: str, values: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+def prefix_sums(
+    df: DataFrame, date_col: str, id_col: str, values: Sequence[str], by: Sequence[str] = (), keep_part: bool = False
+) -> DataFrame:
     """Cumulative sums in (date, id) order (FEA-12, Q11) — adds ``<v>__cum``."""
-    return running_sum(df, [(date_col, True), (id_col, True)], values, by=by)
+    return running_sum(df, [(date_col, True), (id_col, True)], values, by=by, keep_part=keep_part)
 
 
 # ---------------------------------------------------------------------------

@@ -82,9 +82,19 @@ def risk_band(score: F.Column) -> F.Column:
     )
 
 
-def amount_factor(features: DataFrame, by=()) -> DataFrame:
-    """SCO-02: ``rint(pct_rank * 20)`` among debits, 0 for every other row and for missing amounts."""
+def amount_factor(features: DataFrame, by=(), amounts: DataFrame | None = None) -> DataFrame:
+    """SCO-02: ``rint(pct_rank * 20)`` among debits, 0 for every other row and for missing amounts.
+
+    ``amounts`` may be a stored table of the same transactions (direction, dr_amount) of one statement: the
+    ranks come from it, and ``features`` is evaluated once.
+    """
     ranked = (F.col("direction") == "DEBIT") & F.col("dr_amount").isNotNull()
+    if amounts is not None:
+        pct = pct_rank_table(amounts.filter(ranked).select("dr_amount"), "dr_amount", "__pct").withColumnRenamed("dr_amount", "__debit")
+        # rows that are not ranked have a NULL key and are spread over the join's tasks
+        keyed = features.withColumn("__debit", F.when(ranked, F.col("dr_amount")))
+        points = F.when(ranked, F.rint(F.col("__pct") * 20.0).cast("int")).otherwise(0)
+        return join_heavy_keys(keyed, pct, ["__debit"], "__cnt", how="left").select(*features.columns, points.alias("score_amount"))
     debits = features.filter(ranked)
     pct = pct_rank_table(debits.select(*by, "dr_amount"), "dr_amount", "__pct", by=by)
     # only debits are joined with the per-amount table; every other row scores 0 without a
@@ -96,9 +106,9 @@ def amount_factor(features: DataFrame, by=()) -> DataFrame:
     return scored.unionByName(others)
 
 
-def score_transactions(features: DataFrame, by=()) -> DataFrame:
-    """SCO-01…07: the 63-column scored table (the amount rank is per ``by`` group)."""
-    df = amount_factor(features, by=list(by))
+def score_transactions(features: DataFrame, by=(), amounts: DataFrame | None = None) -> DataFrame:
+    """SCO-01…07: the 63-column scored table (the amount rank is per ``by`` group; ``amounts`` as in ``amount_factor``)."""
+    df = amount_factor(features, list(by), amounts)
     df = df.select(
         *features.columns,
         score_category(F.col("category")).alias("score_category"),
