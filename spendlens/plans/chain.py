@@ -57,7 +57,9 @@ class Tables:
     @cached_property
     def predictions(self) -> DataFrame:
         features = build_features(self.clean, keep_part=True)
-        made = rule_predictions(score_transactions(features, amounts=self.clean))
+        # the features leave out rows without a date or an entity, so these are not ranked either
+        amounts = self.clean.where("txn_date IS NOT NULL AND entity_id IS NOT NULL")
+        made = rule_predictions(score_transactions(features, amounts=amounts))
         columns = [c for c in made.columns if c != PART]
         # the table every report reads: partitioned by (year, month) so month filters prune.  The clean table's
         # ranges of dates are ranges of months too: rows go back to them, and nothing is sampled

@@ -69,3 +69,20 @@ def test_chain_has_no_python_udf(spark):
     for df in (t.clean, t.features, t.scored, t.transactions):
         plan = _plan(df)
         assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_amount_ranks_are_those_of_the_feature_rows(spark, tmp_path):
+    """Rows without a date are not among the features and take no rank; features come with the predictions."""
+    from pyspark.sql import functions as F
+
+    from spendlens.operators.features import build_features
+    from spendlens.operators.scoring import score_transactions
+
+    orders = spark.read.parquet(f"{SF001}/orders.parquet")
+    lost = F.when((F.col("o_orderkey") % 7 == 0) | (F.col("o_totalprice") > 150_000), None).otherwise(F.col("o_orderdate"))
+    orders.withColumn("o_orderdate", lost).write.parquet(str(tmp_path / "orders.parquet"))
+    t = build(spark, str(tmp_path))
+    assert "clean" not in vars(t)  # nothing is made before it is read
+    want = score_transactions(build_features(t.clean))
+    assert 0 < want.count() < t.clean.count()
+    assert t.scored.select(*want.columns).exceptAll(want).isEmpty() and want.exceptAll(t.scored.select(*want.columns)).isEmpty()
